@@ -1,13 +1,65 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir), is written as Parquet and read by the next."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
+and read by the next. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.llm import language_id, mixing, near_dedup, sharding
+from quernstone.llm.decontaminate import decontaminate
+from quernstone.llm.store import shared_dir
+
+#: A language is believed from this probability on; four languages alone give 0.25.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letters, or none that the network believes in."""
+    names = ("__lang_pred", "__lang_score")
+    marked = language_id.with_language(docs, language_id.fit(docs, F.lit(True)), names=names)
+    return marked.filter((F.col(names[0]) != language_id.UND) & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the least id."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a window of a benchmark item occurs."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_coverage=0.0)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard, 0 to 7."""
+    return sharding.with_shard(docs, 8)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_text),
+    ("source_mix", mix_sources),
+    ("sharding", cut_shards),
+]
+
+#: Neither the network nor the signatures can be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

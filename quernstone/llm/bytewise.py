@@ -128,8 +128,10 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return at, out
 
 
-def grouped(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, 44-bit hash) pairs with their counts: owner, hash, count, and for each input its pair."""
-    key = (owner.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+def grouped(owner: np.ndarray, h: np.ndarray, bits: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, hash) pairs with their counts: owner, hash, count, and for each input its pair.
+    bits are kept for the owner, the other high bits for the hash."""
+    low = np.uint64(64 - bits)
+    key = (owner.astype(np.uint64) << low) | (h >> np.uint64(bits))
     found, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    return (found >> np.uint64(44)).astype(np.int64), found & np.uint64((1 << 44) - 1), count, back
+    return (found >> low).astype(np.int64), found & np.uint64((1 << int(low)) - 1), count, back

@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm.decontaminate import contamination
+from quernstone.llm import chat_format, decontaminate, license_scan, mixing, sharding
+from quernstone.llm.html_text import extract_pages
+from quernstone.llm.language_id import identify
 from quernstone.llm.near_dedup import near_duplicates
+from quernstone.llm.quality_model import quality
+from quernstone.llm.robust_rules import quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +23,55 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+
+
+def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assignments(_table(spark, sf_dir, "documents"), 8)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, held_out=F.crc32(docs["doc_id"].cast("string")) % 3 == 1)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out="crc32(cast(doc_id AS string)) % 5 = 0")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok").alias("text")
+    extra = [spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(k).cast("bigint").alias("turn"), F.lit(role).alias("role"), said) for k, role in enumerate(("user", "assistant"))]
+    for more in extra:
+        turns = turns.unionByName(more)
+    return chat_format.digests(chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(turns["text"]))))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op7_benchmark_decontamination)}
+    every = (
+        op1_near_duplicates, op2_source_mix, op3_byte_shards, op4_license_scan, op5_language_id, op6_quality_classifier,
+        op7_benchmark_decontamination, op8_main_text, op9_chat_format, op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mix": mixing.SQL, "op4_license_scan": license_scan.oracle(), "op7_benchmark_decontamination": decontaminate.SQL, "op9_chat_format": chat_format.SQL}
