@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HTML = 1 << 20
+BRACKETS = 12
 URL = r"https?://[^\s<>\"'`]+"
 
 
@@ -77,15 +78,18 @@ def page_metadata(pages: DataFrame, *, html_col: str = "html", max_bytes: int =
 def first_url(text: Column) -> Column:
     """The first http address with a host, without closing punctuation and closing brackets that nothing opens. Null if none.
 
-    Brackets are balanced from the end, up to eight of them."""
+    Brackets are balanced from the end, up to BRACKETS of them."""
+
+    def cut(u: Column) -> Column:
+        out = u
+        for a, b in ("()", "[]", "{}"):
+            opens, closes = (F.length(u) - F.length(F.replace(u, F.lit(x))) for x in (a, b))
+            out = F.when(u.endswith(b) & (opens < closes), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(out)
+        return out
 
     def trimmed(u: Column) -> Column:
-        u = F.regexp_replace(u, "[.,!?;:]+$", "")
-        for _ in range(8):
-            for a, b in ("()", "[]", "{}"):
-                opens, closes = (F.length(u) - F.length(F.replace(u, F.lit(x))) for x in (a, b))
-                u = F.when(u.endswith(b) & (opens < closes), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u)
-        return u
+        # A fold, not a chain: each step reads the last one's value once.
+        return F.aggregate(F.sequence(F.lit(1), F.lit(BRACKETS)), F.regexp_replace(u, "[.,!?;:]+$", ""), lambda x, _: cut(x))
 
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({URL})"), 1), trimmed)
     return F.get(F.filter(found, lambda u: u.rlike("^https?://[^/?#]")), F.lit(0))
