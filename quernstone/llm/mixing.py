@@ -62,14 +62,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     place = Window.orderBy(F.col("source").asc_nulls_last())
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
     weighed = sizes.withColumn("weight", F.element_at(weights, (F.pmod(F.row_number().over(place) - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
-    # Filled in order of limit to weight: the first source whose even share stays under its limit sets the level.
+    # Filled in order of limit to weight: the first source whose even share stays under its limit sets the level;
+    # those before it are full, and levels that would count later ones as full too are lower.
     fill = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     ahead, rest = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     level = (SHARE * F.sum("source_size").over(everything) - MOST * F.coalesce(F.sum("source_size").over(ahead), F.lit(0))) / F.sum("weight").over(rest)
     tried = weighed.withColumn("level", level)
     fits = F.when(F.col("level") * F.col("weight") <= MOST * F.col("source_size"), F.col("level"))
-    return tried.withColumn("level", F.min(fits).over(everything)).select("source", "source_size", F.least(MOST * F.col("source_size").cast("double"), F.coalesce(F.col("level") * F.col("weight"), MOST * F.col("source_size").cast("double"))).alias("target"))
+    return tried.withColumn("level", F.max(fits).over(everything)).select("source", "source_size", F.least(MOST * F.col("source_size").cast("double"), F.coalesce(F.col("level") * F.col("weight"), MOST * F.col("source_size").cast("double"))).alias("target"))
 
 
 def plan(narrow: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ levels AS (
   FROM weighed),
 goals AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size,
-    coalesce(weight * min(CASE WHEN level * weight <= 2 * source_size THEN level END) OVER (), 2.0::DOUBLE * source_size)) AS target
+    coalesce(weight * max(CASE WHEN level * weight <= 2 * source_size THEN level END) OVER (), 2.0::DOUBLE * source_size)) AS target
   FROM levels),
 epochs AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM goals),
