@@ -105,7 +105,7 @@ def _unescaped(v: Column) -> Column:
 def card(text: Column, display_name: Column | None = None) -> Column:
     """A vCard as struct(name, phones): folded lines joined, FN and TEL unescaped, phones once each. A given display name comes before FN."""
     flat = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n+[ \t]+", "")
-    lines = F.filter(F.transform(F.split(flat, "\n"), F.trim), lambda x: F.contains(x, F.lit(":")))
+    lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.upper(F.trim(F.split_part(F.split_part(x, F.lit(":"), F.lit(1)), F.lit(";"), F.lit(1)))).alias("k"), _unescaped(F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))).alias("v")))
     of = lambda k: F.transform(F.filter(pairs, lambda p: (p["k"] == k) & (p["v"] != "")), lambda p: p["v"])
     given = F.lit(None).cast("string") if display_name is None else F.nullif(F.trim(display_name), F.lit(""))

@@ -312,7 +312,7 @@ def ag10_latest_vote(t: Tables) -> DataFrame:
     return _latest(t).select("poll_msg_id", "voter_jid", "choice", "ts")
 
 
-@query("SELECT v.view AS view, v.at AS last_seq, (SELECT max(seq) FROM ledger) - v.at AS lag FROM (VALUES ('chats', 10), ('messages', 0)) v(view, at)", "ledger")
+@query("SELECT v.view_name AS \"view\", v.last_seq, (SELECT max(seq) FROM ledger) - v.last_seq AS lag FROM (VALUES ('chats', CAST(10 AS bigint)), ('messages', CAST(0 AS bigint))) v(view_name, last_seq)", "ledger")
 def ag12_checkpoint_lag(t: Tables) -> DataFrame:
     checkpoints = t.spark.createDataFrame([("chats", 10), ("messages", 0)], "view string, last_seq bigint")
     return ag.checkpoint_lag(t.ledger, checkpoints).select("view", "last_seq", "lag")
