@@ -53,6 +53,9 @@ NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 CONTENT = frozenset(("article", "main"))
 # What a new element of the first kind closes, if open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+TEXT_TAGS = frozenset(
+    "abbr b blockquote br caption cite code dd del dfn dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img ins kbd li mark ol p pre q s samp small span strong sub sup table tbody td th thead time tr u ul var".split()
+)
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
@@ -66,6 +69,8 @@ INSIDE, OUTSIDE, NONE = 0, 1, 2
 STRENGTH, TAG_LEAST, TAG_SPAN, WORD_LEAST, WORD_SPAN = 4.0, 0.01, 2.0, 0.001, 1.0
 #: Prior shares of content by place, and of words in links.
 PRIOR, PRIOR_LINK = {INSIDE: 0.98, OUTSIDE: 0.02, NONE: 0.6}, 0.4
+#: Prior shares of tags that mark up text, and of others, on pages without an article.
+PRIOR_TEXT, PRIOR_OTHER = 0.97, 0.85
 #: What a word outside costs rather than gains, for each share of non-content.
 APART = 3.0
 
@@ -185,6 +190,10 @@ def read(page: str) -> tuple[list[tuple], bool]:
     return out, any_article
 
 
+def _prior(tag: str, place: int) -> float:
+    return PRIOR[place] if place != NONE else PRIOR_TEXT if tag in TEXT_TAGS else PRIOR[NONE] * PRIOR_LINK if tag == "a" else PRIOR_OTHER
+
+
 def learn(pages: list[str]) -> tuple[dict, dict]:
     """Shares of content: by (tag, place) and by (place, in link), with the number of observations."""
     tags, words = Counter(), Counter()
@@ -204,7 +213,7 @@ def learn(pages: list[str]) -> tuple[dict, dict]:
         good, bad = c[*key, True], c[*key, False]
         return (good + STRENGTH * prior) / (good + bad + STRENGTH)
 
-    return ({(t, p): share(tags, (t, p), PRIOR[p]) for t, p, _ in list(tags)}, {(p, a): share(words, (p, a), PRIOR[p] * (PRIOR_LINK if a and p == NONE else 1)) for p in PRIOR for a in (False, True)})
+    return ({(t, p): share(tags, (t, p), _prior(t, p)) for t, p, _ in list(tags)}, {(p, a): share(words, (p, a), PRIOR[p] * (PRIOR_LINK if a and p == NONE else 1)) for p in PRIOR for a in (False, True)})
 
 
 def extract(page: str | None, weights: tuple[dict, dict]) -> str:
@@ -217,7 +226,7 @@ def extract(page: str | None, weights: tuple[dict, dict]) -> str:
     start, region = 0, (0, 0)
     for k, x in enumerate(tokens):
         if x[0] == "/":
-            good = tags.get((x[1], x[2]), PRIOR[x[2]])
+            good = tags.get((x[1], x[2])) or _prior(x[1], x[2])
             total -= TAG_LEAST + TAG_SPAN * (1 - good) if x[1] != "|" else TAG_LEAST
         else:
             n = len(x[1].split())

@@ -283,7 +283,7 @@ def test_best_stretch_matches_brute_force():
     for _ in range(100):
         page = "".join(rng.choice(["<p>", "</p>", "<i>", "<li>", " word", " two words", "<td>"]) for _ in range(25))
         tokens, _ = html_text.read(page)
-        score = [-(html_text.TAG_LEAST + html_text.TAG_SPAN * (1 - html_text.PRIOR[x[2]])) if x[0] == "/" else len(x[1].split()) * weights[1][x[2], x[3]] for x in tokens]
+        score = [-(html_text.TAG_LEAST + html_text.TAG_SPAN * (1 - html_text._prior(x[1], x[2]))) if x[0] == "/" else len(x[1].split()) * weights[1][x[2], x[3]] for x in tokens]
         best = max((sum(score[i:j]) for i in range(len(score)) for j in range(i, len(score) + 1)), default=0)
         n = len(html_text.extract(page, weights).split())
         words = [(sum(score[i:j]), sum(len(x[1].split()) for x in tokens[i:j] if x[0] == "t")) for i in range(len(score)) for j in range(i, len(score) + 1)]
