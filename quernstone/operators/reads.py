@@ -5,10 +5,11 @@ Every limit stands behind a total order; a limit of 0 or less is none. ``now`` i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.values import contains_any, is_muted, is_unmuted
+from quernstone.operators.hot import following, running_count
 
 MESSAGE_KEY = ["chat_jid", "msg_id"]
 TYPES = ("text", "image", "video", "audio", "document")
@@ -102,20 +103,19 @@ def search_like(messages: DataFrame, chats: DataFrame, query: str, *, limit: int
 
 def next_messages(messages: DataFrame) -> DataFrame:
     """Each message with the one that follows it in its chat by (ts, rowid): next_msg_id, next_ts. Tombstones count."""
-    w = Window.partitionBy("chat_jid").orderBy("ts", "rowid")
-    return messages.withColumn("n", F.lead(F.struct("msg_id", "ts")).over(w)).withColumns({"next_msg_id": F.col("n.msg_id"), "next_ts": F.col("n.ts")}).drop("n")
+    out = following(messages, "chat_jid", ["ts", "rowid"], F.struct("msg_id", "ts"), "n")
+    return out.withColumns({"next_msg_id": F.col("n.msg_id"), "next_ts": F.col("n.ts")}).drop("n")
 
 
 def context(messages: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
     """For each anchor (chat_jid, msg_id), which may be a tombstone, the live messages around it in order: anchor, offset, and the message. The anchor itself stands at 0.
 
-    Neighbours are looked up with one window over the chats that have an anchor, not by joining each anchor with its whole chat."""
+    Neighbours are looked up by running numbers of the live rows of chats that have an anchor, not by joining each anchor with its whole chat."""
     asked = anchors.select(*MESSAGE_KEY).distinct()
     there = messages.join(asked.select("chat_jid").distinct(), "chat_jid", "left_semi").join(asked.withColumn("asked", F.lit(True)), MESSAGE_KEY, "left")
-    w = Window.partitionBy("chat_jid").orderBy("ts", "rowid")
     one = F.struct("msg_id", "ts", "rowid")
     is_live = F.col("deleted_at").isNull()
-    placed = there.withColumn("alive", F.sum(is_live.cast("int")).over(w)).withColumn("m", F.when(is_live, one))
+    placed = running_count(there, "chat_jid", ["ts", "rowid"], is_live, "alive").withColumn("m", F.when(is_live, one))
     # The k live rows before an anchor are those numbered alive - k and on; numbers of live rows make the lookup an equi-join.
     a = placed.filter("asked").select("chat_jid", F.col("msg_id").alias("anchor"), one.alias("m"), (F.col("alive") - is_live.cast("int")).alias("ahead"), is_live.cast("int").alias("own"))
     around = a.select("chat_jid", "anchor", F.explode(F.concat(
