@@ -12,15 +12,11 @@ from quernstone.llm import language_id, mixing, near_dedup, sharding
 from quernstone.llm.decontaminate import decontaminate
 from quernstone.llm.store import shared_dir
 
-#: A language is believed from this probability on; four languages alone give 0.25.
-LEAST_SCORE = 0.3
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or none that the network believes in."""
+    """Drops documents that have no language: no text, or no letters. A low score alone rejects nothing: short clean texts have it."""
     names = ("__lang_pred", "__lang_score")
     marked = language_id.with_language(docs, language_id.fit(docs, F.lit(True)), names=names)
-    return marked.filter((F.col(names[0]) != language_id.UND) & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
+    return marked.filter(F.col(names[0]) != language_id.UND).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
