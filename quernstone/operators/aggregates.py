@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.values import contains_any
+from quernstone.operators.hot import BUCKET, bucketed, preceding, running_count
 from quernstone.operators.reads import limited
 
 
@@ -78,25 +79,37 @@ def tally(polls: DataFrame, latest: DataFrame, options: list[str]) -> DataFrame:
     return offered.join(counts, ["poll_msg_id", "option"], "full_outer").withColumn("votes", F.coalesce("votes", F.lit(0)))
 
 
-def unread_fold(events: DataFrame, *, key: str = "chat_jid", order: str = "seq", plus: str = "plus", sets: str = "sets", keeps: str = "keeps") -> DataFrame:
+def unread_fold(events: DataFrame, *, key: str = "chat_jid", order: str = "seq", plus: str = "plus", sets: str = "sets", keeps: str = "keeps", width: int = 100_000) -> DataFrame:
     """Running unread count per key. plus marks an increment, sets an explicit value (null: none), keeps a mark-unread, which holds the count but makes it 1 at least.
 
-    Segments begin at explicit values. Within one, count = max over marks m of (1 - increments before m), 0, plus the value, plus increments: all windows, no fold in Python."""
-    w = Window.partitionBy(key).orderBy(order)
-    seg = events.withColumn("segment", F.count(F.col(sets)).over(w))
-    v = Window.partitionBy(key, "segment").orderBy(order)
-    base = F.coalesce(F.first(F.col(sets), ignorenulls=True).over(v), F.lit(0))
-    up = F.sum(F.col(plus).cast("int")).over(v)
-    with_up = seg.withColumns({"base": base, "up": up})
-    lift = F.greatest(F.max(F.when(F.col(keeps), 1 - F.col("base") - F.col("up"))).over(v), F.lit(0))
-    return with_up.withColumn("unread_count", (F.col("base") + F.col("up") + F.coalesce(lift, F.lit(0))).cast("bigint")).drop("segment", "base", "up")
+    Within a stretch of order that begins with an explicit value, count = value + increments + the most that a mark had to
+    lift. A bucket without one turns the count c it begins with into max(c + U, V), its increments and the level of its
+    marks; such steps are combined bucket by bucket in a table of a row a bucket. No task sees a whole key, and nothing is
+    folded in Python."""
+    in_bucket = [key, BUCKET]
+    rows = bucketed(events, order, width)
+    seg = rows.withColumn("__s", F.count(F.col(sets)).over(Window.partitionBy(*in_bucket).orderBy(order)))
+    v = Window.partitionBy(*in_bucket, "__s").orderBy(order)
+    seg = seg.withColumns({"__base": F.first(F.col(sets), ignorenulls=True).over(v), "__up": F.sum(F.col(plus).cast("bigint")).over(v)})
+    seg = seg.withColumn("__low", F.max(F.when(F.col(keeps), 1 - F.coalesce("__base", F.lit(0)) - F.col("__up"))).over(v))
+    own = F.col("__base") + F.col("__up") + F.greatest(F.coalesce("__low", F.lit(0)), F.lit(0))
+    ends = seg.groupBy(*in_bucket).agg(F.max_by(F.struct(own.alias("fixed"), F.col("__up").alias("u"), (F.col("__up") + F.col("__low")).alias("v")), order).alias("e")).select(*in_bucket, "e.*")
+    buckets = Window.partitionBy(key).orderBy(BUCKET)
+    ends = ends.withColumn("s", F.count("fixed").over(buckets))
+    w = Window.partitionBy(key, "s").orderBy(BUCKET)
+    free = F.col("fixed").isNull()
+    ends = ends.withColumns({"base": F.coalesce(F.first("fixed", ignorenulls=True).over(w), F.lit(0)), "p": F.sum(F.when(free, F.col("u")).otherwise(0)).over(w)})
+    ends = ends.withColumn("end", F.col("p") + F.greatest("base", F.max(F.when(free, F.col("v") - F.col("p"))).over(w)))
+    carried = ends.select(*in_bucket, F.coalesce(F.lag("end").over(buckets), F.lit(0)).alias("__in"))
+    count = F.coalesce(own, F.greatest(F.col("__in") + F.col("__up"), F.col("__up") + F.col("__low")))
+    return seg.join(carried, in_bucket).withColumn("unread_count", count.cast("bigint")).select(*events.columns, "unread_count")
 
 
 def sessions(events: DataFrame, gap: int, *, key: str = "chat_jid", ts: str = "ts", order: str = "seq") -> DataFrame:
-    """Stretches of a key's events without a pause of more than gap seconds: start, stop, events."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    new = (F.col(ts) - F.lag(ts).over(w) > gap).cast("int")
-    return events.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(w)).groupBy(key, "session").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("stop_ts"), F.count("*").alias("events"))
+    """Stretches of a key's events without a pause of more than gap seconds: session, start, stop, events."""
+    before = preceding(events.select(key, ts, order), key, [ts, order], F.col(ts), "__before")
+    numbered = running_count(before, key, [ts, order], F.coalesce(F.col(ts) - F.col("__before") > gap, F.lit(False)), "session")
+    return numbered.groupBy(key, "session").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("stop_ts"), F.count("*").alias("events"))
 
 
 def checkpoint_lag(ledger: DataFrame, checkpoints: DataFrame) -> DataFrame:

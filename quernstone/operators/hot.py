@@ -20,15 +20,25 @@ def bucketed(df: DataFrame, by: str, width: int = WIDTH) -> DataFrame:
     return df.withColumn(BUCKET, F.coalesce(F.floor(F.col(by) / width), F.lit(-(2**62))).cast("bigint"))
 
 
+def _neighbour(df: DataFrame, key: str, order: list[str], value: Column, name: str, width: int, ahead: bool) -> DataFrame:
+    rows = bucketed(df, order[0], width).withColumn("__v", value)
+    up, down = [F.col(c) for c in order], [F.col(c).desc() for c in order]
+    near = rows.groupBy(key, BUCKET).agg((F.min_by if ahead else F.max_by)("__v", F.struct(*order)).alias("__n"))
+    across = near.withColumn("__across", F.lead("__n").over(Window.partitionBy(key).orderBy(F.col(BUCKET) if ahead else F.col(BUCKET).desc()))).drop("__n")
+    inside = F.lead("__v").over(Window.partitionBy(key, BUCKET).orderBy(*(up if ahead else down)))
+    last = F.row_number().over(Window.partitionBy(key, BUCKET).orderBy(*(down if ahead else up))) == 1
+    out = rows.withColumns({"__inside": inside, "__last": last}).join(across, [key, BUCKET])
+    return out.withColumn(name, F.when(F.col("__last"), F.col("__across")).otherwise(F.col("__inside"))).select(*df.columns, name)
+
+
 def following(df: DataFrame, key: str, order: list[str], value: Column, name: str, width: int = WIDTH) -> DataFrame:
     """df with the value of the key's next row by order; order begins with the column that makes the buckets."""
-    rows = bucketed(df, order[0], width).withColumn("__v", value)
-    first = rows.groupBy(key, BUCKET).agg(F.min_by("__v", F.struct(*order)).alias("__first"))
-    after = first.withColumn("__next", F.lead("__first").over(Window.partitionBy(key).orderBy(BUCKET))).drop("__first")
-    inside = F.lead("__v").over(Window.partitionBy(key, BUCKET).orderBy(*order))
-    last = F.row_number().over(Window.partitionBy(key, BUCKET).orderBy(*[F.col(c).desc() for c in order])) == 1
-    out = rows.withColumns({"__inside": inside, "__last": last}).join(after, [key, BUCKET])
-    return out.withColumn(name, F.when(F.col("__last"), F.col("__next")).otherwise(F.col("__inside"))).select(*df.columns, name)
+    return _neighbour(df, key, order, value, name, width, True)
+
+
+def preceding(df: DataFrame, key: str, order: list[str], value: Column, name: str, width: int = WIDTH) -> DataFrame:
+    """df with the value of the key's row before by order."""
+    return _neighbour(df, key, order, value, name, width, False)
 
 
 def running_count(df: DataFrame, key: str, order: list[str], counted: Column, name: str, width: int = WIDTH) -> DataFrame:

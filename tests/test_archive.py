@@ -4,12 +4,13 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import parse
 from quernstone.functions import values as v
 from quernstone.operators import aggregates as ag
-from quernstone.operators import folds, identity, search
+from quernstone.operators import folds, hot, identity, search
 from quernstone.operators import joins as jo
 from quernstone.operators import reads as rd
 from quernstone.plans import ledger as lg
@@ -190,8 +191,22 @@ def test_votes_and_unread_equal_python(spark):
         c = count.get(k, 0)
         c = sets if sets is not None else max(c, 1) if keeps else c + plus
         count[k] = want[seq] = c
-    got = ag.unread_fold(spark.createDataFrame(steps, "chat_jid string, seq bigint, plus boolean, sets bigint, keeps boolean"))
-    assert {r.seq: r.unread_count for r in got.collect()} == want
+    df = spark.createDataFrame(steps, "chat_jid string, seq bigint, plus boolean, sets bigint, keeps boolean")
+    for width in (1, 7, 40, 100_000):
+        assert {r.seq: r.unread_count for r in ag.unread_fold(df, width=width).collect()} == want
+
+
+def test_windows_in_buckets_equal_plain_ones(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([None, *range(40)]), i, rng.random() < 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, i bigint, c boolean")
+    w = Window.partitionBy("k").orderBy("ts", "i")
+    want = sorted(map(tuple, df.select("i", F.lead("i").over(w), F.lag("i").over(w), F.sum(F.col("c").cast("bigint")).over(w)).collect()))
+    for width in (1, 9, 1000):
+        out = hot.following(df, "k", ["ts", "i"], F.col("i"), "n", width)
+        out = hot.preceding(out, "k", ["ts", "i"], F.col("i"), "p", width)
+        out = hot.running_count(out, "k", ["ts", "i"], F.col("c"), "r", width)
+        assert sorted(map(tuple, out.select("i", "n", "p", "r").collect())) == want
 
 
 def test_calls_polls_and_purges(spark):
