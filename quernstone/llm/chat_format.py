@@ -17,11 +17,13 @@ conversations are spread by id. Only built-in expressions are used. An empty tab
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 KINDS = ("image", "audio", "document")
+#: Code points of the blocks in which a span is looked up.
+BLOCK = 4096
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 600
 #: Written by this module's own parts, where a text can't have it: a bare "<".
 PLACE_OPEN, PLACE_CLOSE = "<", ">"
@@ -73,32 +75,36 @@ def _is_file(p: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
-    """turns: a row a turn, parts_col of type PARTS. Per conversation: conv_id, formatted, loss_spans, attachments, tokens, n_turns."""
-    rows = turns.select(turns[conv_col].alias("conv_id"), F.struct(turns[turn_col].alias("turn"), F.coalesce(turns[role_col], F.lit("")).alias("role"), F.coalesce(turns[parts_col], F.array().cast(PARTS)).alias("parts")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # The visitor: each part becomes text or a placeholder that carries the number of files before it.
-    flat = F.flatten(F.transform("turns", lambda t: t["parts"]))
-    files = F.filter(flat, _is_file)
-    before = F.aggregate("turns", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(F.filter(t["parts"], _is_file)))))
-
-    def body(t: Column, k: Column) -> Column:
-        start = F.struct(F.lit("").alias("s"), F.element_at(F.col("before"), k + 1).alias("n"))
+    """turns: a row a turn, parts_col of type PARTS. Per conversation: conv_id, formatted, loss_spans, attachments, tokens, n_turns.
 
-        def visit(acc: Column, p: Column) -> Column:
-            mark = F.concat(F.lit(PLACE_OPEN), p["type"], F.lit(" "), (acc["n"] + 1).cast("string"), F.lit(PLACE_CLOSE))
-            return F.struct(F.concat(acc["s"], F.when(_is_file(p), mark).otherwise(escape(p["text"]))).alias("s"), (acc["n"] + _is_file(p).cast("int")).alias("n"))
+    Turns are written row by row; what depends on the turns before (numbers of files, offsets) are running sums over
+    the conversation, so that the work grows in proportion to a conversation's length."""
+    rows = turns.select(turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"), F.coalesce(turns[role_col], F.lit("")).alias("role"), F.coalesce(turns[parts_col], F.array().cast(PARTS)).alias("parts"))
+    within = Window.partitionBy("conv_id")
+    ordered = within.orderBy("turn", "role", "parts")
+    ahead = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    files = F.size(F.filter("parts", _is_file))
+    rows = rows.withColumns({"number": F.row_number().over(ordered), "before": F.coalesce(F.sum(files).over(ahead), F.lit(0))})
 
-        return F.aggregate(t["parts"], start, visit)["s"]
-
-    marked = whole.select("conv_id", "turns", before.alias("before"), files.alias("files"), F.aggregate(F.transform(flat, _tokens), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"))
-    pieces = F.transform("turns", lambda t, k: F.struct(F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit(MIDDLE)).alias("head"), body(t, k).alias("body"), (F.lower(t["role"]) == "assistant").alias("loss")))
-    made = marked.select("conv_id", "files", "tokens", pieces.alias("pieces"))
-    joined = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    ends = F.aggregate("pieces", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p["head"]) + F.length(p["body"]) + len(CLOSE))))
-    made = made.select("conv_id", "files", "tokens", "pieces", joined.alias("formatted"), ends.alias("ends"))
-    spans = F.filter(F.transform("pieces", lambda p, k: F.struct((F.element_at(F.col("ends"), k + 1) + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"), p["loss"].alias("loss"))), lambda s: s["loss"])
-    attachments = F.transform("files", lambda p, k: F.struct(F.concat(F.lit(PLACE_OPEN), p["type"], F.lit(" "), (k + 1).cast("string"), F.lit(PLACE_CLOSE)).alias("placeholder"), p["type"].alias("type"), p["uri"].alias("uri"), _tokens(p).alias("tokens")))
-    return made.select("conv_id", "formatted", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"), attachments.alias("attachments"), "tokens", F.size("pieces").cast("bigint").alias("n_turns"))
+    # The visitor: each part becomes text or a placeholder that carries the number of files before it.
+    def visit(acc: Column, p: Column) -> Column:
+        mark = F.concat(F.lit(PLACE_OPEN), p["type"], F.lit(" "), (acc["n"] + 1).cast("string"), F.lit(PLACE_CLOSE))
+        return F.struct(F.concat(acc["s"], F.when(_is_file(p), mark).otherwise(escape(p["text"]))).alias("s"), (acc["n"] + _is_file(p).cast("bigint")).alias("n"))
+
+    body = F.aggregate("parts", F.struct(F.lit("").alias("s"), F.col("before").alias("n")), visit)["s"]
+    head = F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit(MIDDLE))
+    record = lambda p, k: F.struct(F.concat(F.lit(PLACE_OPEN), p["type"], F.lit(" "), (F.col("before") + k + 1).cast("string"), F.lit(PLACE_CLOSE)).alias("placeholder"), p["type"].alias("type"), p["uri"].alias("uri"), _tokens(p).alias("tokens"))
+    written = rows.select(
+        "conv_id", "number", head.alias("head"), body.alias("body"), (F.lower("role") == "assistant").alias("loss"), F.transform(F.filter("parts", _is_file), record).alias("files"),
+        F.aggregate(F.transform("parts", _tokens), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"),
+    )
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    upto = within.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(size).over(upto), F.lit(0)) + F.length("head")
+    placed = written.select("conv_id", "tokens", F.struct("number", F.concat("head", "body", F.lit(CLOSE)).alias("text"), start.alias("start"), F.length("body").cast("bigint").alias("length"), "loss", "files").alias("piece"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_turns"))
+    spans = F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return whole.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_spans"), F.flatten(F.transform("pieces", lambda p: p["files"])).alias("attachments"), "tokens", "n_turns")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -118,8 +124,16 @@ def digests(chats: DataFrame) -> DataFrame:
     """Per conversation, from formatted and loss_spans alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; then tokens, n_attachments."""
     back = read_back(chats)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    back = back.withColumn("loss", loss)
+    # A span is read from the blocks that it touches, not from the start of the conversation. The list of blocks is
+    # named twice, lest the optimiser put its making inside the function over spans.
+    back = back.withColumn("blocks", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+    def cut(s: Column) -> Column:
+        first, inner = F.floor(s["start"] / BLOCK).cast("int"), (s["start"] % BLOCK).cast("int")
+        n = F.least(F.floor((inner + s["length"]) / BLOCK).cast("int") + 1, F.size("blocks") - first)
+        return unescape(F.substring(F.array_join(F.slice("blocks", first + 1, n), ""), inner + 1, s["length"].cast("int")))
+
+    back = back.withColumn("loss", F.array_join(F.transform("loss_spans", cut), ""))
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"), "tokens", F.size("attachments").cast("bigint").alias("n_attachments"),

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 import re
@@ -329,6 +330,14 @@ def test_parts_become_placeholders(spark):
     assert made[2].formatted == "### user: </turn>\n" and made[2].tokens == 0
 
 
+def test_a_long_conversation_is_read_back_from_blocks(spark):
+    said = "wörd #<\\ \U0001f642 " * 40  # three blocks' worth in eight turns, with characters beyond the basic plane
+    n = 600
+    turns = spark.range(n).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    got = chat_format.digests(chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(F.col("text"))))).collect()
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(n, len(said) * n // 2, hashlib.sha256((said * (n // 2)).encode()).hexdigest())]
+
+
 def test_no_chats(spark):
     none = spark.createDataFrame([], f"conv_id bigint, turn bigint, role string, parts {chat_format.PARTS}")
     assert chat_format.digests(chat_format.format_chats(none)).count() == 0
