@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.store import small_batches
+from quernstone.llm.store import durable, small_batches
 
 LABELLED = 400
 
@@ -250,9 +250,14 @@ def extract(page: str | None, weights: tuple[dict, dict]) -> str:
 
 
 def fit(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id", labelled: int = LABELLED) -> tuple[dict, dict]:
-    """Weights from at most labelled pages with an article or main element."""
-    chosen = pages.filter(pages[html_col].rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(pages[id_col]).alias("h"), pages[html_col].alias("html"))
-    return learn([r.html for r in chosen.orderBy("h", "html").limit(labelled).collect()])
+    """Weights from at most labelled pages with an article or main element. They are chosen by hashes alone, then
+    fetched, so that no partition sends its own candidates' html to the driver; repeated rows teach once."""
+    keys = {"h": F.xxhash64(pages[id_col]), "g": F.xxhash64(pages[html_col])}
+    having = pages.filter(pages[html_col].rlike("(?i)<(article|main)[\\s>]")).select(*[c.alias(k) for k, c in keys.items()], pages[html_col].alias("html"))
+    chosen = durable(having.select("h", "g").orderBy("h", "g").limit(labelled), "labelled").distinct()
+    # At most labelled pairs of hashes are broadcast, and as many pages come to the driver.
+    rows = having.join(F.broadcast(chosen), ["h", "g"]).dropDuplicates(["h", "g"]).orderBy("h", "g").collect()
+    return learn([r.html for r in rows])
 
 
 def extract_pages(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
