@@ -12,8 +12,10 @@ Candidates. ``BANDS`` bands of ``ROWS`` slots. A pair at similarity 0.8 meets in
 with probability 1 - (1 - 0.8^5)^24 = 0.99993, one at 0.9 with all but 2e-10. In a bucket of up to
 ``SMALL`` texts all pairs are candidates. In a larger one, each text is a candidate with the bucket's first
 text; those that turn out too different are compared with the first of their own, and so on for ``ROUNDS``
-rounds. What is left after that are texts that share a passage but not their bulk. Two of those that are near
-to each other also meet in bands that the passage doesn't fill, whose buckets are small.
+rounds. These rounds only save work: what they link is one group. A large bucket whose texts are in several
+groups after that is cut into blocks by hash, and each block is compared with each (itself too): every pair of
+texts that are not in one group yet is a candidate. This work grows with the square of such a bucket, dealt to
+as many tasks as there are pairs of blocks; rows grow with the bucket times its blocks.
 
 Verification. A pair must agree in 65 % of the slots (four standard deviations under 0.8), then the probability
 Jaccard of the two whole texts is computed exactly and must reach 0.8.
@@ -42,6 +44,8 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 SMALL = 12
 ROUNDS = 3
+#: Texts and bytes of one block of a large bucket, on average.
+BLOCK, BLOCK_BYTES = 1024, 1 << 23
 #: Below this many rows (16 bytes each) a table of keys is broadcast; else it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -129,13 +133,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bands, sigs], names=["doc_id", "tk", "bands", "sig"])
 
 
+#: The share of slots in which a pair must agree.
+AGREE = SIMILARITY - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / SLOTS)
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose signatures agree in enough slots."""
-    least = SIMILARITY - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / SLOTS)
     for batch in batches:
         if batch.num_rows:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SLOTS) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= least))
+            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= AGREE))
 
 
 def _verify(similarity: float):
@@ -159,6 +166,48 @@ def _verify(similarity: float):
     return run
 
 
+def _compare(similarity: float):
+    """Links between the texts of two blocks (or within one) that connect all that the near pairs connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        tk, group, block = (table[c].to_numpy() for c in ("tk", "group", "block"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, SLOTS)
+        right = np.flatnonzero(block == j)
+        pairs = []
+        for p in np.flatnonzero(block == i):
+            q = right[(group[right] != group[p]) & ((right > p) if i == j else True)]
+            share = (sig[q] == sig[p]).mean(1)
+            on = share >= AGREE
+            pairs.append(np.stack([share[on], np.full(on.sum(), p), q[on]]))
+        share, x, y = np.concatenate(pairs, 1)
+        x, y = x.astype(np.int64), y.astype(np.int64)
+        needed = np.unique(np.append(x, y))
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in chunks(table["text"].combine_chunks().take(pa.array(needed))) if len(needed) else ():
+            doc, s, w = shingles(t)
+            at = np.searchsorted(doc, np.arange(len(t) + 1))
+            own += [(s[at[k] : at[k + 1]], w[at[k] : at[k + 1]]) for k in range(len(t))]
+        place = dict(zip(needed.tolist(), range(len(needed)), strict=True))
+        parent: dict[int, int] = {}
+
+        def root(g: int) -> int:
+            while (up := parent.get(g, g)) != g:
+                parent[g] = g = parent.get(up, up)
+            return g
+
+        links = []
+        # The likeliest first: pairs within what these connect need no check.
+        for k in np.lexsort((tk[y], tk[x], -share)):
+            a, b = root(int(group[x[k]])), root(int(group[y[k]]))
+            if a != b and probability_jaccard(*own[place[int(x[k])]], *own[place[int(y[k])]]) >= similarity - 1e-9:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(tk[x[k]]), int(tk[y[k]])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 def _near(left: DataFrame, keys: DataFrame, rows: int, on: str) -> DataFrame:
     """left restricted to keys (distinct, rows of them)."""
     return left.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on)
@@ -193,7 +242,10 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
         with_lead = durable(_near(open_rows, lead, n_buckets, "band").filter("tk > a").select("band", "tk", "a"), "large")
 
     # Every distinct text in a group, and every text found twice, with its class.
-    groups = components(links).withColumnsRenamed({"node": "tk", "component": "group"})
+    groups = durable(components(links).withColumnsRenamed({"node": "tk", "component": "group"}), "groups")
+    more = _between_groups(sized.filter(F.col("n") > SMALL).select("band", "tk"), n_buckets, groups, signed, keyed, similarity)
+    if more.head(1):
+        groups = components(groups.select(F.col("tk").alias("a"), F.col("group").alias("b")).unionByName(more)).withColumnsRenamed({"node": "tk", "component": "group"})
     ids = signed.groupBy("tk").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     known = ids.join(groups, "tk", "left").filter("n > 1 OR group IS NOT NULL").withColumn("group", F.coalesce("group", "tk"))
     known = durable(known, "known")
@@ -214,14 +266,40 @@ def _check(pairs: DataFrame, signed: DataFrame, keyed: DataFrame, similarity: fl
     both = pairs.join(sigs.select(F.col("tk").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tk").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     close = durable(both.mapInArrow(_agree, "a bigint, b bigint"), "close")
     ends = durable(close.select(F.col("a").alias("tk")).unionByName(close.select(F.col("b").alias("tk"))).distinct(), "ends")
-    n = ends.count()
-    # One row for each text: its least id stands for it, so that copies don't move their text.
-    reps = durable(_near(signed.select("tk", "doc_id"), ends, n, "tk").groupBy("tk").agg(F.min("doc_id").alias("doc_id")), "reps")
-    texts = _near(keyed.select("tk", "doc_id", "text"), reps.select("doc_id", F.col("tk").alias("rep")), n, "doc_id").filter("rep = tk").dropDuplicates(["tk"]).select("tk", "text")
+    texts = _texts(ends, ends.count(), signed, keyed)
     both = close.join(texts.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return durable(both.mapInArrow(_verify(similarity), "a bigint, b bigint"), "links")
 
 
+def _texts(ends: DataFrame, n: int, signed: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(tk, text) of the n text keys. One row for each: its least id stands for it, so that copies don't move their text."""
+    reps = durable(_near(signed.select("tk", "doc_id"), ends, n, "tk").groupBy("tk").agg(F.min("doc_id").alias("doc_id")), "reps")
+    return _near(keyed.select("tk", "doc_id", "text"), reps.select("doc_id", F.col("tk").alias("rep")), n, "doc_id").filter("rep = tk").dropDuplicates(["tk"]).select("tk", "text")
+
+
+def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, signed: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts that meet (band, tk) and are not in one group (tk, group) yet; a text without a group is its own."""
+    known = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    placed = met.join(known, "tk", "left").withColumn("group", F.coalesce("group", "tk"))
+    placed = durable(placed, "placed")
+    mixed = placed.groupBy("band").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("band")
+    placed = durable(_near(placed, mixed, n_buckets, "band"), "mixed")
+    if not placed.head(1):
+        return placed.select(F.col("tk").alias("a"), F.col("tk").alias("b"))
+    ends = durable(placed.select("tk").distinct(), "ends")
+    n = ends.count()
+    sigs = _near(signed.select("tk", "sig"), ends, n, "tk").dropDuplicates(["tk"])
+    whole = durable(_texts(ends, n, signed, keyed).join(sigs, "tk"), "whole")
+    sizes = whole.select("tk", F.octet_length("text").alias("bytes"))
+    blocks = placed.join(F.broadcast(sizes) if n <= BROADCAST_ROWS else sizes, "tk").groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0))).alias("blocks"))
+    blocks = durable(blocks, "blocks")
+    cut = _near(placed, blocks, n_buckets, "band").withColumn("block", F.pmod("tk", "blocks"))
+    dealt = cut.select("band", "tk", "group", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", "tk", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = dealt.join(whole, "tk").groupBy("band", "i", "j").applyInArrow(_compare(similarity), "a bigint, b bigint")
+    return durable(found, "between")
+
+
 def keep_one(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group, that of the least id; rows that repeat it are dropped too. Rows without an id or text stay."""
     found = durable(near_duplicates(docs, doc_col=doc_col, text_col=text_col), "found")

@@ -64,6 +64,25 @@ def test_groups_match_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] for r in found)
 
 
+def test_copies_near_only_to_their_original(spark):
+    rng = random.Random(11)
+    base = [rng.choice(VOCABULARY) for _ in range(250)]
+    docs = [base]
+    for _ in range(200):  # about 0.85 like the original, 0.72 like each other
+        copy = list(base)
+        for k in rng.sample(range(4, 246), 4):
+            copy[k] = rng.choice(VOCABULARY)
+        docs.append(copy)
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert _groups(found) == _brute(rows) == {i: 0 for i in range(201)}
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    test_copies_near_only_to_their_original(spark)
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     errors = []
