@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HTML = 1 << 20
 BRACKETS = 12
 URL = r"https?://[^\s<>\"'`]+"
 
@@ -54,10 +53,10 @@ class _Head(HTMLParser):
             self.title = None
 
 
-def page_metadata(pages: DataFrame, *, html_col: str = "html", max_bytes: int = MAX_HTML) -> DataFrame:
-    """pages of at most max_bytes with title, description and image, in Arrow batches."""
+def page_metadata(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
+    """pages with title, description and image, in Arrow batches. Every page is kept and read whole; without html all three are empty."""
     keep = [c for c in pages.columns if c not in (html_col, "title", "description", "image")]
-    narrow = pages.filter(F.octet_length(html_col) <= max_bytes).select(*keep, F.col(html_col).alias("__html"))
+    narrow = pages.select(*keep, F.col(html_col).alias("__html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -58,6 +58,11 @@ def test_page_metadata(spark):
     assert [tuple(r) for r in parse.page_metadata(rows).orderBy("page_id").collect()] == [(1, "T", "a b", "i"), (2, "", "", ""), (3, "a b", "", "")]
 
 
+def test_page_metadata_keeps_every_page(spark):
+    rows = spark.createDataFrame([(1, None), (2, "<title>long</title>" + "x" * (1 << 20))], "page_id bigint, html string")
+    assert [tuple(r) for r in parse.page_metadata(rows).orderBy("page_id").collect()] == [(1, "", "", ""), (2, "long", "", "")]
+
+
 # Search
 
 
