@@ -20,9 +20,10 @@ as many tasks as there are pairs of blocks; rows grow with the bucket times its
 Verification. A pair must agree in 65 % of the slots (four standard deviations under 0.8), then the probability
 Jaccard of the two whole texts is computed exactly and must reach 0.8.
 
-Groups are the connected components of the links. Exact copies (after lower-casing) are joined by their hash
-and enter all of this once. Rows whose text is null, or whose id is null, are in no group; texts without words
-are grouped only with equal ones. Repeated rows share their class.
+Groups are the connected components of the links. Exact copies (after lower-casing) are joined by a 64-bit hash and
+enter all of this once; texts that only share that hash are told apart by a second one. Rows whose text is null, or
+whose id is null, are in no group; texts without words are grouped only with equal ones. Repeated rows share their
+class. An id that stands for several texts is in the class of each, and a class is named by the least id in it.
 """
 
 from __future__ import annotations
@@ -46,8 +47,9 @@ SMALL = 12
 ROUNDS = 3
 #: Texts and bytes of one block of a large bucket, on average.
 BLOCK, BLOCK_BYTES = 1024, 1 << 23
-#: Below this many rows (16 bytes each) a table of keys is broadcast; else it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Below this many rows (16 bytes each) a table of keys is broadcast, and below so many a table of signatures (half a
+#: kilobyte each); else it is joined by a plain shuffle of written tables, whose hot partitions Spark can split.
+BROADCAST_ROWS, BROADCAST_SIGNATURES = 1_000_000, 16_384
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +132,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(h[filled].reshape(-1).view(np.int64)))
             data = np.ascontiguousarray(sig).view(np.uint8).reshape(-1)
             sigs = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer((np.arange(len(t) + 1) * (4 * SLOTS)).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bands, sigs], names=["doc_id", "tk", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), bands, sigs], names=["doc_id", "tk", "check", "bands", "sig"])
 
 
 #: The share of slots in which a pair must agree.
@@ -213,12 +215,32 @@ def _near(left: DataFrame, keys: DataFrame, rows: int, on: str) -> DataFrame:
     return left.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on)
 
 
-def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of docs with an id: doc_id, class_id (the least id of its group, its own if it is in none), class_size."""
+def _keyed(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tk, text, check) of the rows with an id and a text."""
+    base = docs.filter(docs[doc_col].isNotNull() & docs[text_col].isNotNull()).select(docs[doc_col].alias("doc_id"), F.lower(docs[text_col]).alias("text"))
+    return base.select("doc_id", F.xxhash64("text").alias("tk"), "text", F.xxhash64(F.lit(1), "text").alias("check"))
+
+
+def _told_apart(keyed: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """keyed with keys of their own for texts that share one by chance."""
+    if clashes is None:
+        return keyed
+    few = clashes.count()
+    marked = keyed.join(F.broadcast(clashes) if few <= BROADCAST_ROWS else clashes, "tk", "left")
+    return marked.withColumn("tk", F.when(F.col("clash"), F.xxhash64("tk", "check")).otherwise(F.col("tk"))).select(*keyed.columns)
+
+
+def _classes(docs: DataFrame, *, doc_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Per row with an id and a text: doc_id, tk, class_id, class_tk, class_size (nulls: in no group). And the keys that clash."""
     small_batches(docs.sparkSession)
-    base = docs.select(docs[doc_col].cast("bigint").alias("doc_id"), F.lower(docs[text_col]).alias("text"))
-    keyed = base.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    signed = durable(keyed.filter("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, "doc_id bigint, tk bigint, bands array<bigint>, sig binary"), "signed")
+    keyed, clashes = _keyed(docs, doc_col, text_col), None
+    kind = dict(keyed.dtypes)["doc_id"]
+    signed = durable(keyed.mapInArrow(_sign, f"doc_id {kind}, tk bigint, check bigint, bands array<bigint>, sig binary"), "signed")
+    ids = durable(signed.groupBy("tk").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), (F.min("check") < F.max("check")).alias("clash")), "ids")
+    if ids.filter("clash").head(1):
+        clashes = durable(ids.filter("clash").select("tk", "clash"), "clashes")
+        keyed, signed = _told_apart(keyed, clashes), durable(_told_apart(signed, clashes), "signed")
+        ids = durable(signed.groupBy("tk").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "ids")
 
     # One row for each distinct text and band; buckets of one text are of no use. Buckets are reduced map-side to their
     # ends and sizes; where these few figures are small they go to the rows, so that a hot bucket meets in no task.
@@ -228,87 +250,101 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
     met = durable(_near(rows, several, n_buckets, "band").distinct(), "buckets")
     sizes = durable(met.groupBy("band").agg(F.count("*").alias("n"), F.min("tk").alias("a")), "sizes")
     sized = _near(met, sizes, n_buckets, "band")
+    whole, n_whole = _candidates(met, ids, signed, keyed)
+
     few = sized.filter(F.col("n") <= SMALL).select("band", "tk")
     pairs = few.select("band", F.col("tk").alias("a")).join(few.select("band", F.col("tk").alias("b")), "band").filter("a < b").select("a", "b").distinct()
-    links = _check(pairs, signed, keyed, similarity)
+    links = _check(pairs, whole, n_whole, similarity)
     with_lead = durable(sized.filter((F.col("n") > SMALL) & (F.col("tk") > F.col("a"))).select("band", "tk", "a"), "large")
     for _ in range(ROUNDS):
         if not with_lead.head(1):
             break
-        held = _check(with_lead.select("a", F.col("tk").alias("b")).distinct(), signed, keyed, similarity)
+        held = _check(with_lead.select("a", F.col("tk").alias("b")).distinct(), whole, n_whole, similarity)
         links = links.unionByName(held)
         open_rows = durable(with_lead.join(held.withColumnRenamed("b", "tk"), ["a", "tk"], "left_anti").select("band", "tk"), "open")
-        lead = open_rows.groupBy("band").agg(F.min("tk").alias("a"))
+        lead = durable(open_rows.groupBy("band").agg(F.min("tk").alias("a")), "lead")
         with_lead = durable(_near(open_rows, lead, n_buckets, "band").filter("tk > a").select("band", "tk", "a"), "large")
 
     # Every distinct text in a group, and every text found twice, with its class.
     groups = durable(components(links).withColumnsRenamed({"node": "tk", "component": "group"}), "groups")
-    more = _between_groups(sized.filter(F.col("n") > SMALL).select("band", "tk"), n_buckets, groups, signed, keyed, similarity)
+    more = _between_groups(sized.filter(F.col("n") > SMALL).select("band", "tk"), n_buckets, groups, whole, n_whole, similarity)
     if more.head(1):
         groups = components(groups.select(F.col("tk").alias("a"), F.col("group").alias("b")).unionByName(more)).withColumnsRenamed({"node": "tk", "component": "group"})
-    ids = signed.groupBy("tk").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    known = ids.join(groups, "tk", "left").filter("n > 1 OR group IS NOT NULL").withColumn("group", F.coalesce("group", "tk"))
+    known = ids.select("tk", "least", "n").join(groups, "tk", "left").filter("n > 1 OR group IS NOT NULL").withColumn("group", F.coalesce("group", "tk"))
     known = durable(known, "known")
-    classes = known.groupBy("group").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    table = durable(known.join(classes, "group").select("tk", "class_id", "class_size"), "classes")
-    small = table.count() <= BROADCAST_ROWS
-    all_rows = signed.select("doc_id", "tk").unionByName(docs.filter(docs[text_col].isNull() | docs[doc_col].isNull()).select(docs[doc_col].cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("tk")))
-    return all_rows.join(F.broadcast(table) if small else table, "tk", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
+    classes = durable(known.groupBy("group").agg(F.min(F.struct("least", "tk")).alias("lead"), F.sum("n").alias("class_size")).select("group", F.col("lead.least").alias("class_id"), F.col("lead.tk").alias("class_tk"), "class_size"), "classes")
+    table = durable(known.join(classes, "group").select("tk", "class_id", "class_tk", "class_size"), "table")
+    return signed.select("doc_id", "tk").join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, "tk", "left"), clashes
 
 
-def _check(pairs: DataFrame, signed: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text keys that are similar enough."""
-    pairs = durable(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).distinct()
-    ends = durable(ends, "ends")
+def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of docs: doc_id, class_id (the least id of its group, its own if it is in none), class_size."""
+    found, _ = _classes(docs, doc_col=doc_col, text_col=text_col, similarity=similarity)
+    rest = docs.filter(docs[doc_col].isNull() | docs[text_col].isNull()).select(docs[doc_col].alias("doc_id"), docs[doc_col].alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size")).unionByName(rest)
+
+
+def _candidates(met: DataFrame, ids: DataFrame, signed: DataFrame, keyed: DataFrame) -> tuple[DataFrame, int]:
+    """(tk, sig, text, bytes) of every text that meets another in a bucket, written once for all comparisons, and their number.
+
+    The row of the least id stands for a text, so that copies move neither text nor signature."""
+    ends = durable(met.select("tk").distinct().join(ids.select("tk", "least"), "tk"), "ends")
     n = ends.count()
-    sigs = _near(signed.select("tk", "sig"), ends, n, "tk").dropDuplicates(["tk"])
+    own = F.broadcast(ends) if n <= BROADCAST_ROWS else ends
+    sigs = durable(signed.join(own, "tk").filter("doc_id = least").select("tk", "sig").dropDuplicates(["tk"]), "signatures")
+    texts = keyed.join(own, "tk").filter("doc_id = least").select("tk", "text").dropDuplicates(["tk"])
+    return durable(texts.join(sigs, "tk").select("tk", "sig", "text", F.octet_length("text").alias("bytes")), "candidates"), n
+
+
+def _check(pairs: DataFrame, whole: DataFrame, n_whole: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text keys that are similar enough.
+
+    All sides are written tables: a text with very many partners is a hot key on the side of the pairs, which Spark splits."""
+    pairs = durable(pairs, "pairs")
+    sigs = whole.select("tk", "sig")
+    sigs = F.broadcast(sigs) if n_whole <= BROADCAST_SIGNATURES else sigs
     both = pairs.join(sigs.select(F.col("tk").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tk").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     close = durable(both.mapInArrow(_agree, "a bigint, b bigint"), "close")
-    ends = durable(close.select(F.col("a").alias("tk")).unionByName(close.select(F.col("b").alias("tk"))).distinct(), "ends")
-    texts = _texts(ends, ends.count(), signed, keyed)
-    both = close.join(texts.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both = close.join(whole.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return durable(both.mapInArrow(_verify(similarity), "a bigint, b bigint"), "links")
 
 
-def _texts(ends: DataFrame, n: int, signed: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(tk, text) of the n text keys. One row for each: its least id stands for it, so that copies don't move their text."""
-    reps = durable(_near(signed.select("tk", "doc_id"), ends, n, "tk").groupBy("tk").agg(F.min("doc_id").alias("doc_id")), "reps")
-    return _near(keyed.select("tk", "doc_id", "text"), reps.select("doc_id", F.col("tk").alias("rep")), n, "doc_id").filter("rep = tk").dropDuplicates(["tk"]).select("tk", "text")
-
-
-def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, signed: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, whole: DataFrame, n_whole: int, similarity: float) -> DataFrame:
     """Links (a, b) between texts that meet (band, tk) and are not in one group (tk, group) yet; a text without a group is its own."""
     known = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     placed = met.join(known, "tk", "left").withColumn("group", F.coalesce("group", "tk"))
     placed = durable(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("band")
+    mixed = durable(placed.groupBy("band").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("band"), "several")
     placed = durable(_near(placed, mixed, n_buckets, "band"), "mixed")
     if not placed.head(1):
         return placed.select(F.col("tk").alias("a"), F.col("tk").alias("b"))
-    ends = durable(placed.select("tk").distinct(), "ends")
-    n = ends.count()
-    sigs = _near(signed.select("tk", "sig"), ends, n, "tk").dropDuplicates(["tk"])
-    whole = durable(_texts(ends, n, signed, keyed).join(sigs, "tk"), "whole")
-    sizes = whole.select("tk", F.octet_length("text").alias("bytes"))
-    blocks = placed.join(F.broadcast(sizes) if n <= BROADCAST_ROWS else sizes, "tk").groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0))).alias("blocks"))
+    sizes = whole.select("tk", "bytes")
+    blocks = placed.join(F.broadcast(sizes) if n_whole <= BROADCAST_ROWS else sizes, "tk").groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0))).alias("blocks"))
     blocks = durable(blocks, "blocks")
     cut = _near(placed, blocks, n_buckets, "band").withColumn("block", F.pmod("tk", "blocks"))
     dealt = cut.select("band", "tk", "group", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("band", "tk", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = dealt.join(whole, "tk").groupBy("band", "i", "j").applyInArrow(_compare(similarity), "a bigint, b bigint")
+    found = dealt.join(whole.drop("bytes"), "tk").groupBy("band", "i", "j").applyInArrow(_compare(similarity), "a bigint, b bigint")
     return durable(found, "between")
 
 
 def keep_one(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group, that of the least id; rows that repeat it are dropped too. Rows without an id or text stay."""
-    found = durable(near_duplicates(docs, doc_col=doc_col, text_col=text_col), "found")
-    lost = found.filter("doc_id <> class_id").select("doc_id").distinct()
-    again = found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    lost, again = durable(lost, "lost"), durable(again, "again")
+    """docs with one row of each group: of the rows with the least id, one with the least text key. A row is judged by its id
+    and its text together, so that others with the same id and another text are not touched. Rows without an id or text stay."""
+    found, clashes = _classes(docs, doc_col=doc_col, text_col=text_col, similarity=SIMILARITY)
+    found = durable(found.filter("class_id IS NOT NULL"), "found")
+    lead = (F.col("doc_id") == F.col("class_id")) & (F.col("tk") == F.col("class_tk"))
+    lost = durable(found.filter(~lead).select("doc_id", "tk").distinct(), "lost")
+    again = durable(found.filter(lead).groupBy("doc_id", "tk").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "tk"), "again")
     n, m = lost.count(), again.count()
-    kept = docs.join(F.broadcast(lost) if n <= BROADCAST_ROWS else lost, docs[doc_col] == lost["doc_id"], "left_anti")
-    if not m:
-        return kept
-    few = F.broadcast(again) if m <= BROADCAST_ROWS else again
-    return kept.join(few, docs[doc_col] == again["doc_id"], "left_anti").unionByName(kept.join(few, docs[doc_col] == again["doc_id"], "left_semi").dropDuplicates([doc_col]))
+    if not n and not m:
+        return docs
+    row = F.struct(*[docs[c] for c in docs.columns])
+    text = F.lower(docs[text_col])
+    marked = docs.select(row.alias("row"), docs[doc_col].alias("doc_id"), F.xxhash64(text).alias("tk"), F.xxhash64(F.lit(1), text).alias("check"), text.isNotNull().alias("has"))
+    marked = _told_apart(marked, clashes).withColumn("tk", F.when(F.col("has"), F.col("tk")))
+    kept = marked.join(F.broadcast(lost) if n <= BROADCAST_ROWS else lost, ["doc_id", "tk"], "left_anti")
+    if m:
+        few = F.broadcast(again) if m <= BROADCAST_ROWS else again
+        kept = kept.join(few, ["doc_id", "tk"], "left_anti").unionByName(kept.join(few, ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"]).select(*kept.columns))
+    return kept.select("row.*")

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. Texts of a batch are cut further by bytes inside the tasks.
-ARROW_ROWS = 400
+#: Rows and bytes of one Arrow batch. Texts of a batch are cut further by bytes inside the tasks.
+ARROW_ROWS, ARROW_BYTES = 400, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this process where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a folder of this machine if Spark runs in this
+    process alone (tests), else an error: executors elsewhere would not see such a folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
@@ -31,8 +34,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts make large Arrow batches; fewer rows a batch bound the memory of a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the rows and bytes of a batch, and so the memory of a Python worker, for the session: a lazy result is only
+    planned when its caller runs it, so that the settings can't be put back here. Smaller ones are left alone."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = re.match(r"\d+", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import near_dedup as nd
 from quernstone.llm.bytewise import chunks
@@ -83,6 +85,20 @@ def test_blocks_of_a_bucket_meet(spark, monkeypatch):
     test_copies_near_only_to_their_original(spark)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dense_set_just_under_the_threshold(spark, seed):
+    """300 texts that share a passage: 150 pairs at 0.812, every other pair at 0.78."""
+    rng = random.Random(seed)
+    some = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    passage, rows = some(190), []
+    for _ in range(150):
+        common = some(4)
+        rows += [(len(rows) + k, " ".join(passage + common + some(22))) for k in (0, 1)]
+    want = _brute(rows)
+    assert len(set(want.values())) == 150
+    assert _groups(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     errors = []
@@ -122,6 +138,22 @@ def test_odd_rows(spark, odd, nothing):
     assert nd.near_duplicates(nothing).count() == 0 and nd.keep_one(nothing).count() == 0
 
 
+def test_rows_are_kept_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (7, c, 3), (7, a, 4), (3, a, 5), (3, a, 6), (None, a, 7), (9, None, 8)]
+    for kind in ("bigint", "string"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, row int").withColumn("doc_id", F.col("doc_id").cast(kind))
+        kept = nd.keep_one(docs).collect()
+        assert sorted(r.row for r in kept if r.row not in (5, 6)) == [2, 3, 7, 8] and sum(r.row in (5, 6) for r in kept) == 1
+
+
+def test_texts_that_share_a_key_by_chance(spark):
+    signed = spark.createDataFrame([(1, 10, 5), (2, 10, 6), (3, 11, 7)], "doc_id bigint, tk bigint, check bigint")
+    clashes = spark.createDataFrame([(10, True)], "tk bigint, clash boolean")
+    keys = {r.doc_id: r.tk for r in nd._told_apart(signed, clashes).collect()}
+    assert keys[3] == 11 and len({keys[1], keys[2], 10}) == 3 and nd._told_apart(signed, None) is signed
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
