@@ -3,16 +3,21 @@
 Each row's vector: mean word length, and the square roots of the rates of symbols, repeated lines, repeated
 words and capitals. It is fixed to thousandths, so that every sum below is exact and reruns agree.
 
-Estimates are made for three kinds of groups at once: (language, source), language, and all rows. A start from
-medians and median absolute deviations, then ``STEPS`` concentration steps: the ``SHARE`` of the group's rows
-with the least distances give the next mean and covariance. Each step is one grouped histogram and one grouped
-sum over all rows of the group; no sample, and no group in one task. The rows of the last step are scaled to a
-consistent covariance by the group's median distance. ``FLOOR`` is added to the deviations: most texts have no
-symbol or repeated line at all, and a covariance of zeros has no inverse.
-
-A row is judged by its (language, source) if that has ``LEAST_ROWS`` rows with words, else by its language, else by all
-rows. It is rejected if its squared distance exceeds the chi-squared quantile of ``CONFIDENCE``. A null language
-or source is a value of its own. Rows without words have no vector; the base rules fail them.
+Estimates are made for three kinds of groups at once: (language, source), language, and all rows. Sought are the
+``SHARE`` of a group's rows whose covariance, with ``FLOOR`` added to the deviations, has the least determinant (most
+texts have no symbol or repeated line at all, and a covariance of zeros has no inverse). As in FastMCD there are several
+starts: medians with median absolute deviations, mean and covariance of all rows, and ``DRAWS`` sets of a few rows drawn
+by hash. A concentration step takes the share of rows with the least distances for the next mean and covariance, which
+can't raise the determinant. All starts make ``FIRST`` steps, the ``BEST`` of each group go on until their
+determinants stand still (within ``STEPS`` steps; the table says which did), and the least determinant wins.
+
+Each step is one pass over all rows: tasks add up rows by group, start and bin of the distance, and bins meet in one
+grouped sum; the share is cut at the end of a bin, ``LOG_STEP`` wide in the distance's logarithm. No sample, and no group
+in one task. The winner is scaled to a consistent covariance by the group's median distance.
+
+A row is judged by its (language, source) if that has ``LEAST_ROWS`` rows with words, else by its language if that has,
+else by all rows. It is rejected if its squared distance exceeds the chi-squared quantile of ``CONFIDENCE``. A null
+language or source is a value of its own. Rows without words have no vector; the base rules fail them.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.doc_stats import with_counts
@@ -33,12 +39,15 @@ D = len(VECTOR)
 #: Added to the standard deviation of each coordinate, in its own unit. One repeated line of a short text alone
 #: moves the roots of the two rates of repetition by about 0.4.
 FLOOR = (0.35, 0.06, 0.11, 0.11, 0.08)
-SHARE, STEPS, LEAST_ROWS, CONFIDENCE = 0.75, 3, 60, 1 - 1e-9
+SHARE, LEAST_ROWS, CONFIDENCE = 0.75, 60, 1 - 1e-9
+DRAWS, FIRST, BEST, STEPS = 3, 2, 2, 60
 UNIT = 1000
 #: Groups whose estimates are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 #: Squared distances are told apart to this step of their logarithm.
-LOG_STEP = 0.01
+LOG_STEP = 0.001
+#: Rows that a task adds up at once.
+TASK_ROWS = 200_000
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -55,32 +64,40 @@ def _vector() -> list[Column]:
 
 
 def _distance() -> Column:
-    """(x - mean)' inverse (x - mean), of columns mean and inverse (row by row)."""
-    d = [F.col(v) / UNIT - F.col("mean")[i] for i, v in enumerate(VECTOR)]
-    return sum((d[i] * d[j] * F.col("inverse")[i * D + j] for i in range(D) for j in range(D)), F.lit(0.0))
+    """(x - mean)' inverse (x - mean), of column form (row by row)."""
+    d = [F.col(v) / UNIT - F.col("form")[i] for i, v in enumerate(VECTOR)]
+    return sum((d[i] * d[j] * F.col("form")[D + k] for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def _bin(x: Column) -> Column:
-    return F.floor(F.log(F.greatest(x, F.lit(1e-9))) / LOG_STEP).cast("int")
+#: A form is the mean, then the factors of these products in the distance.
+PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+_SUMS = [*(f"s_{i}" for i in range(D)), *(f"s_{i}_{j}" for i, j in PAIRS)]
+_FORMS = "key string, start int, n bigint, form array<double>, logdet double"
+
+
+def _form(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """The form and the log determinant of a mean and a covariance, floor included."""
+    cov = cov + np.diag(np.square(FLOOR))
+    inverse = np.linalg.inv(cov)
+    return np.concatenate([mean, [inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS]]), float(np.linalg.slogdet(cov)[1])
 
 
 def _start(rows: pd.DataFrame) -> pd.DataFrame:
     spread = np.maximum(1.4826 * rows[[f"mad_{v}" for v in VECTOR]].to_numpy(float) / UNIT, np.array(FLOOR))
-    return pd.DataFrame({"key": rows["key"], "mean": list(rows[[f"med_{v}" for v in VECTOR]].to_numpy(float) / UNIT), "inverse": [np.diag(1 / s**2).ravel() for s in spread]})
+    made = [_form(m / UNIT, np.diag(s**2 - np.square(FLOOR))) for m, s in zip(rows[[f"med_{v}" for v in VECTOR]].to_numpy(float), spread, strict=True)]
+    return pd.DataFrame({"key": rows["key"], "start": 0, "n": rows["n"], "form": [f for f, _ in made], "logdet": [x for _, x in made]})
 
 
 def _solve(rows: pd.DataFrame) -> pd.DataFrame:
-    mean, inverse = [], []
+    made = []
     for r in rows.to_dict("records"):
         n = float(r["n"])
         mu = np.array([float(r[f"s_{i}"]) for i in range(D)]) / n / UNIT
         cov = np.empty((D, D))
-        for i in range(D):
-            for j in range(i, D):
-                cov[i, j] = cov[j, i] = float(r[f"s_{i}_{j}"]) / n / UNIT**2 - mu[i] * mu[j]
-        mean.append(mu)
-        inverse.append(np.linalg.inv(cov + np.diag(np.square(FLOOR))).ravel())
-    return pd.DataFrame({"key": rows["key"], "mean": mean, "inverse": inverse})
+        for i, j in PAIRS:
+            cov[i, j] = cov[j, i] = float(r[f"s_{i}_{j}"]) / n / UNIT**2 - mu[i] * mu[j]
+        made.append(_form(mu, cov))
+    return pd.DataFrame({"key": rows["key"], "start": rows["start"], "n": rows["n"], "form": [f for f, _ in made], "logdet": [x for _, x in made]})
 
 
 def _estimates(raw: DataFrame, step) -> DataFrame:
@@ -89,41 +106,121 @@ def _estimates(raw: DataFrame, step) -> DataFrame:
             if len(rows):
                 yield step(rows)
 
-    return durable(raw.mapInPandas(run, "key string, mean array<double>, inverse array<double>"), "estimates")
+    return durable(raw.mapInPandas(run, _FORMS), "estimates")
+
+
+def _with(rows: DataFrame, table: DataFrame, n_groups: int, on: str = "key") -> DataFrame:
+    return rows.join(F.broadcast(table) if n_groups <= BROADCAST_GROUPS else table, on)
+
+
+def _added(vectors: DataFrame) -> DataFrame:
+    """Sums of the rows of each (key, start)."""
+    x = [F.col(v).cast("decimal(38,0)") for v in VECTOR]
+    return vectors.groupBy("key", "start").agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s_{i}") for i in range(D)], *[F.sum(F.col(VECTOR[i]) * x[j]).alias(f"s_{i}_{j}") for i, j in PAIRS])
+
+
+def bins_of(distance: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(distance, 1e-9)) / LOG_STEP).astype(np.int64)
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, VECTOR, starts, forms) added up by key, start and bin of the distance, as far as one task sees them."""
+    codes: dict[str, int] = {}
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []  # (key, start, bin) in one number; counts and sums
+    size = 0
+
+    def merged() -> list[tuple[np.ndarray, np.ndarray]]:
+        ids, values = np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting])
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+        return [(ids[first], np.add.reduceat(values[order], first, axis=0))]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).dictionary_encode()
+        code = np.array([codes.setdefault(k, len(codes)) for k in keys.dictionary.to_pylist()])[keys.indices.to_numpy()]
+        x = np.stack([batch.column(1 + i).to_numpy() for i in range(D)], 1)
+        values = np.concatenate([np.ones((len(x), 1), np.int64), x, np.stack([x[:, i] * x[:, j] for i, j in PAIRS], 1)], 1)
+        starts, forms = batch.column(1 + D), batch.column(2 + D)
+        owner = np.repeat(np.arange(len(x)), np.diff(starts.offsets.to_numpy()))
+        form = forms.flatten().to_numpy().reshape(len(owner), D + len(PAIRS))
+        d = x[owner] / UNIT - form[:, :D]
+        # Product by product: a row's distance doesn't depend on the rows beside it.
+        distance = sum(d[:, i] * d[:, j] * form[:, D + k] for k, (i, j) in enumerate(PAIRS))
+        waiting.append(((code[owner] << 32) + (starts.flatten().to_numpy().astype(np.int64) << 20) + bins_of(distance) + (1 << 19), values[owner]))
+        size += len(owner)
+        if size > TASK_ROWS:
+            waiting = merged()
+            size = len(waiting[0][0])
+    if waiting:
+        ids, values = merged()[0]
+        names = list(codes)
+        columns = [pa.array([names[k] for k in ids >> 32], pa.string()), pa.array(((ids >> 20) & 0xFFF).astype(np.int32)), pa.array(((ids & 0xFFFFF) - (1 << 19)).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in np.ascontiguousarray(values.T))], names=["key", "start", "bin", "n", *_SUMS])
+
+
+def _binned(vectors: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
+    """(key, start, bin, n, sums) of all rows of the table's keys, by their distances from each of its forms."""
+    forms = table.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "form"))).alias("f")).select("key", F.transform("f", lambda f: f["start"]).alias("starts"), F.flatten(F.transform("f", lambda f: f["form"])).alias("forms"))
+    rows = _with(vectors, forms, n_groups).select("key", *VECTOR, "starts", "forms")
+    parts = rows.mapInArrow(_partial, "key string, start int, bin int, n bigint, " + ", ".join(f"{c} bigint" for c in _SUMS))
+    return parts.groupBy("key", "start", "bin").agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in _SUMS])
+
+
+def _upto(binned: DataFrame, share: float) -> DataFrame:
+    """binned up to the bin in which each (key, start) has its share of rows. A pair has at most some ten thousand bins."""
+    own = Window.partitionBy("key", "start")
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return binned.withColumns({"before": before, "all": F.sum("n").over(own)}).filter(F.col("before") < F.col("all") * share)
 
 
-def _with(rows: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
-    return rows.join(F.broadcast(table) if n_groups <= BROADCAST_GROUPS else table, "key")
+def _step(vectors: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
+    core = _upto(_binned(vectors, table, n_groups), SHARE).groupBy("key", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
+    return _estimates(core, _solve)
 
 
-def _cut(binned: DataFrame, share: float) -> DataFrame:
-    """(key, cut): the least bin up to which a group has its share of rows."""
-    hist = binned.groupBy("key", "bin").agg(F.count("*").alias("c"))
-    total = hist.groupBy("key").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("bins"))
-    # A group has at most a few thousand bins, however many rows.
-    walk = F.aggregate("bins", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("cut")),
-        lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.when(acc["cut"].isNotNull(), acc["cut"]).when(acc["seen"] + x["c"] >= F.col("n") * share, x["bin"]).alias("cut")))
-    return total.select("key", walk["cut"].alias("cut"))
+def _drawn(vectors: DataFrame, sizes: DataFrame, n_groups: int) -> DataFrame:
+    """DRAWS sets of D + 1 different vectors of each key, by hash: key, start, VECTOR. A key with few different vectors has fewer sets."""
+    wanted = DRAWS * (D + 1)
+    h = F.xxhash64("key", *VECTOR)
+    lucky = _with(vectors, sizes, n_groups).filter(F.pmod(h, F.lit(1 << 30)) < F.lit(8 * wanted * (1 << 30)) / F.col("n"))
+    # About 8 * wanted different vectors of a key are left, whatever its size; copies are one before they move.
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", *VECTOR), *VECTOR))
+    return lucky.groupBy("key", *VECTOR).agg(F.lit(1)).withColumn("place", place).filter(F.col("place") <= wanted).select("key", (2 + F.floor((F.col("place") - 1) / (D + 1))).cast("int").alias("start"), *VECTOR)
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
-    """vectors: key and VECTOR. Returns key, n, mean, inverse (scaled) of every key."""
-    med = vectors.groupBy("key").agg(F.count("*").alias("n"), *[F.median(v).alias(f"med_{v}") for v in VECTOR])
-    med = durable(med, "medians")
+    """vectors: key and VECTOR. Returns key, n, form (scaled), logdet, start, steps and settled (the winner's) of every key."""
+    med = durable(vectors.groupBy("key").agg(F.count("*").alias("n"), *[F.median(v).alias(f"med_{v}") for v in VECTOR]), "medians")
     n_groups = med.count()
     off = _with(vectors, med.drop("n"), n_groups).groupBy("key").agg(*[F.median(F.abs(F.col(v) - F.col(f"med_{v}"))).alias(f"mad_{v}") for v in VECTOR])
-    now = _estimates(med.join(off, "key"), _start)
-    for _ in range(STEPS):
-        placed = _with(vectors, now, n_groups).select("key", *VECTOR, _bin(_distance()).alias("bin"))
-        core = _with(placed, _cut(placed, SHARE), n_groups).filter("bin <= cut")
-        sums = core.groupBy("key").agg(
-            F.count("*").alias("n"), *[F.sum(v).alias(f"s_{i}") for i, v in enumerate(VECTOR)],
-            *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s_{i}_{j}") for i in range(D) for j in range(i, D)],
-        )
-        now = _estimates(sums, _solve)
-    middle = _cut(_with(vectors, now, n_groups).select("key", _bin(_distance()).alias("bin")), 0.5)
+    sums = _added(vectors.withColumn("start", F.lit(1))).unionByName(_added(_drawn(vectors, med.select("key", "n"), n_groups)))
+    now = _estimates(med.join(off, "key"), _start).unionByName(_estimates(sums, _solve))
+    for _ in range(FIRST):
+        now = _step(vectors, now, n_groups)
+    order = Window.partitionBy("key").orderBy("logdet", "start")  # as many rows as starts
+    on = durable(now.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BEST).drop("place"), "best")
+    ended = []
+    for k in range(STEPS):
+        was = on.select("key", "start", F.col("logdet").alias("was"))
+        made = _step(vectors, on, n_groups).join(was, ["key", "start"]).withColumns({"settled": F.abs(F.col("logdet") - F.col("was")) < 1e-12, "steps": F.lit(FIRST + k + 1)}).drop("was")
+        made = durable(made, "step")
+        last = k == STEPS - 1
+        ended.append(made if last else made.filter("settled"))
+        on = made.filter("NOT settled").drop("settled", "steps")
+        if last or not on.head(1):
+            break
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    names = ("start", "form", "logdet", "steps", "settled")
+    best = durable(every.groupBy("key").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("b")).select("key", "b.*"), "winners")
+    middle = _upto(_binned(vectors, best, n_groups), 0.5).groupBy("key").agg(F.max("bin").alias("cut"))
     scale = F.greatest(F.exp((F.col("cut") + 1) * LOG_STEP) / chi2_quantile(0.5), F.lit(1.0))
-    out = now.join(middle, "key").join(med.select("key", "n"), "key").select("key", "n", "mean", F.transform("inverse", lambda x: x / scale).alias("inverse"))
+    form = F.transform("form", lambda x, i: F.when(i < D, x).otherwise(x / scale))
+    out = best.join(middle, "key").join(med.select("key", "n"), "key").select("key", "n", form.alias("form"), "logdet", "start", "steps", "settled")
     return durable(out, "mcd")
 
 
@@ -138,15 +235,15 @@ def quality_rules(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "
     counted = with_counts(docs, (*_BASE, "n_lines", "n_upper", "n_lower"), text_col=text_col, keep=keep)
     stats = durable(counted.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")}), "stats")
     worded = stats.filter("n_words > 0").select("*", *_vector())
-    table = estimate(worded.select(F.explode(F.array(*_keys())).alias("key"), *VECTOR))
+    table = estimate(durable(worded.select(F.explode(F.array(*_keys())).alias("key"), *VECTOR), "vectors"))
     n_groups = table.count()
     enough = table.filter((F.col("n") >= LEAST_ROWS) | (F.col("key") == "a"))
-    share = durable(enough.select("key", "mean", "inverse"), "judges")
+    share = enough.select("key", "form")
     out = worded.withColumns(dict(zip(("k0", "k1", "k2"), _keys(), strict=True)))
     for k in range(3):
-        side = share.select(F.col("key").alias(f"k{k}"), F.struct("mean", "inverse").alias(f"e{k}"))
+        side = share.select(F.col("key").alias(f"k{k}"), F.col("form").alias(f"e{k}"))
         out = out.join(F.broadcast(side) if n_groups <= BROADCAST_GROUPS else side, f"k{k}", "left")
-    out = out.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumns({"mean": F.col("e.mean"), "inverse": F.col("e.inverse")}).withColumn("distance", F.round(_distance(), 6))
+    out = out.withColumn("form", F.coalesce("e0", "e1", "e2")).withColumn("distance", F.round(_distance(), 6))
     columns = ["doc_id", *_BASE]
     out = out.select(*columns, "distance").unionByName(stats.filter("n_words = 0").select(*columns, F.lit(None).cast("double").alias("distance")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
