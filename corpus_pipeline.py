@@ -12,11 +12,17 @@ from quernstone.llm import language_id, mixing, near_dedup, sharding
 from quernstone.llm.decontaminate import decontaminate
 from quernstone.llm.store import shared_dir
 
+#: A text of so many letters (bytes) is rejected if so large a share of it reads as no language.
+LETTERS, NOISE = 200, 0.9
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that have no language: no text, or no letters. A low score alone rejects nothing: short clean texts have it."""
-    names = ("__lang_pred", "__lang_score")
+    """Drops documents that have no language: no text, no letters, or mostly letters that the network reads as noise.
+    Short texts are not judged by that: a few letters are too little evidence."""
+    names = ("__lang_pred", "__lang_score", "__noise", "__letters_n")
     marked = language_id.with_language(docs, language_id.fit(docs, F.lit(True)), names=names)
-    return marked.filter(F.col(names[0]) != language_id.UND).select(*docs.columns)
+    und, _, noise, letters = map(F.col, names)
+    return marked.filter((und != language_id.UND) & ~((letters >= LETTERS) & (noise > NOISE))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
