@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import itertools
@@ -194,6 +195,44 @@ def test_two_forms_of_the_network_agree():
     assert np.allclose(net.log_probabilities(x), z - np.log(np.exp(z).sum(1, keepdims=True)), atol=1e-4)
 
 
+def test_network_matches_plain_convolution():
+    net = language_id.train(["the cat and the dog " * 5, "le chat et le chien " * 5] * 10, ["en", "fr"] * 10)
+    x = np.random.default_rng(1).integers(0, 255, (3, 40)).astype(np.uint8)
+    want = []
+    for row in x:
+        hidden = []
+        for f in range(net.filters.shape[1]):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            taps = net.filters[:, f].reshape(language_id.WIDTH, language_id.DIM)
+            assert not taps[width:].any()
+            at = [sum(float(net.vectors[row[i + k]] @ taps[k]) for k in range(width)) for i in range(len(row) - language_id.WIDTH + 1)]
+            hidden.append(max(0.0, max(at) + net.shift[f]))
+        z = np.array(hidden) @ net.out + net.bias
+        want.append(z - np.log(np.exp(z).sum()))
+    assert np.allclose(net.log_probabilities(x), want, atol=1e-3)
+
+
+def test_least_by_hash(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("k"), (F.col("id") % 5000).alias("id"), F.xxhash64(F.col("id") % 5000).alias("h"))
+    got = language_id.least_by_hash(rows, "k", "h", 300).collect()
+    for key in ("hot", "cold"):
+        own = [r for r in got if r.k == key]
+        every = sorted(rows.filter(F.col("k") == key).distinct().collect(), key=lambda r: (r.h % (1 << 30), r.h))
+        assert len({r.id for r in own}) == len(own) == 300 and {r.id for r in own} == {r.id for r in every[:300]}
+
+
+def test_noise_is_told_from_language():
+    rows = _language_rows()
+    net = language_id.train([t for _, t, _, _ in rows] * 4, [r[2] or "en" for r in rows] * 4)
+    rng = random.Random(77)
+    junk = ["".join(rng.choice("0123456789abcdef") for _ in range(3000)), "".join(rng.choice("asdfghjkl;") for _ in range(2000)), " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(300)),
+            base64.b64encode(rng.randbytes(2000)).decode()]
+    t = next(chunks(pa.array([x.lower() for x in junk] + [r[1] for r in rows]), 1 << 30))
+    _, _, noise, letters = language_id.classify(net, t, np.ones(len(t), bool))
+    assert (noise[:4] > 0.5).all() and letters[1] > 1500
+    assert (noise[4:][letters[4:] >= 200] < 0.5).all()
+
+
 def test_language_on_odd_rows(spark, odd, nothing):
     rows = language_id.identify(odd, held_out=F.col("doc_id") == 1).collect()
     assert len(rows) == odd.count()

@@ -1,8 +1,10 @@
 """The pipeline on the smallest tables, each stage against brute force on its own input."""
 
+import base64
 import collections
 import importlib
 import math
+import random
 import re
 
 import duckdb
@@ -18,7 +20,10 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, {}
-    odd = spark.createDataFrame([(-1, None, "en", "a", 0), (-2, "12 !!", "en", "a", 5), (-3, "", None, None, 0)], docs.schema)
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("0123456789abcdef") for _ in range(3000)), base64.b64encode(rng.randbytes(2000)).decode(), "".join(rng.choice("asdfghjkl; qwertyuiop") for _ in range(1500))]
+    rows = [(-1, None, "en", "a", 0), (-2, "12 !!", "en", "a", 5), (-3, "", None, None, 0)] + [(-10 - k, x, None, "a", 0) for k, x in enumerate(junk)]
+    odd = spark.createDataFrame([*rows, (-20, "asdf jkl", None, "a", 0)], docs.schema)
     docs = docs.unionByName(odd)
     for name, stage in corpus_pipeline.STAGES:
         before = {(r.doc_id): r for r in docs.collect()}
@@ -28,7 +33,7 @@ def test_stages(spark, tmp_path):
         if name != "sharding":
             assert docs.columns == columns
     before, after = seen["language_id"]
-    assert set(before) - {r.doc_id for r in after} == {-1, -2, -3}
+    assert set(before) - {r.doc_id for r in after} == {-1, -2, -3, -10, -11, -12}
     before, after = seen["near_dedup"]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     texts = [(i, " ".join(word.findall(r.text.lower()))) for i, r in sorted(before.items())]
