@@ -1,12 +1,15 @@
 """Licence scan: Dice coefficient over word bigrams between pieces of a text and licence templates.
 
-A piece is the whole text, a paragraph (parted by a blank line) or a line. Pieces and templates are lower-cased and
-runs of anything but letters and digits become one space; what is compared are sets of bigrams A and B:
-2 |A and B| / (|A| + |B|) must reach ``DICE``. A template is only looked at if |A| lies in
+Pieces and templates are lower-cased and runs of anything but letters and digits become one space; what is compared are
+sets of bigrams A and B: 2 |A and B| / (|A| + |B|) must reach ``DICE``. Pieces are the whole text, its paragraphs (parted
+by a blank line) and its lines, each against all templates; and for each template all stretches of as many words as
+it has, begun at every word or, for a template of 16 words or more, at every ``1 / STEPS`` of its length: wherever a notice stands, however it
+is wrapped or marked as a comment, one of them is off by half a step at most. A piece is only compared with a template if |A| lies in
 [t / (2 - t) |B|, (2 - t) / t |B|]; outside, no overlap can reach t.
 
-Before any of this a text must hold one of a few words. They are chosen so that for each template fewer
-bigrams are without such a word than a match needs in common: no match is lost.
+Before any of this a text must hold one of a few words, chosen so that for each template fewer bigrams are without such
+a word than a match needs in common; and the bigrams of the whole text must hold as many of a template's as a match
+needs. Neither loses a match.
 
 All of it is built-in expressions over one row at a time: no shuffle, no join, no Python. A null or empty text
 has no pieces. Equal scores go to the template first by name. Repeated rows are each scanned.
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
+STEPS = 8
 
 # Licence texts and notices, by SPDX identifier (public texts; holders and years left out).
 TEMPLATES = (
@@ -29,22 +33,34 @@ TEMPLATES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSL-1.0", 'Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)'),
+    ("CC0-1.0", 'To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published under CC0 1.0 Universal.'),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("AGPL-3.0-or-later", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.'),
+    ("EPL-2.0", 'This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/'),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-or-later", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("LGPL-2.1-or-later", 'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
+# Identifiers that stand in tags of source files.
+TAGGED = ("0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in TAGGED)
 
 
 # Words too common in English to stand for a licence.
@@ -75,31 +91,56 @@ def triggers(templates: list[list[str]], dice: float) -> list[str]:
     return sorted(chosen)
 
 
+def n_words(text: str) -> int:
+    return len(re.sub(r"[^a-z0-9]+", " ", text.lower()).split())
+
+
+def step(words: int) -> int:
+    """Words between the starts of two stretches."""
+    return max(1, words // STEPS)
+
+
 def _pieces(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.split(text, "\n[ \t]*\n"), F.split(text, "\n")))
 
 
+def _bigrams(w: Column) -> Column:
+    return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _dice(a: Column, b: Column) -> Column:
+    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+
+
 def scan(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, dice: float = DICE) -> DataFrame:
     """Per row: doc_id, licenses (names of all matches, sorted, comma-joined), n_licenses, best_license, best_dice."""
-    named = sorted((name, template_bigrams(text)) for name, text in templates)
-    words = triggers([b for _, b in named], dice)
+    named = sorted((name, template_bigrams(text), n_words(text)) for name, text in templates)
+    words = triggers([b for _, b, _ in named], dice)
     trigger = f"(?i)(?<![\\p{{L}}\\p{{N}}])({'|'.join(words)})(?![\\p{{L}}\\p{{N}}])"
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, b)).alias("b")) for name, b in named])
-    least, most = (f(len(b) for _, b in named) for f in (min, max))
-    text = F.when(docs[text_col].rlike(trigger), docs[text_col])
-    tidy = F.transform(F.filter(_pieces(text), lambda p: p.rlike(trigger)), lambda p: F.trim(F.regexp_replace(F.lower(p), "[^\\p{L}\\p{N}]+", " ")))
-    split = F.filter(F.transform(F.array_distinct(tidy), lambda p: F.split(p, " ")), lambda w: F.size(w) > 1)
-    sets = F.transform(split, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, b)).alias("b"), F.lit(m).alias("m"), F.lit(step(m)).alias("step"), F.lit(needed(len(b), dice)).alias("needed")) for name, b, m in named])
+    every = F.array(*map(F.lit, sorted({x for _, b, _ in named for x in b})))
     low, high = dice / (2 - dice), (2 - dice) / dice
-    right = F.filter(sets, lambda a: (F.size(a) >= low * least - 1e-9) & (F.size(a) <= high * most + 1e-9))
-
-    def matched(a: Column) -> Column:
-        near = F.filter(F.col("__known"), lambda t: (F.size(a) >= low * F.size(t["b"]) - 1e-9) & (F.size(a) <= high * F.size(t["b"]) + 1e-9))
-        return F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect(a, t["b"])) / (F.size(a) + F.size(t["b"]))).alias("dice"), t["name"].alias("name")))
-
-    found = F.filter(F.flatten(F.transform(F.col("__sets"), matched)), lambda m: m["dice"] >= dice)
-    rows = docs.select(docs[doc_col].alias("doc_id"), F.coalesce(right, F.array().cast("array<array<string>>")).alias("__sets"), known.alias("__known"))
-    rows = rows.select("doc_id", F.when(F.size("__sets") > 0, found).otherwise(F.array().cast("array<struct<dice:double,name:string>>")).alias("m"))
+    tidy = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", " ")), " ")
+    fits = lambda a, t: (F.size(a) >= low * F.size(t["b"]) - 1e-9) & (F.size(a) <= high * F.size(t["b"]) + 1e-9)
+    hits = lambda a, t: F.struct(_dice(a, t["b"]).alias("dice"), t["name"].alias("name"))
+    none = F.array().cast("array<struct<dice:double,name:string>>")
+
+    rows = docs.select(docs[doc_col].alias("doc_id"), F.when(docs[text_col].rlike(trigger), docs[text_col]).alias("__text"))
+    rows = rows.select("doc_id", "__text", tidy(F.col("__text")).alias("__words"))
+    # What the text has of any template, then the templates of which it has enough.
+    rows = rows.select("doc_id", "__text", "__words", F.when(F.size("__words") > 1, F.array_intersect(_bigrams(F.col("__words")), every)).alias("__has"))
+    rows = rows.select("doc_id", "__text", "__words", F.when(F.size("__has") > 0, F.filter(known, lambda t: F.size(F.array_intersect(t["b"], F.col("__has"))) >= t["needed"])).alias("__near"))
+    some = F.size("__near") > 0
+    sets = F.transform(F.filter(F.transform(_pieces(F.col("__text")), tidy), lambda w: F.size(w) > 1), _bigrams)
+    of_pieces = F.flatten(F.transform(F.array_distinct(sets), lambda a: F.transform(F.filter(F.col("__near"), lambda t: fits(a, t)), lambda t: hits(a, t))))
+
+    def of_stretches(t: Column) -> Column:
+        last = F.greatest(F.lit(1), F.size("__words") - t["m"] + 1)
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, t["step"]), F.array(last)))
+        return F.transform(starts, lambda i: hits(_bigrams(F.slice(F.col("__words"), i, t["m"])), t))
+
+    found = F.filter(F.concat(of_pieces, F.flatten(F.transform("__near", of_stretches))), lambda m: m["dice"] >= dice)
+    rows = rows.select("doc_id", F.when(some, found).otherwise(none).alias("m"))
     best = F.aggregate("m", F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("name")), lambda acc, m: F.when((m["dice"] > acc["dice"]) | ((m["dice"] == acc["dice"]) & (m["name"] < acc["name"])), m).otherwise(acc))
     names = F.array_sort(F.array_distinct(F.transform("m", lambda m: m["name"])))
     return rows.select("doc_id", F.array_join(names, ",").alias("licenses"), F.size(names).cast("bigint").alias("n_licenses"), best["name"].alias("best_license"), F.round(best["dice"], 6).alias("best_dice"))
@@ -110,18 +151,23 @@ def _quoted(s: str) -> str:
 
 
 def oracle() -> str:
-    """The same by brute force: every piece against every template."""
-    known = ", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, template_bigrams(text)))}])" for name, text in TEMPLATES)
+    """The same by brute force: every piece and every stretch against every template."""
+    known = ", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, template_bigrams(text)))}], {n_words(text)}, {step(n_words(text))})" for name, text in TEMPLATES)
+    low, high = DICE / (2 - DICE), (2 - DICE) / DICE
     return rf"""
-WITH known(name, b) AS (VALUES {known}),
+WITH known(name, b, m, step) AS (VALUES {known}),
+whole AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+has AS (SELECT doc_id, w, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM whole WHERE len(w) > 1),
+close AS (SELECT doc_id, name, b, m, step, w FROM has, known WHERE len(list_intersect(a, b)) >= {low}::DOUBLE * len(b) - 1e-9::DOUBLE),
+starts AS (SELECT *, unnest(list_distinct(list_append(range(1, greatest(1, len(w) - m + 1) + 1, step), greatest(1, len(w) - m + 1)))) AS i FROM close),
+stretches AS (SELECT DISTINCT doc_id, name, b, w[i : i + m - 1] AS w FROM starts),
 pieces AS (
-  SELECT DISTINCT doc_id, trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS p
+  SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
   FROM (SELECT doc_id, unnest(list_concat([text], string_split_regex(text, '\n[ \t]*\n'), string_split(text, chr(10)))) AS p FROM documents WHERE text IS NOT NULL)),
-words AS (SELECT doc_id, string_split(p, ' ') AS w FROM pieces),
-sets AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM words WHERE len(w) > 1),
-sized AS (SELECT doc_id, a FROM sets WHERE len(a) <= 400),
+pairs AS (SELECT p.doc_id, k.name, k.b, p.w FROM pieces p JOIN close k ON p.doc_id = k.doc_id WHERE len(p.w) > 1 UNION ALL SELECT doc_id, name, b, w FROM stretches),
+sets AS (SELECT doc_id, name, b, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM pairs),
 found AS (
-  SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sized, known),
+  SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sets WHERE len(a) BETWEEN {low}::DOUBLE * len(b) - 1e-9::DOUBLE AND {high}::DOUBLE * len(b) + 1e-9::DOUBLE),
 hits AS (SELECT * FROM found WHERE dice >= {DICE}::DOUBLE),
 best AS (SELECT doc_id, name, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, encode(name)) AS r FROM hits),
 listed AS (SELECT doc_id, string_agg(name, ',' ORDER BY encode(name)) AS licenses, count(*) AS n FROM (SELECT DISTINCT doc_id, name FROM hits) GROUP BY doc_id)

@@ -327,6 +327,29 @@ def test_licenses(spark, odd, nothing):
     assert license_scan.scan(odd).filter("n_licenses > 0").count() == 0 and license_scan.scan(odd).count() == odd.count() and license_scan.scan(nothing).count() == 0
 
 
+def test_planted_notices_are_found(spark):
+    """Every template within prose: wrapped and marked as a comment above code, inside a paragraph, in paragraphs of its own, slightly changed."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice("alder birch cedar maple oak pine rowan willow yew of the and".split()) for _ in range(n))
+    rows = []
+    for name, text in license_scan.TEMPLATES:
+        words = text.split()
+        width = rng.randint(5, 14)
+        wrapped = "\n".join("// " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+        rows.append((name, f"// Copyright 2020 {prose(9)}\n{wrapped}\nint main(void) {{ return {prose(30)}; }}"))
+        rows.append((name, f"{prose(57)} {text} {prose(41)}"))
+        if len(words) > 60:
+            third = len(words) // 3
+            rows.append((name, f"{prose(80)}\n\n" + "\n\n".join(" ".join(words[i : i + third + 1]) for i in range(0, len(words), third + 1)) + f"\n\n{prose(90)}"))
+            changed = [prose(1) if k % 31 == 17 else w for k, w in enumerate(words)]
+            rows.append((name, f"{prose(33)} {' '.join(changed)} {prose(21)}"))
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)] + [(-1, prose(400))], "doc_id bigint, text string")
+    found = {r.doc_id: r.licenses.split(",") for r in license_scan.scan(docs).collect()}
+    assert [i for i, (name, _) in enumerate(rows) if name not in found[i]] == [] and found[-1] == [""]
+    probe = spark.createDataFrame([(1, "In short, this project is licensed under the MIT License. See elsewhere for more.")], "doc_id bigint, text string")
+    assert license_scan.scan(probe).first().licenses == "MIT"
+
+
 def test_triggers_lose_no_match():
     """Any set of bigrams without a trigger stays below the threshold with every template."""
     templates = [license_scan.template_bigrams(t) for _, t in license_scan.TEMPLATES]
