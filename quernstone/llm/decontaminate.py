@@ -8,23 +8,23 @@ Each task streams the words of its documents through the automaton, which keeps
 at each word. Stretches of a document whose word pairs don't all stand in the items can't hold a window and
 are passed over beforehand; that loses nothing.
 
-Items beyond ``MAX_WORDS`` words are handled in several automata, one step of the same pass each, and the
-hit spans are merged row by row: each broadcast stays bounded however large the benchmark grows.
-Nulls and empty texts have no words. Repeated items, or rows of documents, each count for themselves.
+Items beyond ``MAX_WORDS`` words are handled in several automata, a pass over the numbered rows each. A pass writes down
+the spans it finds and lets its automaton go before the next one is built, so that the driver and a task hold one at a
+time; the spans of all passes are merged row by row, and limits apply to the merged ones. Nulls and empty texts have no words. Repeated items, or rows of documents, each count for themselves.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.bytewise import ALNUM, LOWER, Texts, chunks
-from quernstone.llm.store import small_batches
+from quernstone.llm.store import durable, small_batches
 
 WINDOW = 10
 #: Words of the items in one automaton, and so the bound of one broadcast (some hundred bytes a word).
@@ -193,41 +193,74 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPAN = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
+_FOUND = "n_words bigint, spans array<struct<b:bigint,e:bigint>>, items array<string>"
+
+
+def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int, *, all_rows: bool) -> tuple[DataFrame, object]:
+    """rows: some columns, text last. Those columns with n_words, spans and items for one automaton; without all_rows only
+    rows that are hit. And the broadcast."""
+    held = rows.sparkSession.sparkContext.broadcast(Automaton(items, window))
+    keep = rows.schema.fields[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held.value
+        for batch in batches:
+            for t in chunks(batch.column(len(keep))):
+                n, spans, items, _ = automaton.hits(t)
+                part = batch.slice(t.first, len(t))
+                out = pa.RecordBatch.from_arrays([
+                    *part.columns[: len(keep)], pa.array(n, pa.int64()),
+                    pa.array([[{"b": a, "e": b} for a, b in s] for s in spans], _SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                ], names=[*part.schema.names[: len(keep)], "n_words", "spans", "items"])
+                yield out if all_rows else out.filter(pa.array([bool(s) for s in spans]))
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + (", " if keep else "") + _FOUND), held
+
+
+def _merged(numbered: DataFrame, text: str, pieces: Iterator[list[tuple[str, str]]], window: int) -> DataFrame:
+    """(row, n_words, spans, items) of the numbered rows over all pieces: n_words of every row, spans and items merged."""
+    parts, narrow = [], numbered.select("row", text)
+    for k, piece in enumerate(pieces):
+        found, held = _pass(narrow, piece, window, all_rows=not k)
+        parts.append(durable(found, "spans"))
+        held.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    one = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"b": a, "e": b} for a, b in _union([(x["b"], x["e"]) for x in s])] for s in batch.column(2).to_pylist()]
+            items = [sorted(set(x)) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
+
+    return durable(one.mapInArrow(run, "row bigint, " + _FOUND), "merged")
+
+
+def _numbered(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The columns and a number for each row; written down, so that the numbers stand."""
+    return durable(docs.select(F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in columns.items()]), "numbered")
+
+
+def _split(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> tuple[list[tuple[str, str]], Iterator[list[tuple[str, str]]] | None]:
+    """The first piece, and all of them if there are more."""
+    pieces = _item_chunks(benchmark, item_col, text_col, max_words)
+    first = next(pieces)
+    second = next(pieces, None)
+    return first, None if second is None else chain([first, second], pieces)
+
+
 def hit_spans(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans of hit words [begin, end), and the items that occur."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    span = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
-    out = docs.select(docs[doc_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    pieces = _item_chunks(benchmark, item_col, item_text_col, max_words)
-    piece, more = next(pieces), True
-    while more:
-        held = spark.sparkContext.broadcast(Automaton(piece, window))
-        piece = next(pieces, None)
-        more = piece is not None
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, keep_text=more) -> Iterator[pa.RecordBatch]:
-            automaton = held.value
-            for batch in batches:
-                was = batch.select(batch.schema.names[3:]).to_pylist() if batch.num_columns > 2 else None
-                for t in chunks(batch.column(1)):
-                    n, spans, items, _ = automaton.hits(t)
-                    if was:
-                        for k in range(len(t)):
-                            row = was[t.first + k]
-                            spans[k] = _union(spans[k] + [(x["b"], x["e"]) for x in row["spans"]])
-                            items[k] |= set(row["items"])
-                    part = batch.slice(t.first, len(t))
-                    yield pa.RecordBatch.from_arrays([
-                        part.column(0),
-                        part.column(1) if keep_text else pa.nulls(len(t), pa.string()),
-                        pa.array(n, pa.int64()),
-                        pa.array([[{"b": a, "e": b} for a, b in s] for s in spans], span),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    ], names=["doc_id", "text", "n_words", "spans", "items"])
-
-        out = out.mapInArrow(run, "doc_id bigint, text string, n_words bigint, spans array<struct<b:bigint,e:bigint>>, items array<string>")
-    return out.drop("text")
+    small_batches(docs.sparkSession)
+    first, pieces = _split(benchmark, item_col, item_text_col, max_words)
+    columns = {"doc_id": docs[doc_col], "text": docs[text_col]}
+    if pieces is None:
+        return _pass(docs.select(*[c.alias(n) for n, c in columns.items()]), first, window, all_rows=True)[0]
+    rows = _numbered(docs, columns)
+    return rows.select("row", "doc_id").join(_merged(rows, "text", pieces, window), "row").select("doc_id", "n_words", "spans", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -240,45 +273,61 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_span: int = 0, max_coverage: float = 0.0, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def _cut(first: int, t: Texts, spans: list[list[tuple[int, int]]], words: tuple, n: np.ndarray, max_span: int, max_coverage: float) -> tuple[np.ndarray, dict[int, str]]:
+    """Which texts of t are kept, and the new ones, by their place in the batch."""
+    begin, end, begins = words
+    keep, texts = np.ones(len(t), bool), {}
+    for k in range(len(t)):
+        if not spans[k]:
+            continue
+        if sum(b - a for a, b in spans[k]) > max_coverage * n[k]:
+            keep[k] = False
+            continue
+        cut, pos = [], int(t.start[k])
+        for a, b in spans[k]:
+            if b - a > max_span:
+                cut.append(t.data[pos : begin[begins[k] + a]].tobytes())
+                pos = int(end[begins[k] + b - 1])
+        cut.append(t.data[pos : t.stop[k]].tobytes())
+        texts[first + k] = b"".join(cut).decode()
+    return keep, texts
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_span: int = 0, max_coverage: float = 0.0, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """docs without contamination, in its own columns. A row whose hit words are more than max_coverage of
     its words is dropped; of the others, spans of more than max_span hit words are cut out of the text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    pieces = _item_chunks(benchmark, item_col, item_text_col, MAX_WORDS)
-    out = docs
+    small_batches(docs.sparkSession)
+    piece, pieces = _split(benchmark, item_col, item_text_col, max_words)
     at, columns = docs.columns.index(text_col), docs.schema
-    for piece in pieces:
-        held = spark.sparkContext.broadcast(Automaton(piece, window))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            automaton = held.value
-            for batch in batches:
-                keep, texts = np.ones(batch.num_rows, bool), {}
-                for t in chunks(batch.column(at)):
-                    n, spans, _, (begin, end, first) = automaton.hits(t)
-                    for k in range(len(t)):
-                        if not spans[k]:
-                            continue
-                        if sum(b - a for a, b in spans[k]) > max_coverage * n[k]:
-                            keep[t.first + k] = False
-                            continue
-                        cut, pos = [], int(t.start[k])
-                        for a, b in spans[k]:
-                            if b - a > max_span:
-                                cut.append(t.data[pos : begin[first[k] + a]].tobytes())
-                                pos = int(end[first[k] + b - 1])
-                        cut.append(t.data[pos : t.stop[k]].tobytes())
-                        texts[t.first + k] = b"".join(cut).decode()
-                if texts:
-                    whole = batch.column(at).to_pylist()
-                    for k, v in texts.items():
-                        whole[k] = v
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(whole, batch.schema.field(at).type))
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, columns)
-    return out
+    held = None
+    if pieces is None:
+        held, rows = docs.sparkSession.sparkContext.broadcast(Automaton(piece, window)), docs
+    else:
+        numbered = _numbered(docs, {f"c{i}": docs[c] for i, c in enumerate(docs.columns)})
+        spans = _merged(numbered, f"c{at}", pieces, window).select("row", "spans").filter(F.size("spans") > 0)
+        rows = numbered.join(spans, "row", "left").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("spans").alias("__spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, texts = np.ones(batch.num_rows, bool), {}
+            for t in chunks(batch.column(at)):
+                if held is not None:
+                    n, spans, _, words = held.value.hits(t)
+                else:
+                    begin, end, begins, _ = _words(t)
+                    n, words = np.diff(begins), (begin, end, begins)
+                    spans = [[(x["b"], x["e"]) for x in s or ()] for s in batch.column(batch.num_columns - 1).slice(t.first, len(t)).to_pylist()]
+                keep[t.first : t.first + len(t)], more = _cut(t.first, t, spans, words, n, max_span, max_coverage)
+                texts |= more
+            batch = batch.select(range(len(columns)))
+            if texts:
+                whole = batch.column(at).to_pylist()
+                for k, v in texts.items():
+                    whole[k] = v
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(whole, batch.schema.field(at).type))
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, columns)
 
 
 SQL = r"""
