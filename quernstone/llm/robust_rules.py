@@ -9,11 +9,12 @@ texts have no symbol or repeated line at all, and a covariance of zeros has no i
 starts: medians with median absolute deviations, mean and covariance of all rows, and ``DRAWS`` sets of a few rows drawn
 by hash. A concentration step takes the share of rows with the least distances for the next mean and covariance, which
 can't raise the determinant. All starts make ``FIRST`` steps, the ``BEST`` of each group go on until their
-determinants stand still (within ``STEPS`` steps; the table says which did), and the least determinant wins.
+determinants no longer fall (their logarithms by ``STILL``, within ``STEPS`` steps; the table says which did), and the
+least determinant wins.
 
-Each step is one pass over all rows: tasks add up rows by group, start and bin of the distance, and bins meet in one
-grouped sum; the share is cut at the end of a bin, ``LOG_STEP`` wide in the distance's logarithm. No sample, and no group
-in one task. The winner is scaled to a consistent covariance by the group's median distance.
+Each step is two passes over all rows: one counts them by group, start and bin of the distance (``LOG_STEP`` wide in its
+logarithm), which gives the bin at whose end the share is cut; the other adds up the rows up to it. Tasks add up what they
+see before anything moves. No sample, and no group in one task. The winner is scaled to a consistent covariance by the group's median distance.
 
 A row is judged by its (language, source) if that has ``LEAST_ROWS`` rows with words, else by its language if that has,
 else by all rows. It is rejected if its squared distance exceeds the chi-squared quantile of ``CONFIDENCE``. A null
@@ -40,7 +41,7 @@ D = len(VECTOR)
 #: moves the roots of the two rates of repetition by about 0.4.
 FLOOR = (0.35, 0.06, 0.11, 0.11, 0.08)
 SHARE, LEAST_ROWS, CONFIDENCE = 0.75, 60, 1 - 1e-9
-DRAWS, FIRST, BEST, STEPS = 3, 2, 2, 60
+DRAWS, FIRST, BEST, STEPS, STILL = 3, 2, 2, 60, 1e-6
 UNIT = 1000
 #: Groups whose estimates are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
@@ -114,9 +115,8 @@ def _with(rows: DataFrame, table: DataFrame, n_groups: int, on: str = "key") ->
 
 
 def _added(vectors: DataFrame) -> DataFrame:
-    """Sums of the rows of each (key, start)."""
-    x = [F.col(v).cast("decimal(38,0)") for v in VECTOR]
-    return vectors.groupBy("key", "start").agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s_{i}") for i in range(D)], *[F.sum(F.col(VECTOR[i]) * x[j]).alias(f"s_{i}_{j}") for i, j in PAIRS])
+    """Sums of the rows of each (key, start). Thousandths are whole numbers: sums are exact, and one beyond 64 bits is an error."""
+    return vectors.groupBy("key", "start").agg(F.count("*").alias("n"), *[F.sum(VECTOR[i]).alias(f"s_{i}") for i in range(D)], *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s_{i}_{j}") for i, j in PAIRS])
 
 
 def bins_of(distance: np.ndarray) -> np.ndarray:
@@ -124,10 +124,11 @@ def bins_of(distance: np.ndarray) -> np.ndarray:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, VECTOR, starts, forms) added up by key, start and bin of the distance, as far as one task sees them."""
+    """Rows (key, VECTOR, starts, forms, cuts) added up as far as one task sees them: without cuts counted by key, start and bin of
+    the distance; with cuts, those up to the cut summed by key and start."""
     codes: dict[str, int] = {}
     waiting: list[tuple[np.ndarray, np.ndarray]] = []  # (key, start, bin) in one number; counts and sums
-    size = 0
+    size, summed = 0, False
 
     def merged() -> list[tuple[np.ndarray, np.ndarray]]:
         ids, values = np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting])
@@ -142,43 +143,54 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column(0).dictionary_encode()
         code = np.array([codes.setdefault(k, len(codes)) for k in keys.dictionary.to_pylist()])[keys.indices.to_numpy()]
         x = np.stack([batch.column(1 + i).to_numpy() for i in range(D)], 1)
-        values = np.concatenate([np.ones((len(x), 1), np.int64), x, np.stack([x[:, i] * x[:, j] for i, j in PAIRS], 1)], 1)
-        starts, forms = batch.column(1 + D), batch.column(2 + D)
+        starts, cuts = batch.column(1 + D), batch.column(3 + D)
         owner = np.repeat(np.arange(len(x)), np.diff(starts.offsets.to_numpy()))
-        form = forms.flatten().to_numpy().reshape(len(owner), D + len(PAIRS))
+        form = batch.column(2 + D).flatten().to_numpy().reshape(len(owner), D + len(PAIRS))
         d = x[owner] / UNIT - form[:, :D]
         # Product by product: a row's distance doesn't depend on the rows beside it.
-        distance = sum(d[:, i] * d[:, j] * form[:, D + k] for k, (i, j) in enumerate(PAIRS))
-        waiting.append(((code[owner] << 32) + (starts.flatten().to_numpy().astype(np.int64) << 20) + bins_of(distance) + (1 << 19), values[owner]))
-        size += len(owner)
+        bins = bins_of(sum(d[:, i] * d[:, j] * form[:, D + k] for k, (i, j) in enumerate(PAIRS)))
+        ids = (code[owner] << 32) + (starts.flatten().to_numpy().astype(np.int64) << 20)
+        if summed := cuts.null_count == 0:
+            near = bins <= cuts.flatten().to_numpy()
+            y = x[owner[near]]
+            waiting.append((ids[near], np.concatenate([np.ones((len(y), 1), np.int64), y, np.stack([y[:, i] * y[:, j] for i, j in PAIRS], 1)], 1)))
+        else:
+            waiting.append((ids + bins + (1 << 19), np.ones((len(ids), 1), np.int64)))
+        size += len(waiting[-1][0])
         if size > TASK_ROWS:
             waiting = merged()
             size = len(waiting[0][0])
-    if waiting:
+    if size:
         ids, values = merged()[0]
         names = list(codes)
-        columns = [pa.array([names[k] for k in ids >> 32], pa.string()), pa.array(((ids >> 20) & 0xFFF).astype(np.int32)), pa.array(((ids & 0xFFFFF) - (1 << 19)).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in np.ascontiguousarray(values.T))], names=["key", "start", "bin", "n", *_SUMS])
+        bins = pa.nulls(len(ids), pa.int32()) if summed else pa.array(((ids & 0xFFFFF) - (1 << 19)).astype(np.int32))
+        sums = [pa.array(c) for c in np.ascontiguousarray(values.T)] + [pa.nulls(len(ids), pa.int64())] * (0 if summed else len(_SUMS))
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in ids >> 32], pa.string()), pa.array(((ids >> 20) & 0xFFF).astype(np.int32)), bins, *sums], names=["key", "start", "bin", "n", *_SUMS])
 
 
-def _binned(vectors: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
-    """(key, start, bin, n, sums) of all rows of the table's keys, by their distances from each of its forms."""
-    forms = table.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "form"))).alias("f")).select("key", F.transform("f", lambda f: f["start"]).alias("starts"), F.flatten(F.transform("f", lambda f: f["form"])).alias("forms"))
-    rows = _with(vectors, forms, n_groups).select("key", *VECTOR, "starts", "forms")
-    parts = rows.mapInArrow(_partial, "key string, start int, bin int, n bigint, " + ", ".join(f"{c} bigint" for c in _SUMS))
-    return parts.groupBy("key", "start", "bin").agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in _SUMS])
+def _passed(vectors: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
+    """What the tasks add up for the table's keys and forms (and cuts, if it has them)."""
+    fields = ("start", "form", "cut") if "cut" in table.columns else ("start", "form")
+    forms = table.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("f"))
+    cuts = F.transform("f", lambda f: f["cut"]) if "cut" in fields else F.lit(None).cast("array<int>")
+    forms = forms.select("key", F.transform("f", lambda f: f["start"]).alias("starts"), F.flatten(F.transform("f", lambda f: f["form"])).alias("forms"), cuts.alias("cuts"))
+    rows = _with(vectors, forms, n_groups).select("key", *VECTOR, "starts", "forms", "cuts")
+    return rows.mapInArrow(_partial, "key string, start int, bin int, n bigint, " + ", ".join(f"{c} bigint" for c in _SUMS))
 
 
-def _upto(binned: DataFrame, share: float) -> DataFrame:
-    """binned up to the bin in which each (key, start) has its share of rows. A pair has at most some ten thousand bins."""
+def _cuts(vectors: DataFrame, table: DataFrame, n_groups: int, share: float) -> DataFrame:
+    """(key, start, cut): the bin in which each pair has its share of rows. A pair has a few thousand bins at most."""
+    hist = _passed(vectors, table, n_groups).groupBy("key", "start", "bin").agg(F.sum("n").alias("n"))
     own = Window.partitionBy("key", "start")
     before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return binned.withColumns({"before": before, "all": F.sum("n").over(own)}).filter(F.col("before") < F.col("all") * share)
+    upto = hist.withColumns({"before": before, "all": F.sum("n").over(own)}).filter(F.col("before") < F.col("all") * share)
+    return durable(upto.groupBy("key", "start").agg(F.max("bin").alias("cut")), "cuts")
 
 
 def _step(vectors: DataFrame, table: DataFrame, n_groups: int) -> DataFrame:
-    core = _upto(_binned(vectors, table, n_groups), SHARE).groupBy("key", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
-    return _estimates(core, _solve)
+    cut = table.join(_cuts(vectors, table, n_groups, SHARE), ["key", "start"])
+    sums = _passed(vectors, cut, n_groups).groupBy("key", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
+    return _estimates(sums, _solve)
 
 
 def _drawn(vectors: DataFrame, sizes: DataFrame, n_groups: int) -> DataFrame:
@@ -204,8 +216,10 @@ def estimate(vectors: DataFrame) -> DataFrame:
     on = durable(now.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BEST).drop("place"), "best")
     ended = []
     for k in range(STEPS):
-        was = on.select("key", "start", F.col("logdet").alias("was"))
-        made = _step(vectors, on, n_groups).join(was, ["key", "start"]).withColumns({"settled": F.abs(F.col("logdet") - F.col("was")) < 1e-12, "steps": F.lit(FIRST + k + 1)}).drop("was")
+        # Distances are told apart by bins, so that a step near the end may raise a determinant a little: then the one before stays.
+        was = on.select("key", "start", F.struct("logdet", "form").alias("was"))
+        both = _step(vectors, on, n_groups).join(was, ["key", "start"]).withColumn("least", F.least(F.struct("logdet", "form"), F.col("was")))
+        made = both.select("key", "start", "n", F.col("least.form").alias("form"), F.col("least.logdet").alias("logdet"), (F.col("was.logdet") - F.col("logdet") < STILL).alias("settled"), F.lit(FIRST + k + 1).alias("steps"))
         made = durable(made, "step")
         last = k == STEPS - 1
         ended.append(made if last else made.filter("settled"))
@@ -217,7 +231,7 @@ def estimate(vectors: DataFrame) -> DataFrame:
         every = every.unionByName(more)
     names = ("start", "form", "logdet", "steps", "settled")
     best = durable(every.groupBy("key").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("b")).select("key", "b.*"), "winners")
-    middle = _upto(_binned(vectors, best, n_groups), 0.5).groupBy("key").agg(F.max("bin").alias("cut"))
+    middle = _cuts(vectors, best, n_groups, 0.5).select("key", "cut")
     scale = F.greatest(F.exp((F.col("cut") + 1) * LOG_STEP) / chi2_quantile(0.5), F.lit(1.0))
     form = F.transform("form", lambda x, i: F.when(i < D, x).otherwise(x / scale))
     out = best.join(middle, "key").join(med.select("key", "n"), "key").select("key", "n", form.alias("form"), "logdet", "start", "steps", "settled")
