@@ -10,9 +10,10 @@ gets more than ``MOST`` times its size, and what it would have got beyond that i
 source is taken whole as often as its target holds its size; then documents are taken by key as long as more
 than half of the next one fits into the rest.
 
-Nothing is sorted as a whole: sizes are summed by (source, bin of the key), sums of bins give the bin in which
-the target falls, and only that bin's documents, one in ``BINS`` of a source, are put in order. The last key
-taken of each source then decides for every document by itself, in the query as in a stage that carries texts.
+Nothing is sorted as a whole: sizes are summed by (source, bin of the key), and sums of bins give the bin in which the
+target falls. As long as such a bin holds more than ``EDGE_ROWS`` documents it is cut into bins again; only then are
+its documents put in order. The last key taken of each source then decides for every document by itself, in the query
+as in a stage that carries texts. Sizes and keys are read from the texts once and written down.
 
 A null id is one id; rows that agree in id and size share their decision, so that reruns agree. Empty sources
 have a target of 0.
@@ -28,6 +29,8 @@ from quernstone.llm.store import durable
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BINS = 4096
+#: Documents of one source that are put in order at most, unless their keys are all the same.
+EDGE_ROWS = 200_000
 SEED = "mix:"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose figures are broadcast; beyond it they are joined by a shuffle.
@@ -49,8 +52,8 @@ def draw(doc_id: Column) -> Column:
     return (bits + 0.5) / float(2**52)
 
 
-def with_keys(docs: DataFrame, *, doc_col: str, text_col: str) -> dict[str, Column]:
-    return {"__size": size_of(docs[text_col]), "__key": -F.log(draw(docs[doc_col])) / quality_of(docs[text_col])}
+def with_keys(docs: DataFrame, *, doc_col: str, text_col: str, quality: Column | None = None) -> dict[str, Column]:
+    return {"__size": size_of(docs[text_col]), "__key": -F.log(draw(docs[doc_col])) / (quality_of(docs[text_col]) if quality is None else quality)}
 
 
 def _bin(key: Column) -> Column:
@@ -79,24 +82,43 @@ def plan(narrow: DataFrame) -> DataFrame:
     goal = targets(bins.groupBy("source").agg(F.sum("n").alias("source_size")))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
     goal = durable(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goal")
-    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    upto = bins.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
     g = goal.select(F.col("source").alias("s"), "rest").filter("rest > 0")
-    edge = upto.join(g, F.col("source").eqNullSafe(F.col("s"))).filter("before < rest AND rest <= before + n").select("s", "bin", "before", "rest")
     n = goal.count()
-    inside = narrow.withColumn("b", _bin(F.col("__key"))).join(F.broadcast(edge) if n <= BROADCAST_SOURCES else edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bin")))
+    few = (lambda df: F.broadcast(df)) if n <= BROADCAST_SOURCES else (lambda df: df)
+    edge = _edge(bins, few(g.withColumn("ahead", F.lit(0).cast("bigint"))))
+    mine = F.col("source").eqNullSafe(F.col("s"))
+    inside = durable(narrow.withColumn("b", _bin(F.col("__key"))).join(few(edge), mine & (F.col("b") == F.col("bin"))).select("s", "bin", "doc_id", "source", "__size", "__key", "before", "rest"), "inside")
+    while True:
+        ends = inside.groupBy("s").agg(F.count("*").alias("n"), F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.first("before").alias("ahead"), F.first("rest").alias("rest"))
+        wide = durable(ends.filter((F.col("n") > EDGE_ROWS) & (F.col("lo") < F.col("hi"))), "wide")
+        if not wide.head(1):
+            break
+        # Equal parts of the range of keys that the bin holds.
+        sub = F.least(F.lit(BINS - 1), F.floor((F.col("__key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).cast("int")
+        cut = durable(inside.drop("before", "rest").join(few(wide.select(F.col("s").alias("t"), "lo", "hi")), F.col("s").eqNullSafe(F.col("t"))).withColumn("sub", sub).drop("t", "lo", "hi"), "cut")
+        fine = _edge(cut.groupBy("source", F.col("sub").alias("bin")).agg(F.sum("__size").alias("n")), few(wide.select("s", "rest", "ahead"))).withColumnsRenamed({"s": "t", "bin": "fine"})
+        kept = cut.join(few(fine), F.col("s").eqNullSafe(F.col("t")) & (F.col("sub") == F.col("fine"))).select(*inside.columns)
+        rest = inside.join(few(wide.select(F.col("s").alias("t"))), F.col("s").eqNullSafe(F.col("t")), "left_anti")
+        inside = durable(kept.unionByName(rest), "inside")
     order = Window.partitionBy("s").orderBy("__key", "doc_id", "__size")
     start = F.col("before") + F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = inside.withColumn("start", start).filter(F.col("start") + F.col("__size") / 2 <= F.col("rest"))
-    last = taken.groupBy("s").agg(F.max(F.struct("__key", "doc_id", "__size")).alias("last"))
-    known = edge.select("s", "bin").join(last.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").select("s", F.struct("bin", "last").alias("edge"))
+    own = F.struct("__key", "doc_id", "__size")
+    last = inside.withColumn("start", start).groupBy("s").agg(F.max(F.when(F.col("start") + F.col("__size") / 2 <= F.col("rest"), own)).alias("last"), F.min(own).alias("first"))
+    known = edge.select("s", "bin").join(last.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").select("s", F.struct("bin", "first", "last").alias("edge"))
     return durable(goal.join(known, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "edge"), "plan")
 
 
+def _edge(bins: DataFrame, goals: DataFrame) -> DataFrame:
+    """bins: source, bin, n. goals: s, rest, ahead (sizes before all bins). The bin (s, bin, before, rest) in which each source's rest is reached."""
+    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    upto = bins.withColumn("up", F.coalesce(F.sum("n").over(run), F.lit(0))).join(goals, F.col("source").eqNullSafe(F.col("s"))).withColumn("before", F.col("up") + F.col("ahead"))
+    return durable(upto.filter("before < rest AND rest <= before + n").select("s", "bin", "before", "rest"), "edge")
+
+
 def times() -> Column:
     """How often a row is taken, from the plan's columns beside its own."""
     own = F.struct("__key", F.col("__id").alias("doc_id"), "__size")
-    more = F.when(F.col("edge").isNull(), F.lit(False)).when(_bin(F.col("__key")) < F.col("edge.bin"), F.lit(True)).when(_bin(F.col("__key")) > F.col("edge.bin"), F.lit(False)).otherwise(F.col("edge.last").isNotNull() & (own <= F.col("edge.last")))
+    more = F.when(F.col("edge").isNull(), F.lit(False)).when(_bin(F.col("__key")) < F.col("edge.bin"), F.lit(True)).when(_bin(F.col("__key")) > F.col("edge.bin"), F.lit(False)).otherwise((own < F.col("edge.first")) | F.coalesce(own <= F.col("edge.last"), F.lit(False)))
     return F.col("epochs") + F.coalesce(more, F.lit(False)).cast("bigint")
 
 
@@ -107,20 +129,21 @@ def _joined(rows: DataFrame, figures: DataFrame, source: str) -> DataFrame:
     return rows.join(figures, F.col(source).eqNullSafe(F.col("__of")), "left")
 
 
-def mix(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken (words)."""
-    keys = with_keys(docs, doc_col=doc_col, text_col=text_col)
+def mix(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, taken (words). quality: a column of docs above 0, else the share of letters."""
+    keys = with_keys(docs, doc_col=doc_col, text_col=text_col, quality=quality)
     narrow = durable(docs.select(docs[doc_col].alias("doc_id"), docs[source_col].alias("source"), *[c.alias(n) for n, c in keys.items()]), "keys")
     out = _joined(narrow.withColumn("__id", F.col("doc_id")), plan(narrow), "source")
     return out.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * times()).alias("taken"))
 
 
-def mixed(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: rows of docs, in its own columns, each as often as it is taken."""
-    keys = with_keys(docs, doc_col=doc_col, text_col=text_col)
-    narrow = durable(docs.select(docs[doc_col].alias("doc_id"), docs[source_col].alias("source"), *[c.alias(n) for n, c in keys.items()]), "keys")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[doc_col].alias("__id"), docs[source_col].alias("__source"), *[c.alias(n) for n, c in keys.items()])
-    out = _joined(whole, plan(narrow), "__source").select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(MOST).cast("bigint"))).alias("copy"), times().alias("n"))
+def mixed(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
+    """The mix itself: rows of docs, in its own columns, each as often as it is taken. Rows are written down beside their keys,
+    so that the texts are read for them once."""
+    keys = with_keys(docs, doc_col=doc_col, text_col=text_col, quality=quality)
+    whole = durable(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[doc_col].alias("__id"), docs[source_col].alias("__source"), *[c.alias(n) for n, c in keys.items()]), "keyed")
+    figures = plan(whole.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), "__size", "__key"))
+    out = _joined(whole, figures, "__source").select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(MOST).cast("bigint"))).alias("copy"), times().alias("n"))
     return out.filter("copy <= n").select("__row.*")
 
 

@@ -281,6 +281,19 @@ def test_mix_meets_targets(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mix_cuts_large_bins_again(spark, monkeypatch):
+    """Few bins and a low limit make the cut fall into bins of bins; what is taken stays the same."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 9)) + " 12" * rng.randint(0, 30), "en", rng.choice(["a", "b", None])) for i in range(1500)] + [(7, "one two", "en", "a")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    want = sorted(mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "BINS", 4)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 20)
+    assert sorted(mixing.mix(docs).collect()) == want
+    equal = mixing.mix(docs, quality=F.lit(1.0)).collect()
+    assert len(equal) == len(rows) and sum(r.taken for r in equal if r.source == "b") > 0
+
+
 def test_mix_on_odd_rows(spark, odd, nothing):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.taken <= 2 * r.size for r in rows)
