@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,6 @@ def displaced_media(messages: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def first_candidates(candidates: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first candidate of each key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return candidates.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The first candidate of each key; order must tell those of a key apart. One partial aggregate, no window."""
+    rest = [c for c in candidates.columns if c not in key]
+    return candidates.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*key, "__r.*").select(*candidates.columns)

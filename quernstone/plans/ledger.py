@@ -6,6 +6,7 @@ An event is a row with seq, event_id, dedup_key, raw_hash, message_key and refs:
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from quernstone.functions.values import event_id, raw_hash
 from quernstone.sources.catalog import durable
 
 FLAG_DANGLING = 1
-SOURCES = ("live", "history", "app_state", "receipt", "legacy", "identity", "media", "send", "bootstrap", "manual")
+# Where an event may come from.
+SOURCES = ("live", "history", "on_demand_history", "app_state", "app_state_recovery", "receipt", "identity_resolution", "scrub", "legacy_snapshot", "system_contacts")
 
 
 def with_ids(events: DataFrame, dedup: str = "dedup_key", raw: str = "raw") -> DataFrame:
@@ -21,10 +23,20 @@ def with_ids(events: DataFrame, dedup: str = "dedup_key", raw: str = "raw") -> D
     return hashed.withColumn("event_id", event_id(F.col(dedup), F.col("raw_hash")))
 
 
-def valid(events: DataFrame) -> DataFrame:
-    """Events that may be appended: known source, type, key, a hash of 64 hex digits."""
-    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return events.filter(filled("event_id") & F.col("source").isin(*SOURCES) & filled("event_type") & filled("dedup_key") & F.col("raw_hash").rlike("^[0-9a-fA-F]{64}$"))
+def faults(events: DataFrame) -> DataFrame:
+    """events with fault: why a row can't be appended (unknown source, no id, type or key, no hash of 64 hex digits), null if it can."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    fault = (
+        F.when(blank("event_id"), "event_id").when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "source").when(blank("event_type"), "event_type").when(blank("dedup_key"), "dedup_key")
+        .when(~F.coalesce(F.col("raw_hash").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "raw_hash")
+    )
+    return events.withColumn("fault", fault)
+
+
+def valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events that may be appended, and the others with their fault. Nothing is lost: the two together are all rows."""
+    judged = faults(events)
+    return judged.filter("fault IS NULL").drop("fault"), judged.filter("fault IS NOT NULL")
 
 
 def new_events(batch: DataFrame, ledger: DataFrame | None = None, order: str = "seq") -> DataFrame:
@@ -78,51 +90,123 @@ def edges(ledger: DataFrame) -> DataFrame:
     return resolved(ledger).filter("target_id IS NOT NULL").select(F.col("event_id").alias("a"), F.col("target_id").alias("b")).distinct()
 
 
-def cyclic_core(graph: DataFrame, bound: int = 10_000) -> DataFrame:
+def cyclic_core(graph: DataFrame) -> DataFrame:
     """Edges (a, b) that lie on, or between, cycles: nodes without a way in or out are peeled until none is left. Empty if there is no cycle.
 
     A round drops at least one layer; each is written down, so that the plan doesn't grow."""
-    now = durable(graph.filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "graph")
+    now = durable(graph.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct(), "graph")
     n = now.count()
-    for _ in range(bound):
-        if not n:
-            break
+    while n:
         left = now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         left = left.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
         now = durable(left, "graph")
-        m = now.count()
-        if m == n:
+        n, m = now.count(), n
+        if n == m:
             break
-        n = m
     return now
 
 
-def reachable(graph: DataFrame, starts: DataFrame, bound: int = 10_000) -> DataFrame:
+def reachable(graph: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node): every node that a way from start (column start) leads to. Semi-naive: a round follows only what the last one found."""
     steps = durable(graph.select("a", "b").distinct(), "steps")
     found = durable(starts.join(steps, starts["start"] == steps["a"]).select("start", F.col("b").alias("node")).distinct(), "found")
     front = found
-    for _ in range(bound):
-        if not front.head(1):
-            break
+    while front.head(1):
         more = front.join(steps, front["node"] == steps["a"]).select("start", F.col("b").alias("node")).distinct()
         front = durable(more.join(found, ["start", "node"], "left_anti"), "front")
         found = durable(found.unionByName(front), "found")
     return found
 
 
-def reference_states(ledger: DataFrame) -> DataFrame:
-    """references with state: resolved (when it came), pending (the target came later), cyclic (pending, and within a cycle), dangling (no target)."""
-    forward = resolved(ledger, forward_only=True).select("seq", "ref_index", F.col("target_id").alias("then"))
-    core = cyclic_core(edges(ledger)).select(F.col("a").alias("event_id"), F.col("b").alias("target_id"), F.lit(True).alias("in_cycle"))
-    every = resolved(ledger).join(forward, ["seq", "ref_index"]).join(core, ["event_id", "target_id"], "left")
-    state = F.when(F.col("target_id").isNull(), "dangling").when(F.col("then").isNotNull(), "resolved").when(F.col("in_cycle"), "cyclic").otherwise("pending")
-    return every.select("seq", "event_id", "ref_index", "kind", "target", "target_id", state.alias("state"))
-
-
-def late_links(ledger: DataFrame) -> DataFrame:
-    """Links for references whose target came after them, without those within a cycle: (event_id, ref_index, target_id). Earliest target, one link a reference."""
-    return reference_states(ledger).filter("state = 'pending'").select("event_id", "ref_index", "target_id")
+def strong_components(graph: DataFrame) -> DataFrame:
+    """(node, component) of every node on a cycle; two nodes share a component if each leads to the other. Named by its greatest node.
+
+    Colours flow along the edges until each node has the greatest that leads to it; the nodes of a colour that lead back to its
+    namesake are one component. What is left is peeled and coloured again."""
+    rest, made = cyclic_core(graph), None
+    while rest.head(1):
+        colour = durable(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().withColumn("colour", F.col("node")), "colour")
+        changed = True
+        while changed:
+            into = rest.join(colour, rest["a"] == colour["node"]).groupBy(F.col("b").alias("to")).agg(F.max("colour").alias("came"))
+            new = durable(colour.join(into, colour["node"] == into["to"], "left").select("node", "colour", F.greatest("colour", F.coalesce("came", "colour")).alias("now")), "colour")
+            changed = bool(new.filter("now <> colour").head(1))
+            colour = new.select("node", F.col("now").alias("colour"))
+        tails, heads = colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), colour.select(F.col("node").alias("b"), F.col("colour").alias("cb"))
+        own = durable(rest.join(tails, "a").join(heads, "b").filter("ca = cb").select("a", "b", F.col("ca").alias("colour")), "own")
+        # Backwards from the namesakes, within the colour.
+        found = durable(colour.filter("node = colour"), "found")
+        front = found
+        while front.head(1):
+            back = own.join(front, (own["b"] == front["node"]) & (own["colour"] == front["colour"])).select(own["a"].alias("node"), own["colour"].alias("colour")).distinct()
+            front = durable(back.join(found, ["node", "colour"], "left_anti"), "front")
+            found = durable(found.unionByName(front), "found")
+        some = found.select("node", F.col("colour").alias("component"))
+        # A namesake alone is a component only if it leads to itself.
+        loops = rest.filter("a = b").select(F.col("a").alias("node"))
+        several = some.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+        some = durable(some.join(several, "component", "left_semi").unionByName(some.join(loops, "node", "left_semi")).distinct(), "components")
+        made = some if made is None else made.unionByName(some)
+        gone = found.select("node")
+        rest = cyclic_core(own.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+    return made if made is not None else rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _closing(in_order: bool):
+    """Of the edges of one component those that would close a cycle: one after the other, accepted ones counting (in_order), or each by itself."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, set[str]] = {}
+        for a, b in rows.loc[~rows["asked"], ["a", "b"]].itertuples(index=False):
+            after.setdefault(a, set()).add(b)
+
+        def leads(start: str, goal: str) -> bool:
+            seen, stack = {start}, [start]
+            while stack:
+                if (x := stack.pop()) == goal:
+                    return True
+                new = after.get(x, set()) - seen
+                seen |= new
+                stack += new
+            return False
+
+        refused = []
+        for r in rows[rows["asked"]].sort_values(["seq", "ref_index"]).itertuples(index=False):
+            if leads(r.b, r.a):
+                refused.append((r.seq, r.ref_index))
+            elif in_order:
+                after.setdefault(r.a, set()).add(r.b)
+        return pd.DataFrame(refused, columns=["seq", "ref_index"]).astype({"seq": "int64", "ref_index": "int32"})
+
+    return run
+
+
+def _judged(ledger: DataFrame, recorded: DataFrame | None, in_order: bool) -> DataFrame:
+    """references with target_id, linked (a recorded link) and closes: the reference is not linked and would close a cycle of the
+    causes that events had when they came and of the links. Only edges within a strong component can; these
+    are judged a component a task, since refusals depend on the ones before."""
+    refs = resolved(ledger).withColumn("early", F.coalesce(F.col("target_seq") < F.col("seq"), F.lit(False)))
+    if recorded is not None:
+        refs = refs.join(recorded.select("event_id", "ref_index", F.lit(True).alias("linked")), ["event_id", "ref_index"], "left")
+    refs = durable(refs.withColumn("linked", F.coalesce("linked", F.lit(False)) if recorded is not None else F.lit(False)), "references")
+    graph = refs.filter("target_id IS NOT NULL").select(F.col("event_id").alias("a"), F.col("target_id").alias("b"), "seq", "ref_index", (~(F.col("early") | F.col("linked"))).alias("asked"))
+    parts = durable(strong_components(graph), "parts")
+    inner = graph.join(parts.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(parts.select(F.col("node").alias("b"), F.col("component").alias("q")), "b").filter("p = q")
+    closing = inner.select("p", "a", "b", "seq", "ref_index", "asked").groupBy("p").applyInPandas(_closing(in_order), "seq bigint, ref_index int").withColumn("closes", F.lit(True))
+    return refs.join(closing, ["seq", "ref_index"], "left").withColumn("closes", F.coalesce("closes", F.lit(False)))
+
+
+def causal_links(ledger: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """A link pass: (event_id, ref_index, target_id) for each reference without a recorded link that has a target, earliest target, in the
+    order of the log; a link that would close a cycle is refused."""
+    found = _judged(ledger, recorded, in_order=True)
+    return found.filter("NOT linked AND target_id IS NOT NULL AND NOT closes").select("event_id", "ref_index", "target_id")
+
+
+def reference_states(ledger: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """references without a recorded link, with state: dangling (no target), cyclic (a link would close a cycle), pending (a link pass will record it)."""
+    state = F.when(F.col("target_id").isNull(), "dangling").when(F.col("closes"), "cyclic").otherwise("pending")
+    return _judged(ledger, recorded, in_order=False).filter("NOT linked").select("seq", "event_id", "ref_index", "kind", "target", "target_id", state.alias("state"))
 
 
 def attributed(effects: DataFrame, ledger: DataFrame) -> DataFrame:

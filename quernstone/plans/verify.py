@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators.joins import missing, multiset_diff
-from quernstone.plans.ledger import cyclic_core, edges, resolved
+from quernstone.operators.joins import missing
+from quernstone.plans.ledger import strong_components
 
+# The codes of the checks.
 CHECKS = (
-    "message_without_chat", "index_row_missing", "index_row_extra", "participant_without_group", "checkpoint_ahead", "checkpoint_behind", "checkpoint_fork",
-    "raw_hash_mismatch", "dangling_reference", "reference_cycle", "event_without_raw", "raw_without_event", "unread_mismatch",
+    "message_without_chat", "fts_missing_row", "fts_extra_row", "participant_without_group", "checkpoint_ahead_of_head", "checkpoint_lag", "checkpoint_frontier_fork",
+    "raw_hash_mismatch", "dangling_causal_ref", "causal_cycle", "scrub_with_raw", "event_without_raw_or_scrub", "unread_inconsistent",
 )
 
 
@@ -26,62 +27,63 @@ def violation(df: DataFrame, check: str, key: Column, *, seq: Column | None = No
 
 def check_messages(messages: DataFrame, chats: DataFrame) -> DataFrame:
     lost = missing(messages, chats, [("chat_jid", "jid")])
-    return violation(lost, CHECKS[0], F.concat_ws("/", "chat_jid", "msg_id"))
+    return violation(lost, "message_without_chat", F.concat_ws("/", "chat_jid", "msg_id"))
 
 
-def check_index(messages: DataFrame, indexed: DataFrame, columns: list[str]) -> list[DataFrame]:
-    """Contents of live messages against those in the index, as multisets."""
-    live = messages.filter(F.col("deleted_at").isNull()).select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
-    diff = multiset_diff(live, indexed.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns]), columns)
-    key = F.sha2(F.to_json(F.struct(*columns)), 256)
-    count = F.abs(F.col("n_a") - F.col("n_b"))
-    return [violation(diff.filter("n_a > n_b"), CHECKS[1], key, detail=count), violation(diff.filter("n_a < n_b"), CHECKS[2], key, detail=count)]
+def check_index(messages: DataFrame, indexed: DataFrame) -> list[DataFrame]:
+    """Live messages without a row (rowid) in the index, and rows of the index without a live message."""
+    live = messages.filter(F.col("deleted_at").isNull()).select("rowid")
+    key = F.concat(F.lit("rowid:"), "rowid")
+    return [violation(live.join(indexed, "rowid", "left_anti"), "fts_missing_row", key), violation(indexed.select("rowid").join(live, "rowid", "left_anti"), "fts_extra_row", key)]
 
 
 def check_roster(roster: DataFrame, groups: DataFrame) -> DataFrame:
-    return violation(missing(roster, groups, [("group_jid", "jid")]), CHECKS[3], F.concat_ws("/", "group_jid", "user_jid"))
+    return violation(missing(roster, groups, [("group_jid", "jid")]), "participant_without_group", F.concat_ws("/", "group_jid", "user_jid"))
 
 
 def check_checkpoints(checkpoints: DataFrame, ledger: DataFrame, views: list[str]) -> list[DataFrame]:
-    """Views in use: none beyond the head, none behind it, all at one place."""
+    """Views in use: none beyond the head, none behind it, none apart from the first by name."""
     used = checkpoints.filter(F.col("view").isin(views))
     head = ledger.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("head"))
-    at = used.join(F.broadcast(head), F.lit(True))
-    detail = F.concat_ws("/", "last_seq", "head")
-    fork = used.agg(F.count_distinct("last_seq").alias("n"), F.min("last_seq").alias("lo"), F.max("last_seq").alias("hi")).filter("n > 1")
-    return [
-        violation(at.filter("last_seq > head"), CHECKS[4], F.col("view"), seq=F.col("last_seq"), detail=detail),
-        violation(at.filter("last_seq < head"), CHECKS[5], F.col("view"), seq=F.col("last_seq"), detail=detail),
-        violation(fork, CHECKS[6], F.lit("*"), seq=F.col("lo"), detail=F.concat_ws("/", "lo", "hi")),
-    ]
+    first = used.agg(F.min_by("last_seq", "view").alias("first"))
+    at = used.join(F.broadcast(head), F.lit(True)).join(F.broadcast(first), F.lit(True))  # one row each
+    out = []
+    for check, cond, other in (("checkpoint_ahead_of_head", "last_seq > head", "head"), ("checkpoint_lag", "last_seq < head", "head"), ("checkpoint_frontier_fork", "last_seq <> first", "first")):
+        out.append(violation(at.filter(cond), check, F.col("view"), seq=F.col("last_seq"), detail=F.concat_ws("/", "last_seq", other)))
+    return out
 
 
 def check_raw(ledger: DataFrame, raw: DataFrame) -> list[DataFrame]:
-    wrong = ledger.join(raw, "event_id").filter(F.sha2("raw_bytes", 256) != F.lower("raw_hash"))
-    return [
-        violation(wrong, CHECKS[7], F.col("event_id"), seq=F.col("seq"), event_id=F.col("event_id")),
-        violation(ledger.join(raw.select("event_id"), "event_id", "left_anti"), CHECKS[10], F.col("event_id"), seq=F.col("seq"), event_id=F.col("event_id")),
-        violation(raw.join(ledger.select("event_id"), "event_id", "left_anti"), CHECKS[11], F.col("event_id"), event_id=F.col("event_id")),
-    ]
+    """Bytes that don't have their hash; scrubs that keep bytes; other events without bytes, unless they are snapshots, which never had any."""
+    both = ledger.join(raw.select("event_id", "raw_bytes"), "event_id", "left")
+    tests = {
+        "raw_hash_mismatch": F.sha2("raw_bytes", 256) != F.col("raw_hash"), "scrub_with_raw": F.col("raw_bytes").isNotNull() & (F.col("event_type") == "scrub"),
+        "event_without_raw_or_scrub": F.col("raw_bytes").isNull() & (F.col("event_type") != "scrub") & (F.col("source") != "legacy_snapshot"),
+    }
+    return [violation(both.filter(t), check, F.lit(""), seq=F.col("seq"), event_id=F.col("event_id")) for check, t in tests.items()]
 
 
-def check_references(ledger: DataFrame) -> list[DataFrame]:
-    dangling = resolved(ledger).filter("target_id IS NULL")
+def check_links(links: DataFrame, ledger: DataFrame) -> list[DataFrame]:
+    """Links (event_id, ref_index, target_id) whose target is not in the log; and links that make cycles, one row a strong component."""
+    lost = links.join(ledger.select(F.col("event_id").alias("target_id")), "target_id", "left_anti")
+    knots = strong_components(links.select(F.col("event_id").alias("a"), F.col("target_id").alias("b"))).groupBy("component").agg(F.min("node").alias("node"), F.count("*").alias("n"))
     return [
-        violation(dangling, CHECKS[8], F.col("target"), seq=F.col("seq"), event_id=F.col("event_id"), detail=F.col("kind")),
-        violation(cyclic_core(edges(ledger)), CHECKS[9], F.concat_ws(">", "a", "b"), event_id=F.col("a")),
+        violation(lost, "dangling_causal_ref", F.concat_ws("#", "event_id", "ref_index"), event_id=F.col("event_id"), detail=F.col("target_id")),
+        violation(knots, "causal_cycle", F.col("node"), event_id=F.col("node"), detail=F.col("n")),
     ]
 
 
 def check_unread(chats: DataFrame) -> DataFrame:
-    """A count without the marker, or the marker without a count, or a negative count."""
-    bad = chats.filter(((F.col("unread_count") > 0) & ~F.col("unread")) | (F.col("unread") & (F.col("unread_count") < 1)) | (F.col("unread_count") < 0))
-    return violation(bad, CHECKS[12], F.col("jid"), detail=F.col("unread_count"))
+    """A count without the marker, or a negative count. The marker alone is sound: a chat can be marked as unread."""
+    return violation(chats.filter((F.col("unread_count") < 0) | (~F.col("unread") & (F.col("unread_count") > 0))), "unread_inconsistent", F.col("jid"), detail=F.col("unread_count"))
 
 
-def verify(*, messages: DataFrame, chats: DataFrame, groups: DataFrame, roster: DataFrame, indexed: DataFrame, ledger: DataFrame, raw: DataFrame, checkpoints: DataFrame, views: list[str], columns: list[str]) -> DataFrame:
+def verify(*, messages: DataFrame, chats: DataFrame, groups: DataFrame, roster: DataFrame, indexed: DataFrame, ledger: DataFrame, raw: DataFrame, links: DataFrame, checkpoints: DataFrame, views: list[str]) -> DataFrame:
     """Every violation of every check; empty for a sound archive."""
-    parts = [check_messages(messages, chats), *check_index(messages, indexed, columns), check_roster(roster, groups), *check_checkpoints(checkpoints, ledger, views), *check_raw(ledger, raw), *check_references(ledger), check_unread(chats)]
+    parts = [
+        check_messages(messages, chats), *check_index(messages, indexed), check_roster(roster, groups), *check_checkpoints(checkpoints, ledger, views),
+        *check_raw(ledger, raw), *check_links(links, ledger), check_unread(chats),
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 

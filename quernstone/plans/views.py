@@ -67,16 +67,16 @@ def chats(events: DataFrame) -> DataFrame:
 
 
 def unread(events: DataFrame) -> DataFrame:
-    """The unread count of each chat at the end of the log. Only the first live delivery of a message counts, not one's own."""
-    df = of(events, "message", "mark_read", "mark_unread", "unread", "receipt").withColumn("n", F.get_json_object("payload", "$.count").cast("bigint"))
+    """The unread count of each chat at the end of the log. Only the first delivery of a message counts, if it is live and not one's
+    own; whatever else refers to the message, before it or after, is no delivery."""
     mine = F.coalesce(F.get_json_object("payload", "$.from_me") == "true", F.lit(False))
-    w = Window.partitionBy("chat_jid", "msg_id").orderBy("seq")
-    first = (F.col("event_type") == "message") & (F.row_number().over(w) == 1)
-    kind = F.col("event_type")
-    steps = df.withColumns({
-        "plus": F.coalesce(first & (F.col("source") == "live") & ~mine, F.lit(False)), "sets": F.when(kind == "unread", F.greatest("n", F.lit(0))).when(kind.isin("mark_read", "receipt"), F.lit(0)), "keeps": kind == "mark_unread",
-    })
-    return unread_fold(steps).groupBy("chat_jid").agg(F.max_by("unread_count", "seq").alias("unread_count"))
+    said = of(events, "message").groupBy("chat_jid", "msg_id").agg(F.min("seq").alias("seq"), F.min_by(F.coalesce((F.col("source") == "live") & ~mine, F.lit(False)), "seq").alias("plus"))
+    none = F.lit(None).cast("bigint")
+    said = said.select("chat_jid", "seq", "plus", none.alias("sets"), F.lit(False).alias("keeps"))
+    kind, n = F.col("event_type"), F.get_json_object("payload", "$.count").cast("bigint")
+    sets = F.when(kind == "unread", F.greatest(n, F.lit(0))).when(kind.isin("mark_read", "receipt"), F.lit(0)).cast("bigint")
+    marks = of(events, "mark_read", "mark_unread", "unread", "receipt").select("chat_jid", "seq", F.lit(False).alias("plus"), sets.alias("sets"), (kind == "mark_unread").alias("keeps"))
+    return unread_fold(said.unionByName(marks)).groupBy("chat_jid").agg(F.max_by("unread_count", "seq").alias("unread_count"))
 
 
 def contacts(events: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def snapshot_events(df: DataFrame, table: str, key: list[str], first_seq: int =
     row = F.to_json(F.struct(F.lit(table).alias("table"), F.struct(*plain).alias("row")))
     keys = F.concat_ws(":", F.lit(table), *[F.col(c).cast("string") for c in key])
     # Numbers by range-partitioned order: partition totals give each partition its first number.
-    parts = df.select(row.alias("payload"), keys.alias("dedup_key"), F.lit("snapshot").alias("event_type"), F.lit("legacy").alias("source")).repartitionByRange("dedup_key", "payload").withColumn("__p", F.spark_partition_id())
+    parts = df.select(row.alias("payload"), keys.alias("dedup_key"), F.lit(f"snapshot_{table}").alias("event_type"), F.lit("legacy_snapshot").alias("source")).repartitionByRange("dedup_key", "payload").withColumn("__p", F.spark_partition_id())
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     ahead = counts.withColumn("__a", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     number: Column = F.row_number().over(Window.partitionBy("__p").orderBy("dedup_key", "payload"))

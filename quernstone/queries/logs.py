@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from quernstone.operators import joins as jo
 from quernstone.plans import ledger as lg
 from quernstone.plans import verify as vf
 from quernstone.queries import Tables, query
+from quernstone.sources import bindings
+from quernstone.sources.catalog import shared_dir
 from quernstone.streaming import log as sl
 
 # Functions
@@ -311,11 +313,11 @@ def sc19_append_to_log(t: Tables) -> DataFrame:
 
 def _with_refs(t: Tables) -> DataFrame:
     e = lg.new_events(_events(t))
-    by_key = F.struct(F.lit("message_key").alias("kind"), F.concat(F.lit("k"), (F.col("seq") * 7 + 13) % 1200).alias("target"))
+    by_key = F.struct(F.lit("message_key").alias("kind"), F.concat(F.lit("k"), (F.col("seq") * 7 + 12) % 1200).alias("target"))
     return e.withColumn("refs", F.when(F.col("seq") % 4 == 0, F.array(by_key)).otherwise(F.array().cast("array<struct<kind:string,target:string>>")))
 
 
-_REFS = f"{_EVENTS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM e) WHERE n = 1), k AS (SELECT message_key, min(seq) AS target_seq, arg_min(id, seq) AS target_id FROM u GROUP BY message_key), f AS (SELECT seq, id, concat('k', (seq * 7 + 13) % 1200) AS target FROM u WHERE seq % 4 = 0)"
+_REFS = f"{_EVENTS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM e) WHERE n = 1), k AS (SELECT message_key, min(seq) AS target_seq, arg_min(id, seq) AS target_id FROM u GROUP BY message_key), f AS (SELECT seq, id, concat('k', (seq * 7 + 12) % 1200) AS target FROM u WHERE seq % 4 = 0)"
 
 
 @query(f"WITH {_REFS} SELECT f.seq, CASE WHEN target_seq < f.seq THEN target_id END AS target_id FROM f LEFT JOIN k ON f.target = k.message_key")
@@ -328,24 +330,42 @@ def st02_dangling_flag(t: Tables) -> DataFrame:
     return lg.with_causes(_with_refs(t)).select("seq", F.col("flags").cast("int").alias("flags"))
 
 
-@query(f"""WITH RECURSIVE {_REFS}, g AS (SELECT DISTINCT f.id AS a, target_id AS b FROM f JOIN k ON f.target = k.message_key), c AS (SELECT a AS root, b FROM g UNION SELECT c.root, g.b FROM c JOIN g ON c.b = g.a)
-SELECT count(DISTINCT root) AS nodes FROM c WHERE root = b""")
+# An event refers to one other at most: a way that comes back goes round a ring, and ways from a ring stay in it.
+_RINGS = f"""{_REFS}, g AS (SELECT f.seq, f.id AS a, target_id AS b, target_seq < f.seq AS early, e.event_type AS kind FROM f JOIN k ON f.target = k.message_key JOIN u e ON e.seq = f.seq),
+c AS (SELECT a AS root, b FROM g UNION SELECT c.root, g.b FROM c JOIN g ON c.b = g.a),
+ring AS (SELECT c.root, max(c.b) AS ring FROM c WHERE c.root IN (SELECT root FROM c WHERE root = b) GROUP BY c.root),
+refused AS (SELECT max(g.seq) AS seq FROM g JOIN ring r ON g.a = r.root WHERE NOT early GROUP BY r.ring)"""
+
+
+@query(f"WITH RECURSIVE {_RINGS} SELECT count(*) AS nodes FROM ring")
 def jo11_cyclic_nodes(t: Tables) -> DataFrame:
-    g = lg.cyclic_core(lg.edges(_with_refs(t)))
-    way = lg.reachable(g, g.select(F.col("a").alias("start")).distinct())
-    return way.filter("start = node").agg(F.count_distinct("start").alias("nodes"))
+    return lg.strong_components(lg.edges(_with_refs(t))).agg(F.count("*").alias("nodes"))
 
 
-@query(f"WITH {_REFS} SELECT f.seq, CASE WHEN target_id IS NULL THEN 'dangling' ELSE 'there' END AS state FROM f LEFT JOIN k ON f.target = k.message_key")
-def st04_dangling(t: Tables) -> DataFrame:
-    found = lg.resolved(_with_refs(t))
-    return found.select("seq", F.when(F.col("target_id").isNull(), "dangling").otherwise("there").alias("state"))
+@query(f"WITH RECURSIVE {_RINGS} SELECT c.root AS start, c.b AS node FROM c JOIN u ON c.root = u.id WHERE u.event_type = 'signup'")
+def jo11_reachable(t: Tables) -> DataFrame:
+    log = _with_refs(t)
+    return lg.reachable(lg.edges(log), log.filter("event_type = 'signup'").select(F.col("event_id").alias("start")))
 
 
-@query()
-def st03_late_links(t: Tables) -> DataFrame:
-    """No SQL: links within cycles are left out, which takes an iteration; tests use small graphs."""
-    return lg.late_links(_with_refs(t))
+@query(f"WITH {_REFS} SELECT f.seq, 0 AS ref_index, f.target, target_id FROM f LEFT JOIN k ON f.target = k.message_key")
+def jo10_references(t: Tables) -> DataFrame:
+    return lg.resolved(_with_refs(t)).select("seq", "ref_index", "target", "target_id")
+
+
+@query(f"WITH RECURSIVE {_RINGS} SELECT a AS event_id, 0 AS ref_index, b AS target_id FROM g WHERE seq NOT IN (SELECT seq FROM refused)")
+def st03_causal_links(t: Tables) -> DataFrame:
+    return lg.causal_links(_with_refs(t))
+
+
+@query(f"""WITH RECURSIVE {_RINGS}, linked AS (SELECT seq FROM g WHERE kind = 'click' AND seq NOT IN (SELECT seq FROM refused)),
+alone AS (SELECT max(g.seq) AS seq FROM g JOIN ring r ON g.a = r.root WHERE NOT early AND g.seq NOT IN (SELECT seq FROM linked) GROUP BY r.ring HAVING count(*) = 1)
+SELECT f.seq, CASE WHEN g.seq IS NULL THEN 'dangling' WHEN f.seq IN (SELECT seq FROM alone) THEN 'cyclic' ELSE 'pending' END AS state FROM f LEFT JOIN g ON f.seq = g.seq WHERE f.seq NOT IN (SELECT seq FROM linked)""")
+def st04_reference_states(t: Tables) -> DataFrame:
+    """References without a link, after a link pass of which only the links of clicks were kept."""
+    log = _with_refs(t)
+    kept = lg.causal_links(log).join(log.filter("event_type = 'click'").select("event_id"), "event_id", "left_semi")
+    return lg.reference_states(log, kept).select("seq", "state")
 
 
 @query(f"WITH {_EVENTS} SELECT m.chat_jid, m.n, max_by(e.id, e.seq) AS id FROM (SELECT concat('c', user_id) AS chat_jid, user_id AS n FROM events GROUP BY user_id) m LEFT JOIN e ON m.chat_jid = e.chat_jid AND e.seq % 2 = 0 GROUP BY m.chat_jid, m.n")
@@ -358,11 +378,35 @@ def st24_attribution(t: Tables) -> DataFrame:
 # Integrity
 
 
-@query("""SELECT 'message_without_chat' AS "check", count(*) AS n FROM messages m WHERE NOT EXISTS (SELECT 1 FROM chats c WHERE c.jid = m.chat_jid AND NOT c.archived)
-UNION ALL SELECT 'participant_without_group', count(*) FROM group_participants p WHERE NOT EXISTS (SELECT 1 FROM groups g WHERE g.jid = p.group_jid AND g.updated_at % 3 > 0)
-UNION ALL SELECT 'unread_mismatch', count(*) FROM chats WHERE (unread_count > 0 AND NOT unread) OR (unread AND unread_count < 1) OR unread_count < 0""", "messages chats groups group_participants")
+_BOUND = bindings.sql("messages", "chats", "groups", "group_participants")
+
+
+@query(f"""WITH RECURSIVE {_BOUND}, {_RINGS}, x AS (SELECT u.seq, u.event_type, CASE event_id % 4 WHEN 0 THEN 'legacy_snapshot' ELSE 'live' END AS source FROM u JOIN events ON u.seq = event_id), h AS (SELECT max(seq) AS head FROM u)
+SELECT 'message_without_chat' AS "check", count(*) AS n FROM messages m WHERE NOT EXISTS (SELECT 1 FROM chats c WHERE c.jid = m.chat_jid AND NOT c.archived)
+UNION ALL SELECT 'fts_missing_row', count(*) FROM messages WHERE deleted_at IS NULL AND media_type = 'image'
+UNION ALL SELECT 'fts_extra_row', count(*) FROM messages WHERE deleted_at IS NOT NULL AND media_type <> 'image'
+UNION ALL SELECT 'participant_without_group', count(*) FROM group_participants p WHERE NOT EXISTS (SELECT 1 FROM groups g WHERE g.jid = p.group_jid AND g.left_at = 0)
+UNION ALL SELECT 'checkpoint_ahead_of_head', count(*) FROM region WHERE r_regionkey > 3
+UNION ALL SELECT 'checkpoint_lag', count(*) FROM region WHERE r_regionkey < 3
+UNION ALL SELECT 'checkpoint_frontier_fork', count(*) FROM region WHERE r_regionkey <> (SELECT r_regionkey FROM region ORDER BY encode(r_name) LIMIT 1)
+UNION ALL SELECT 'raw_hash_mismatch', count(*) FROM x WHERE event_type = 'error'
+UNION ALL SELECT 'dangling_causal_ref', count(*) FROM f LEFT JOIN k ON f.target = k.message_key WHERE target_id IS NULL
+UNION ALL SELECT 'causal_cycle', count(DISTINCT ring) FROM ring
+UNION ALL SELECT 'scrub_with_raw', count(*) FROM x WHERE event_type = 'purchase'
+UNION ALL SELECT 'event_without_raw_or_scrub', count(*) FROM x WHERE event_type = 'signup' AND source <> 'legacy_snapshot'
+UNION ALL SELECT 'unread_inconsistent', count(*) FROM chats WHERE unread_count < 0 OR (NOT unread AND unread_count > 0)""")
 def dm16_verify(t: Tables) -> DataFrame:
-    found = vf.check_messages(t.messages, t.chats.filter("NOT archived")).unionByName(vf.check_roster(t.group_participants, t.groups.filter("updated_at % 3 > 0"))).unionByName(vf.check_unread(t.chats))
+    """All thirteen checks over an archive with faults of each kind: purchases play scrubs, sign-ups lack their bytes, errors have others."""
+    log = _with_refs(t).withColumn("source", F.when(F.col("seq") % 4 == 0, "legacy_snapshot").otherwise("live"))
+    raw = log.filter("event_type <> 'signup'").select("event_id", F.when(F.col("event_type") == "error", F.lit("other")).otherwise(F.col("raw")).cast("binary").alias("raw_bytes"))
+    links = lg.resolved(log).select("event_id", "ref_index", F.coalesce("target_id", F.lit("nowhere")).alias("target_id"))
+    head = log.agg(F.max("seq").alias("h"))
+    checkpoints = t("region").join(F.broadcast(head), F.lit(True)).select(F.col("r_name").alias("view"), (F.col("h") + F.col("r_regionkey") - 3).alias("last_seq"))
+    found = vf.verify(
+        messages=t.messages, chats=t.chats.filter("NOT archived"), groups=t.groups.filter("left_at = 0"), roster=t.group_participants, indexed=t.messages.filter("media_type <> 'image'"),
+        ledger=log.withColumn("event_type", F.when(F.col("event_type") == "purchase", "scrub").otherwise(F.col("event_type"))), raw=raw, links=links, checkpoints=checkpoints, views=[r.r_name for r in t("region").collect()],
+    ).filter("check <> 'unread_inconsistent'")
+    found = found.unionByName(vf.check_unread(t.chats))
     return found.groupBy("check").agg(F.count("*").alias("n"))
 
 
@@ -386,14 +430,11 @@ def st05_stream_append(t: Tables) -> DataFrame:
     kept = e.select("seq", "dedup_key", "raw", "event_type", F.lit("live").alias("source"))
     kept.write.parquet(f"{folder}/in")
     sl.append(sl.source(t.spark, f"{folder}/in", kept.schema, files_per_batch=4), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/log").groupBy("event_type").agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(f"{folder}/log/events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def _stream_dir(t: Tables) -> str:
-    import uuid
-
-    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir() + "/checkpoints"
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL".replace("time_bucket(INTERVAL '1 day', ts) AS day", "CAST(floor(epoch(ts) / 86400) AS bigint) AS day"))

@@ -134,13 +134,13 @@ def st13_snapshot_events(t: Tables) -> DataFrame:
 
 
 def _log(t: Tables) -> DataFrame:
-    """events as a log of the archive: clicks are messages, views votes, sign-ups stars, purchases polls, errors mark as read."""
+    """events as a log of the archive: clicks are messages, views votes, sign-ups stars, purchases polls, errors mark as read or are receipts, which name messages too."""
     e, kind = t.ledger, F.col("event_type")
     payload = (
         F.when(kind == "click", F.to_json(F.struct(F.col("raw").alias("text"), (F.col("seq") % 3 == 0).alias("from_me")))).when(kind == "view", F.to_json(F.struct(F.array(F.concat(F.lit("o"), F.col("seq") % 3)).alias("selected"), (F.col("seq") * 1000).alias("ts"))))
         .when(kind == "signup", F.to_json(F.struct((F.col("seq") % 4 > 0).alias("starred")))).when(kind == "purchase", F.to_json(F.struct(F.lit("?").alias("question"), F.array(F.lit("o0"), F.concat(F.lit("o"), F.col("seq") % 3)).alias("options"))))
     )
-    name = F.when(kind == "click", "message").when(kind == "view", "vote").when(kind == "signup", "star").when(kind == "purchase", "poll").otherwise("mark_read")
+    name = F.when(kind == "click", "message").when(kind == "view", "vote").when(kind == "signup", "star").when(kind == "purchase", "poll").when(F.col("seq") % 2 == 0, "receipt").otherwise("mark_read")
     return e.select("seq", "source", name.alias("event_type"), "chat_jid", F.when(name != "mark_read", F.col("msg_id")).alias("msg_id"), F.concat(F.lit("s"), F.col("seq") % 5).alias("sender_jid"), F.col("ts").alias("event_ts"), F.coalesce(payload, F.lit("{}")).alias("payload"))
 
 

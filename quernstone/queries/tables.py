@@ -261,14 +261,14 @@ def ag01_counts(t: Tables) -> DataFrame:
 
 
 @query("""SELECT c.jid, c.name, c.kind, count(m.rowid) AS message_count, coalesce(min(m.ts), 0) AS oldest_ts, coalesce(max(m.ts), 0) AS newest_ts, CASE WHEN count(m.rowid) > 0 THEN 'ready' ELSE 'blocked' END AS status
-FROM chats c LEFT JOIN (SELECT * FROM messages WHERE rowid % 7 < 3) m ON c.jid = m.chat_jid GROUP BY c.jid, c.name, c.kind""", "chats messages")
+FROM chats c LEFT JOIN messages m ON c.jid = m.chat_jid GROUP BY c.jid, c.name, c.kind""", "chats messages")
 def ag03_history_coverage(t: Tables) -> DataFrame:
-    return ag.coverage(t.chats, t.messages.filter("rowid % 7 < 3"), include_blocked=True)
+    return ag.coverage(t.chats, t.messages, include_blocked=True)
 
 
-@query(f"""WITH a AS (SELECT c.jid, greatest(coalesce(max(m.ts), 0), coalesce(c.last_message_ts, 0)) AS activity_ts FROM chats c LEFT JOIN (SELECT * FROM messages WHERE rowid % 4 = 0) m ON c.jid = m.chat_jid GROUP BY c.jid, c.last_message_ts) SELECT * FROM a WHERE activity_ts > 0 AND activity_ts < {LATE}""", "chats messages")
+@query(f"""WITH a AS (SELECT c.jid, greatest(coalesce(max(m.ts), 0), coalesce(c.last_message_ts, 0)) AS activity_ts FROM chats c LEFT JOIN messages m ON c.jid = m.chat_jid GROUP BY c.jid, c.last_message_ts) SELECT * FROM a WHERE activity_ts > 0 AND activity_ts < {LATE}""", "chats messages")
 def ag04_stale_chats(t: Tables) -> DataFrame:
-    return ag.stale_chats(t.chats, t.messages.filter("rowid % 4 = 0"), LATE).select("jid", "activity_ts")
+    return ag.stale_chats(t.chats, t.messages, LATE).select("jid", "activity_ts")
 
 
 @query(f"""WITH c AS (SELECT concat('g', CAST(c_custkey AS varchar(20))) AS jid, 700000000 + c_custkey AS last FROM customer), m AS (SELECT concat('g', CAST(o_custkey AS varchar(20))) AS chat, max(CAST(floor(epoch(o_orderdate)) AS bigint)) AS ts FROM orders GROUP BY 1),
@@ -392,9 +392,9 @@ def so09_chronological(t: Tables) -> DataFrame:
     return rd.list_messages(t.messages, chats="c1", limit=5).orderBy("ts", "rowid").select("rowid", "ts")
 
 
-@query("""SELECT jid, message_count FROM (SELECT c.jid, count(m.rowid) AS message_count, coalesce(max(m.ts), 0) AS newest FROM chats c LEFT JOIN (SELECT * FROM messages WHERE rowid % 7 < 3) m ON c.jid = m.chat_jid GROUP BY c.jid) WHERE message_count > 0 ORDER BY newest DESC, encode(jid) LIMIT 25""", "chats messages")
+@query("""SELECT jid, message_count FROM (SELECT c.jid, count(m.rowid) AS message_count, coalesce(max(m.ts), 0) AS newest FROM chats c LEFT JOIN messages m ON c.jid = m.chat_jid GROUP BY c.jid) WHERE message_count > 0 ORDER BY newest DESC, encode(jid) LIMIT 25""", "chats messages")
 def so10_filter_then_limit(t: Tables) -> DataFrame:
-    return ag.coverage(t.chats, t.messages.filter("rowid % 7 < 3"), limit=25).select("jid", "message_count")
+    return ag.coverage(t.chats, t.messages, limit=25).select("jid", "message_count")
 
 
 # Sets

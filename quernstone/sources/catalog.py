@@ -7,6 +7,7 @@ the pointer, rolling back another: readers see the old snapshot or the new one,
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,14 +50,20 @@ def conformed(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)])
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder of spark.checkpoint.dir and read back: iterations end their lineage here, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a folder of this machine if Spark runs in this process alone, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared folder of spark.checkpoint.dir and read back: iterations end their lineage here, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,18 +33,34 @@ def _log(spark: SparkSession, path: str, schema: StructType, batch: int) -> Data
     return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch_id") != batch)
 
 
+class LimitReached(RuntimeError):
+    """The log holds as many events as it may."""
+
+
+#: Keys of a batch that go to the scan of the log; a larger batch is joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def append(events: DataFrame, path: str, checkpoint: str, *, available_now: bool = True, max_events: int | None = None) -> StreamingQuery:
-    """Appends a stream of events (seq, dedup_key, raw, source, event_type, ...) to the log at path, a folder a batch.
+    """Appends a stream of events (seq, dedup_key, raw, source, event_type, ...) to the log at path/events, a folder a batch; rows that can't
+    be appended go to path/rejected with their fault.
 
-    max_events: the query stops once the log holds so many."""
+    max_events: once the log holds so many, the query fails with LimitReached before it takes the next batch. That batch is
+    not committed: a query on the same checkpoint with more room goes on with it, and nothing is lost."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        made = valid(with_ids(batch))
-        there = _log(spark, path, StructType.fromJson(made.withColumn("batch_id", F.lit(0)).schema.jsonValue()), batch_id)
+        good, bad = valid(with_ids(batch))
+        there = _log(spark, f"{path}/events", StructType.fromJson(good.withColumn("batch_id", F.lit(0)).schema.jsonValue()), batch_id)
         if max_events is not None and there.count() >= max_events:
-            return
-        new_events(made, there).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            raise LimitReached(f"the log holds {max_events} events or more")
+        # The keys of the batch go to the log, of which only two columns are read and nothing is shuffled.
+        pair = ["dedup_key", "raw_hash"]
+        keys = good.select(*pair).distinct()
+        known = there.select(*pair).join(F.broadcast(keys) if batch.count() <= BROADCAST_KEYS else keys, pair, "left_semi")
+        new_events(good, known).write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+        if bad.head(1):
+            bad.write.mode("overwrite").parquet(f"{path}/rejected/batch_id={batch_id}")
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()

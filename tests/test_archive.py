@@ -1,9 +1,11 @@
 """Literal cases and plain-Python doubles for what SQL can't say."""
 
+import hashlib
 import json
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -246,52 +248,87 @@ def _graph(spark, edges, extra=()):
     return spark.createDataFrame(rows, "seq bigint, event_id string, message_key string, refs array<struct<kind:string,target:string>>, dedup_key string, raw_hash string, source string, event_type string, chat_jid string, msg_id string")
 
 
-def test_references_and_cycles(spark):
-    log = _graph(spark, [(5, 1), (2, 3), (3, 4), (4, 2), (6, 9), (1, 7)], extra=(9,)).filter("seq <> 9")
+def test_references_and_links(spark):
+    # Two rings of two, joined by 2 -> 3, which is on neither.
+    log = _graph(spark, [(5, 1), (1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (6, 9), (1, 7)], extra=(9,)).filter("seq <> 9")
+    parts = {r.node: r.component for r in lg.strong_components(lg.edges(log)).collect()}
+    assert {n for n in parts} == {"e1", "e2", "e3", "e4"} and parts["e1"] == parts["e2"] != parts["e3"] == parts["e4"]
     states = {(r.event_id, r.target): r.state for r in lg.reference_states(log).collect()}
-    assert states == {("e5", "e1"): "resolved", ("e2", "e3"): "cyclic", ("e3", "e4"): "cyclic", ("e4", "e2"): "resolved", ("e6", "e9"): "dangling", ("e1", "e7"): "pending"}
-    assert [tuple(r) for r in lg.late_links(log).collect()] == [("e1", 0, "e7")]
+    assert {k for k, v in states.items() if v == "cyclic"} == {("e1", "e2"), ("e3", "e4")} and states["e6", "e9"] == "dangling" and states["e2", "e3"] == states["e1", "e7"] == "pending"
+    links = lg.causal_links(log)
+    assert {(r.event_id, r.target_id) for r in links.collect()} == {("e5", "e1"), ("e2", "e1"), ("e2", "e3"), ("e4", "e3"), ("e1", "e7")}
+    assert {(r.event_id, r.state) for r in lg.reference_states(log, links).collect()} == {("e1", "cyclic"), ("e3", "cyclic"), ("e6", "dangling")}
+    assert lg.causal_links(log, links).count() == 0
     causes = {r.seq: (r.causes, r.flags) for r in lg.with_causes(log).collect()}
-    assert causes[5] == (["e1"], 0) and causes[2] == ([], 1) and causes[7] == ([], 0)
-    way = lg.reachable(lg.edges(log), spark.createDataFrame([("e5",), ("e2",)], "start string"))
-    assert {(r.start, r.node) for r in way.collect()} == {("e5", "e1"), ("e5", "e7"), ("e2", "e3"), ("e2", "e4"), ("e2", "e2")}
+    assert causes[5] == (["e1"], 0) and causes[1] == ([], 1) and causes[7] == ([], 0)
+    way = lg.reachable(lg.edges(log), spark.createDataFrame([("e5",), ("e3",)], "start string"))
+    assert {(r.start, r.node) for r in way.collect()} == {("e5", f"e{n}") for n in (1, 2, 3, 4, 7)} | {("e3", "e4"), ("e3", "e3")}
+
+
+def test_links_are_refused_in_order(spark):
+    """Random graphs against a plain pass: an edge is refused if its target leads back over causes and the links before it."""
+    rng = random.Random(5)
+    for _ in range(3):
+        pairs = sorted({(rng.randrange(1, 15), rng.randrange(1, 15)) for _ in range(26)})
+        log = _graph(spark, pairs)
+        order = sorted((r.seq, r.ref_index, int(r.target[1:])) for r in lg.references(log).collect())
+        after = {}
+        for a, _, b in order:
+            if b < a:
+                after.setdefault(a, set()).add(b)
+        leads = lambda x, goal: (seen := {x}) and any(goal in seen or not (new := {z for y in seen for z in after.get(y, ())} - seen) or seen.update(new) for _ in range(20)) and goal in seen
+        want = []
+        for a, i, b in order:
+            if not leads(b, a):
+                want.append((f"e{a}", i, f"e{b}"))
+                after.setdefault(a, set()).add(b)
+        assert sorted(map(tuple, lg.causal_links(log).collect())) == sorted(want)
+
+
+def test_rejected_events_are_given_back(spark):
+    rows = [("e1", "scrub", "scrub", "d", "0" * 64), ("e2", "nowhere", "message", "d", "0" * 64), ("", "live", "message", "d", "0" * 64), ("e4", None, "message", "d", "0" * 64), ("e5", "live", "", "d", "0" * 64), ("e6", "live", "message", None, "0" * 64), ("e7", "live", "message", "d", "x")]
+    good, bad = lg.valid(spark.createDataFrame(rows, "event_id string, source string, event_type string, dedup_key string, raw_hash string"))
+    assert [r.event_id for r in good.collect()] == ["e1"]
+    assert {(r.event_id, r.fault) for r in bad.collect()} == {("e2", "source"), ("", "event_id"), ("e4", "source"), ("e5", "event_type"), ("e6", "dedup_key"), ("e7", "raw_hash")}
 
 
 def _sound(spark):
     raw = b"x"
-    import hashlib
-
     h = hashlib.sha256(raw).hexdigest()
     log = _graph(spark, [(2, 1)]).withColumn("raw_hash", F.lit(h))
     return {
-        "messages": spark.createDataFrame([("c", "m1", "hello", None)], "chat_jid string, msg_id string, text string, deleted_at bigint"), "chats": spark.createDataFrame([("c", True, 1)], "jid string, unread boolean, unread_count int"),
-        "groups": spark.createDataFrame([("g",)], "jid string"), "roster": spark.createDataFrame([("g", "u")], "group_jid string, user_jid string"), "indexed": spark.createDataFrame([("hello",)], "text string"),
-        "ledger": log, "raw": log.select("event_id", F.lit(raw).alias("raw_bytes")), "checkpoints": spark.createDataFrame([("messages", 2), ("chats", 2), ("old", 0)], "view string, last_seq bigint"),
+        "messages": spark.createDataFrame([(1, "c", "m1", "hello", None), (2, "c", "m2", "gone", 5)], "rowid bigint, chat_jid string, msg_id string, text string, deleted_at bigint"), "chats": spark.createDataFrame([("c", True, 1), ("d", True, 0)], "jid string, unread boolean, unread_count int"),
+        "groups": spark.createDataFrame([("g",)], "jid string"), "roster": spark.createDataFrame([("g", "u")], "group_jid string, user_jid string"), "indexed": spark.createDataFrame([(1,)], "rowid bigint"),
+        "ledger": log, "raw": log.select("event_id", F.lit(raw).alias("raw_bytes")), "links": lg.causal_links(log), "checkpoints": spark.createDataFrame([("messages", 2), ("chats", 2), ("old", 0)], "view string, last_seq bigint"),
     }
 
 
 def _faults(spark, good):
     ck = lambda *rows: spark.createDataFrame(list(rows), "view string, last_seq bigint")
+    link = lambda *rows: spark.createDataFrame(list(rows), "event_id string, ref_index int, target_id string")
     yield {"message_without_chat"}, {"chats": good["chats"].limit(0)}
-    yield {"index_row_missing"}, {"indexed": good["indexed"].limit(0)}
-    yield {"index_row_extra"}, {"indexed": good["indexed"].union(good["indexed"])}
+    yield {"fts_missing_row"}, {"indexed": good["indexed"].limit(0)}
+    yield {"fts_extra_row"}, {"indexed": spark.createDataFrame([(1,), (2,)], "rowid bigint")}
+    yield {"fts_extra_row"}, {"indexed": spark.createDataFrame([(1,), (9,)], "rowid bigint")}
     yield {"participant_without_group"}, {"groups": good["groups"].limit(0)}
-    yield {"checkpoint_ahead"}, {"checkpoints": ck(("messages", 9), ("chats", 9))}
-    yield {"checkpoint_behind"}, {"checkpoints": ck(("messages", 1), ("chats", 1))}
-    yield {"checkpoint_fork", "checkpoint_behind"}, {"checkpoints": ck(("messages", 1), ("chats", 2))}
+    yield {"checkpoint_ahead_of_head"}, {"checkpoints": ck(("messages", 9), ("chats", 9))}
+    yield {"checkpoint_lag"}, {"checkpoints": ck(("messages", 1), ("chats", 1))}
+    yield {"checkpoint_frontier_fork", "checkpoint_lag"}, {"checkpoints": ck(("messages", 1), ("chats", 2))}
     yield {"raw_hash_mismatch"}, {"raw": good["raw"].withColumn("raw_bytes", F.when(F.col("event_id") == "e1", F.lit(b"y")).otherwise(F.col("raw_bytes")))}
-    yield {"event_without_raw"}, {"raw": good["raw"].filter("event_id <> 'e1'")}
-    yield {"raw_without_event"}, {"raw": good["raw"].union(spark.createDataFrame([("e0", bytearray(b"x"))], "event_id string, raw_bytes binary"))}
-    bad = [("event_id", "nowhere")]
-    yield {"dangling_reference"}, {"ledger": good["ledger"].withColumn("refs", F.when(F.col("seq") == 2, F.from_json(F.lit(json.dumps([{"kind": k, "target": t} for k, t in bad])), "array<struct<kind:string,target:string>>")).otherwise(F.col("refs")))}
-    yield {"reference_cycle"}, {"ledger": good["ledger"].withColumn("refs", F.array(F.struct(F.lit("event_id").alias("kind"), F.when(F.col("seq") == 1, "e2").otherwise("e1").alias("target"))))}
-    yield {"unread_mismatch"}, {"chats": spark.createDataFrame([("c", False, 1)], "jid string, unread boolean, unread_count int")}
+    yield {"event_without_raw_or_scrub"}, {"raw": good["raw"].filter("event_id <> 'e1'")}
+    yield {"scrub_with_raw"}, {"ledger": good["ledger"].withColumn("event_type", F.lit("scrub"))}
+    yield set(), {"ledger": good["ledger"].withColumn("source", F.lit("legacy_snapshot")), "raw": good["raw"].limit(0)}
+    yield set(), {"ledger": good["ledger"].withColumn("event_type", F.lit("scrub")), "raw": good["raw"].limit(0)}
+    yield {"dangling_causal_ref"}, {"links": link(("e2", 0, "nowhere"))}
+    yield {"causal_cycle"}, {"links": link(("e2", 0, "e1"), ("e1", 0, "e2"))}
+    yield {"unread_inconsistent"}, {"chats": spark.createDataFrame([("c", False, 1)], "jid string, unread boolean, unread_count int")}
+    yield {"unread_inconsistent"}, {"chats": spark.createDataFrame([("c", True, -1)], "jid string, unread boolean, unread_count int")}
 
 
 def test_verify_finds_exactly_the_fault(spark):
     good = _sound(spark)
-    run = lambda **x: {r.check for r in vf.verify(**(good | x), views=["messages", "chats"], columns=["text"]).select("check").distinct().collect()}
-    assert run() == set()
+    run = lambda **x: {r.check for r in vf.verify(**(good | x), views=["messages", "chats"]).select("check").distinct().collect()}
+    assert run() == set() and {c for want, _ in _faults(spark, good) for c in want} == set(vf.CHECKS)
     for want, fault in _faults(spark, good):
         assert run(**fault) == want
 
@@ -372,11 +409,30 @@ def test_stream_replay_equals_batch(spark, tmp_path):
     df.repartition(5).write.parquet(f"{tmp_path}/in")
     for _ in range(2):  # the second run finds nothing new
         sl.append(sl.source(spark, f"{tmp_path}/in", df.schema, files_per_batch=2), f"{tmp_path}/log", f"{tmp_path}/checkpoint").awaitTermination()
-    log = spark.read.parquet(f"{tmp_path}/log")
-    batch = lg.new_events(lg.valid(lg.with_ids(df)))
+    log = spark.read.parquet(f"{tmp_path}/log/events")
+    batch = lg.new_events(lg.valid(lg.with_ids(df))[0])
     assert sorted(r.event_id for r in log.collect()) == sorted(r.event_id for r in batch.collect()) and log.count() == 14
 
 
+def test_stream_limit_loses_nothing(spark, tmp_path):
+    rows = [(i, f"d{i}", f"raw{i}", "scrub" if i % 10 == 3 else "live", "message") for i in range(40)] + [(50, "d", "x", "nowhere", "message")]
+    df = spark.createDataFrame(rows, "seq bigint, dedup_key string, raw string, source string, event_type string")
+    df.repartitionByRange(8, "seq").write.parquet(f"{tmp_path}/in")
+    run = lambda **x: sl.append(sl.source(spark, f"{tmp_path}/in", df.schema, files_per_batch=1), f"{tmp_path}/log", f"{tmp_path}/checkpoint", **x).awaitTermination()
+    with pytest.raises(StreamingQueryException, match="LimitReached"):
+        run(max_events=5)
+    assert 5 <= spark.read.parquet(f"{tmp_path}/log/events").count() < 40
+    run()
+    assert {r.seq for r in spark.read.parquet(f"{tmp_path}/log/events").collect()} == set(range(40))
+    assert [(r.seq, r.fault) for r in spark.read.parquet(f"{tmp_path}/log/rejected").collect()] == [(50, "source")]
+
+
+def test_unread_counts_first_deliveries_whatever_came_before(spark):
+    events = [_event(1, "receipt", msg="a"), _event(2, "message", msg="a", from_me=False), _event(3, "star", msg="b"), _event(4, "message", msg="b", from_me=False), _event(5, "message", msg="b", from_me=False), _event(6, "message", msg="d", from_me=True), _event(7, "message", msg="h", source="history"), _event(8, "message", msg="h")]
+    log = spark.createDataFrame(events, "seq bigint, source string, event_type string, chat_jid string, msg_id string, sender_jid string, event_ts bigint, payload string")
+    assert views.unread(log).first().unread_count == 2
+
+
 def test_stream_windows_and_dedup(spark, tmp_path):
     rows = [(f"k{i % 5}", "h", 1_700_000_000 + i * 60, "message") for i in range(30)]
     df = spark.createDataFrame(rows, "dedup_key string, raw_hash string, t bigint, event_type string").withColumn("ts", F.timestamp_seconds("t"))
