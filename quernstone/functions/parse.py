@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BRACKETS = 12
 URL = r"https?://[^\s<>\"'`]+"
 
 
@@ -77,7 +76,7 @@ def page_metadata(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
 def first_url(text: Column) -> Column:
     """The first http address with a host, without closing punctuation and closing brackets that nothing opens. Null if none.
 
-    Brackets are balanced from the end, up to BRACKETS of them."""
+    Brackets are balanced from the end, however many stand there."""
 
     def cut(u: Column) -> Column:
         out = u
@@ -87,8 +86,10 @@ def first_url(text: Column) -> Column:
         return out
 
     def trimmed(u: Column) -> Column:
-        # A fold, not a chain: each step reads the last one's value once.
-        return F.aggregate(F.sequence(F.lit(1), F.lit(BRACKETS)), F.regexp_replace(u, "[.,!?;:]+$", ""), lambda x, _: cut(x))
+        # A fold, not a chain: each step reads the last one's value once. It has a step for each bracket at the end.
+        bare = F.regexp_replace(u, "[.,!?;:]+$", "")
+        n = F.length(F.regexp_extract(bare, r"[)\]}]+$", 0))
+        return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), bare, lambda x, _: cut(x))
 
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({URL})"), 1), trimmed)
     return F.get(F.filter(found, lambda u: u.rlike("^https?://[^/?#]")), F.lit(0))
@@ -120,12 +121,14 @@ def card_text(c: Column) -> Column:
 # Nested messages
 
 
-def unwrapped(message: Column, wrappers: tuple[str, ...], depth: int = 4) -> Column:
-    """The innermost message: a struct may hold one of its own kind under any of the wrapper fields. message is JSON text; depth bounds the layers."""
-    for _ in range(depth):
-        inner = [F.get_json_object(message, f"$.{w}.message") for w in wrappers] + [F.get_json_object(message, f"$.{w}") for w in wrappers]
-        message = F.coalesce(*inner, message)
-    return message
+def unwrapped(message: Column, wrappers: tuple[str, ...]) -> Column:
+    """The innermost message: a struct may hold one of its own kind under any of the wrapper fields. message is JSON text, read as often as it names a wrapper."""
+
+    def inner(m: Column) -> Column:
+        return F.coalesce(*[F.get_json_object(m, f"$.{w}.message") for w in wrappers], *[F.get_json_object(m, f"$.{w}") for w in wrappers], m)
+
+    n = F.coalesce(F.regexp_count(message, F.lit('"(?:' + "|".join(wrappers) + ')"')), F.lit(0))
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), message, lambda m, _: inner(m))
 
 
 def interactive_text(header: Column, body: Column, footer: Column) -> Column:
