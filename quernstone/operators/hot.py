@@ -48,3 +48,20 @@ def running_count(df: DataFrame, key: str, order: list[str], counted: Column, na
     ahead = totals.withColumn("__ahead", F.coalesce(F.sum("__t").over(Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
     inside = F.sum("__c").over(Window.partitionBy(key, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("__inside", inside).join(ahead, [key, BUCKET]).withColumn(name, F.col("__ahead") + F.col("__inside")).select(*df.columns, name)
+
+
+def frame_count(df: DataFrame, key: str, order: list[str], before: int, after: int, name: str, width: int = WIDTH) -> DataFrame:
+    """df with the number of the key's rows from so many before to so many after each, itself too: from its place and the key's size, without a frame."""
+    placed = running_count(df, key, order, F.lit(True), "__place", width)
+    sizes = df.groupBy(key).agg(F.count("*").alias("__size"))
+    around = F.least(F.col("__place") - 1, F.lit(before)) + 1 + F.least(F.col("__size") - F.col("__place"), F.lit(after))
+    return placed.join(sizes, key).withColumn(name, around.cast("bigint")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
+    """df with each row's number by order over all rows: sorted by ranges, each range numbered by itself, and one total a range goes to all."""
+    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+    ahead = F.broadcast(counts.withColumn("__a", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n"))  # a row a range
+    number = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return parts.join(ahead, "__p").withColumn(name, (number + F.col("__a") + (first - 1)).cast("bigint")).drop("__p", "__a")

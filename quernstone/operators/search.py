@@ -10,12 +10,17 @@ import re
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.sources.catalog import durable
+
 COLUMNS = ("text", "media_caption", "filename", "chat_name", "sender_name", "display_text")
 K1, B = 1.2, 0.75
 SNIPPET_TOKENS = 12
+RUN = r"[\p{L}\p{N}]"
+#: Folders of a written index, and files of one: postings of a frequent term are spread over them.
+BUCKETS, SPREAD = 64, 8
 
 # Latin letters with marks and the letters without.
 MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōřśšşťùúûüūůýÿžźż"
@@ -23,8 +28,7 @@ PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorssstuuuuuuyyzzz"
 
 
 def tokens(c: Column) -> Column:
-    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKED, PLAIN)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(_folded(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_terms(query: str) -> list[list[str]]:
@@ -38,49 +42,96 @@ def quoted(query: str) -> str:
     return " ".join('"' + piece.replace('"', '""') + '"' for piece in query.split())
 
 
-def index(messages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "rowid") -> DataFrame:
-    """(term, rowid, column, positions, tf): one row for each term of each field. Live messages only."""
-    live = messages.filter(F.col("deleted_at").isNull()) if "deleted_at" in messages.columns else messages
-    fields = F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("t")) for c in columns if c in messages.columns])
-    words = live.select(key, F.explode(fields).alias("f")).select(key, "f.column", F.posexplode("f.t").alias("pos", "term"))
-    return words.groupBy("term", key, "column").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+def quoted_column(query: Column) -> Column:
+    """quoted, of a column."""
+    words = F.filter(F.split(F.coalesce(query, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " ")
 
 
-def _phrase_count(c: Column, phrase: list[str]) -> Column:
-    """How often the phrase stands in a token list."""
-    if len(phrase) == 1:
-        return F.size(F.filter(c, lambda t: t == phrase[0]))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1)))
-    want = F.array(*map(F.lit, phrase))
-    return F.size(F.filter(starts, lambda i: F.slice(c, i, len(phrase)) == want))
+def _live(messages: DataFrame) -> DataFrame:
+    return messages.filter(F.col("deleted_at").isNull()) if "deleted_at" in messages.columns else messages
 
 
-def bm25(messages: DataFrame, query: str, *, columns: tuple[str, ...] = COLUMNS, key: str = "rowid", limit: int = 50) -> DataFrame:
-    """Messages with all terms, best first: key, score. One pass over the fields gives lengths and counts, one row of totals goes back to all.
+def index(messages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "rowid") -> DataFrame:
+    """(term, rowid, column, length, positions, tf): one row for each term of each field, with the tokens of all fields of its message. Live messages only."""
+    used = [c for c in columns if c in messages.columns]
+    fields = F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("t")) for c in used])
+    lists = _live(messages).select(key, fields.alias("fields")).withColumn("length", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["t"])))
+    words = lists.select(key, "length", F.explode("fields").alias("f")).select(key, "length", "f.column", F.posexplode("f.t").alias("pos", "term"))
+    return words.groupBy("term", key, "column", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
 
-    score = sum over terms of idf * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)); tf and len run over all columns."""
-    terms = query_terms(query)
-    if not terms:
-        return messages.select(key, F.lit(0.0).alias("score")).limit(0)
-    live = messages.filter(F.col("deleted_at").isNull()) if "deleted_at" in messages.columns else messages
+
+def write_index(messages: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, key: str = "rowid", buckets: int = BUCKETS) -> None:
+    """The index on disk, in folders by a hash of the term, beside the number of messages and their mean length."""
+    made = index(messages, columns, key).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    made.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(SPREAD))).write.partitionBy("bucket").parquet(f"{path}/postings")
     used = [c for c in columns if c in messages.columns]
-    lists = live.select(key, *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(used)])
-    counted = lists.select(
-        key, reduce(lambda a, b: a + b, [F.size(f"t{i}") for i in range(len(used))]).alias("len"),
-        *[reduce(lambda a, b: a + b, [_phrase_count(F.col(f"t{i}"), term) for i in range(len(used))]).alias(f"tf{k}") for k, term in enumerate(terms)],
-    )
-    totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(terms))])
+    # Messages without a token count too; lengths by a count of runs, as tokens are runs.
+    length = reduce(lambda a, b: a + b, [F.regexp_count(_folded(F.col(c)), F.lit(f"{RUN}+")) for c in used])
+    _live(messages).agg(F.count("*").alias("n"), F.avg(length).alias("avg"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
+
+
+def _score(counted: DataFrame, totals: DataFrame, terms: int, key: str, limit: int) -> DataFrame:
+    """counted: key, len, tf0.. of messages with all terms. totals: one row with n, avg, df0.."""
 
     def part(k: int) -> Column:
         idf = F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
         return idf * F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
 
-    every = reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])
-    out = counted.filter(every).join(F.broadcast(totals), F.lit(True)).select(key, reduce(lambda a, b: a + b, [part(k) for k in range(len(terms))]).alias("score"))
+    out = counted.join(F.broadcast(totals), F.lit(True)).select(key, reduce(lambda a, b: a + b, [part(k) for k in range(terms)]).alias("score"))
     out = out.orderBy(F.col("score").desc(), F.col(key).desc())
     return out.limit(limit) if limit > 0 else out
 
 
+def search_index(spark: SparkSession, path: str, query: str, *, key: str = "rowid", limit: int = 50) -> DataFrame:
+    """bm25 from a written index: only the folders of the query's terms are read, and of these the terms' own rows."""
+    pieces = query_terms(query)
+    postings, totals = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals")
+    kind = postings.schema[key].dataType
+    if not pieces:
+        return postings.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = sorted({t for piece in pieces for t in piece})
+    buckets = totals.first()["buckets"]
+    folders = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets))).distinct().collect()]
+    own = postings.filter(F.col("bucket").isin(folders) & F.col("term").isin(wanted))
+    fields = own.groupBy(key, "column").agg(F.first("length").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+
+    def count(piece: list[str]) -> Column:
+        at = lambda t: F.coalesce(F.col("at")[t], F.array().cast("array<int>"))
+        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(at(t), p + k) for k, t in enumerate(piece)])
+        return F.size(at(piece[0])) if len(piece) == 1 else F.size(F.filter(at(piece[0]), follows))
+
+    n = range(len(pieces))
+    per = fields.groupBy(key).agg(F.first("len").alias("len"), *[F.sum(count(piece)).alias(f"tf{k}") for k, piece in enumerate(pieces)])
+    df = per.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in n])
+    every = per.filter(reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in n]))
+    found = _score(every, totals.join(F.broadcast(df), F.lit(True)), len(pieces), key, limit)
+    return found.select(F.col(key).cast(kind).alias(key), "score")
+
+
+def _folded(c: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKED, PLAIN)
+
+
+def bm25(messages: DataFrame, query: str, *, columns: tuple[str, ...] = COLUMNS, key: str = "rowid", limit: int = 50) -> DataFrame:
+    """Messages with all terms, best first: key, score. Without an index: one pass over the fields counts runs and terms by patterns, what it finds is
+    written down (a few numbers a message), and one row of totals goes back to all.
+
+    score = sum over terms of idf * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)); tf and len run over all columns."""
+    terms = query_terms(query)
+    if not terms:
+        return messages.select(key, F.lit(0.0).alias("score")).limit(0)
+    used = [c for c in columns if c in messages.columns]
+    folded = _live(messages).select(key, *[_folded(F.col(c)).alias(f"t{i}") for i, c in enumerate(used)])
+    total = lambda pattern: reduce(lambda a, b: a + b, [F.regexp_count(f"t{i}", F.lit(pattern)) for i in range(len(used))])
+    # A term stands where a run of letters and digits begins and ends with it; places may overlap, so only their beginnings are matched.
+    places = [f"(?<!{RUN})(?={f'[^{RUN[1:-1]}]+'.join(map(re.escape, term))}(?!{RUN}))" for term in terms]
+    counted = durable(folded.select(key, total(f"{RUN}+").alias("len"), *[total(p).alias(f"tf{k}") for k, p in enumerate(places)]), "counted")
+    totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    every = reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])
+    return _score(counted.filter(every), totals, len(terms), key, limit)
+
+
 def snippet(text: Column, query: str, width: int = SNIPPET_TOKENS) -> Column:
     """The width words from the first hit on (fewer before the end), hits in brackets, dots where it is cut. Words are parted by white space."""
     wanted = F.array(*map(F.lit, sorted({t for term in query_terms(query) for t in term}) or [""]))

@@ -213,5 +213,13 @@ def scrubs(df: DataFrame) -> DataFrame:
     return events(df.filter((chat != "") & (msg != "")), source="scrub", event_type="scrub", key=v.dedup_key("scrub", chat, msg), raw=None, chat=chat, msg_id=msg, ts=F.col("ts"))
 
 
+def historical(known: DataFrame, messages: DataFrame, purges: DataFrame, ts: Column) -> DataFrame:
+    """What to append for hidden ids (lid) whose phone ids (pn) are known: an identity event each, and a scrub for each message under
+    such an id that has been purged but still has local media. Both have keys of their own, so that a second pass adds nothing."""
+    ids = identities(known.select(F.lit("identity_resolution").alias("source"), "lid", "pn", ts.cast("bigint").alias("resolved_ts")))
+    kept = messages.filter(F.coalesce("local_path", F.lit("")) != "").join(known.select(F.col("lid").alias("chat_jid")).distinct(), "chat_jid", "left_semi")
+    return all_of(ids, scrubs(kept.join(purges.select("chat_jid", "msg_id").distinct(), ["chat_jid", "msg_id"], "left_semi").select("chat_jid", "msg_id", ts.alias("ts"))))
+
+
 def all_of(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

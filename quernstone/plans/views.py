@@ -6,12 +6,13 @@ in seconds. A view reads only the types it needs; with the log partitioned by ev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.values import chat_kind
-from quernstone.operators import folds
+from quernstone.operators import folds, identity
 from quernstone.operators.aggregates import unread_fold
+from quernstone.operators.hot import numbered
 from quernstone.operators.joins import latest
 
 #: Event type -> DDL of its payload.
@@ -142,6 +143,27 @@ def locations(events: DataFrame) -> DataFrame:
     return folds.guarded_fold(made, purges(events), ["chat_jid", "msg_id"])
 
 
+def identities(events: DataFrame) -> DataFrame:
+    """(lid, pn, since): what the log says of people's two ids; the last word on an id counts, since the first."""
+    made = of(events, "identity_resolution").select(F.get_json_object("payload", "$.lid").alias("lid"), F.get_json_object("payload", "$.pn").alias("pn"), "seq").filter("lid <> '' AND pn <> '' AND lid <> pn")
+    return made.groupBy("lid").agg(F.max_by("pn", "seq").alias("pn"), F.min("seq").alias("since"))
+
+
+def with_identities(events: DataFrame, columns: tuple[str, ...] = ("chat_jid", "sender_jid")) -> DataFrame:
+    """Events with the hidden ids replaced that the log had resolved before them. Earlier ones keep theirs: their rows are merged afterwards."""
+    known = identities(events)
+    for c in columns:
+        m = known.select(F.col("lid").alias("__lid"), F.col("pn").alias("__pn"), F.col("since").alias("__since"))
+        events = events.join(m, (F.col(c) == F.col("__lid")) & (F.col("seq") > F.col("__since")), "left").withColumn(c, F.coalesce("__pn", c)).drop("__lid", "__pn", "__since")
+    return events
+
+
+def identified(events: DataFrame) -> dict[str, DataFrame]:
+    """Messages, votes and roster with people's ids resolved: later events under the phone id, rows of earlier ones merged into it."""
+    known, mapped = identities(events).select("lid", "pn"), with_identities(events)
+    return {"messages": identity.merge_messages(messages(mapped), known), "poll_votes": identity.merge_votes(votes(mapped), known), "group_participants": identity.merge_roster(roster(mapped).withColumn("updated_at", F.lit(0)), known)}
+
+
 VIEWS = {"messages": messages, "chats": chats, "contacts": contacts, "groups": groups, "group_participants": roster, "polls": polls, "poll_votes": votes, "starred": starred, "call_events": calls, "message_locations": locations, "message_payload_purges": purges}
 
 
@@ -155,9 +177,5 @@ def snapshot_events(df: DataFrame, table: str, key: list[str], first_seq: int =
     plain = [F.base64(c).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes]
     row = F.to_json(F.struct(F.lit(table).alias("table"), F.struct(*plain).alias("row")))
     keys = F.concat_ws(":", F.lit(table), *[F.col(c).cast("string") for c in key])
-    # Numbers by range-partitioned order: partition totals give each partition its first number.
-    parts = df.select(row.alias("payload"), keys.alias("dedup_key"), F.lit(f"snapshot_{table}").alias("event_type"), F.lit("legacy_snapshot").alias("source")).repartitionByRange("dedup_key", "payload").withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    ahead = counts.withColumn("__a", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    number: Column = F.row_number().over(Window.partitionBy("__p").orderBy("dedup_key", "payload"))
-    return parts.join(F.broadcast(ahead), "__p").withColumn("seq", number + F.col("__a") + (first_seq - 1)).drop("__p", "__a")
+    rows = df.select(row.alias("payload"), keys.alias("dedup_key"), F.lit(f"snapshot_{table}").alias("event_type"), F.lit("legacy_snapshot").alias("source"))
+    return numbered(rows, [F.col("dedup_key"), F.col("payload")], "seq", first_seq)

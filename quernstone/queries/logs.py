@@ -122,15 +122,32 @@ def fn16_snippets(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", search.snippet(F.col("text"), "the and").alias("snippet"))
 
 
-@query(r"""WITH docs AS (SELECT doc_id, string_split_regex(translate(lower(text), 'àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōřśšşťùúûüūůýÿžźż', 'aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorssstuuuuuuyyzzz'), '[^\p{L}\p{N}]+') AS t FROM documents),
+_BM25 = r"""WITH docs AS (SELECT doc_id, string_split_regex(translate(lower(text), 'àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōřśšşťùúûüūůýÿžźż', 'aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorssstuuuuuuyyzzz'), '[^\p{L}\p{N}]+') AS t FROM documents),
 c AS (SELECT doc_id, len(list_filter(t, lambda x: x <> '')) AS l, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'and')) AS b FROM docs),
 s AS (SELECT count(*)::DOUBLE AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
 SELECT doc_id, round(ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score
-FROM c, s WHERE a > 0 AND b > 0""")
+FROM c, s WHERE a > 0 AND b > 0"""
+
+
+@query(_BM25)
 def fn17_bm25(t: Tables) -> DataFrame:
     return search.bm25(t("documents"), "The AND", columns=("text",), key="doc_id", limit=0).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT doc_id, score FROM ({_BM25}) ORDER BY score DESC, doc_id DESC LIMIT 40")
+def so02_relevance(t: Tables) -> DataFrame:
+    """The best forty, from a written index."""
+    path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(t("documents"), path, ("text",), "doc_id")
+    found = search.search_index(t.spark, path, "The AND", key="doc_id", limit=0).select("doc_id", F.round("score", 6).alias("score"))
+    return found.orderBy(F.col("score").desc(), F.col("doc_id").desc()).limit(40)
+
+
+@query(r"""SELECT page_id, array_to_string(list_transform(list_filter(string_split_regex(html, '\s+'), lambda x: x <> ''), lambda x: concat('"', replace(x, '"', '""'), '"')), ' ') AS quoted FROM pages""")
+def fn15_quoted_query(t: Tables) -> DataFrame:
+    return t("pages").select("page_id", search.quoted_column(F.col("html")).alias("quoted"))
+
+
 @query(r"SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', '', 'g') AS body FROM documents")
 def fn18_clean_body(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", v.clean_body(F.col("text")).alias("body"))

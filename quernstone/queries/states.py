@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import parse
 from quernstone.functions import values as v
-from quernstone.operators import folds, identity, search
+from quernstone.operators import folds, hot, identity, search
 from quernstone.operators import joins as jo
 from quernstone.operators import reads as rd
 from quernstone.plans import views
@@ -65,11 +65,10 @@ def dm02_tag_commands(t: Tables) -> DataFrame:
 
 @query("SELECT jid, 'joined' AS state, row_number() OVER (ORDER BY created_ts DESC, encode(jid)) AS place FROM groups WHERE left_at = 0 UNION ALL SELECT jid, 'left', row_number() OVER (ORDER BY left_at DESC, encode(jid)) FROM groups WHERE left_at > 0", "groups")
 def dm04_group_lists(t: Tables) -> DataFrame:
-    """Ranks of both lists; groups are few beside messages, and only their keys are ordered."""
+    """Places in both lists."""
     parts = []
     for state, cond, by in (("joined", "left_at = 0", "created_ts"), ("left", "left_at > 0", "left_at")):
-        w = Window.partitionBy("state").orderBy(F.col(by).desc(), "jid")
-        parts.append(t.groups.filter(cond).withColumn("state", F.lit(state)).select("jid", "state", F.row_number().over(w).cast("bigint").alias("place")))
+        parts.append(hot.numbered(t.groups.filter(cond), [F.col(by).desc(), F.col("jid").asc()], "place").select("jid", F.lit(state).alias("state"), "place"))
     return parts[0].unionByName(parts[1])
 
 
@@ -166,9 +165,11 @@ def st08_chat_view(t: Tables) -> DataFrame:
     return views.chats(_log(t)).select("jid", "kind", "last_message_ts")
 
 
-@query()
+@query("""SELECT 'messages' AS "view", count(DISTINCT (chat_jid, msg_id)) AS n FROM ledger WHERE event_type = 'click' UNION ALL SELECT 'chats', count(DISTINCT chat_jid) FROM ledger WHERE event_type IN ('click', 'error')
+UNION ALL SELECT 'polls', count(DISTINCT (chat_jid, msg_id)) FROM ledger WHERE event_type = 'purchase' UNION ALL SELECT 'poll_votes', count(DISTINCT (chat_jid, msg_id, seq % 5)) FROM ledger WHERE event_type = 'view'
+UNION ALL SELECT 'starred', count(*) FROM (SELECT arg_max(seq % 4, seq) AS s FROM ledger WHERE event_type = 'signup' GROUP BY chat_jid, msg_id) WHERE s > 0""", "ledger")
 def st06_rebuild(t: Tables) -> DataFrame:
-    """Rows of each rebuilt view. No SQL: messages are an ordered fold; tests hold the views against literal cases."""
+    """Rows of each rebuilt view."""
     made = views.rebuild(_log(t))
     parts = [made[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), "n") for name in ("messages", "chats", "polls", "poll_votes", "starred")]
     out = parts[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import values as v
 from quernstone.operators import aggregates as ag
+from quernstone.operators import hot
 from quernstone.operators import joins as jo
 from quernstone.operators import reads as rd
 from quernstone.queries import Tables, query
@@ -329,8 +330,7 @@ def ag13_class_counts(t: Tables) -> DataFrame:
 
 @query("SELECT rowid, count(*) OVER (PARTITION BY chat_jid ORDER BY ts, rowid ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS around FROM messages WHERE deleted_at IS NULL", "messages")
 def wi03_row_frame(t: Tables) -> DataFrame:
-    w = Window.partitionBy("chat_jid").orderBy("ts", "rowid").rowsBetween(-3, 2)
-    return rd.live(t.messages).select("rowid", F.count("*").over(w).alias("around"))
+    return hot.frame_count(rd.live(t.messages), "chat_jid", ["ts", "rowid"], 3, 2, "around").select("rowid", "around")
 
 
 @query("SELECT chat_jid, sender_jid, rowid FROM (SELECT *, row_number() OVER (PARTITION BY chat_jid, sender_jid ORDER BY rowid) AS n FROM messages) WHERE n = 1", "messages")

@@ -6,6 +6,7 @@ the pointer, rolling back another: readers see the old snapshot or the new one,
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -69,7 +70,10 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 class Catalog:
-    """Tables of one account below a base folder of any file system that Spark reads. Read-only unless told otherwise."""
+    """Tables of one account below a base folder of any file system that Spark reads. Read-only unless told otherwise.
+
+    One small file, ``STATE``, names the snapshot that is read, the one before it, each view's checkpoint and mode. It is replaced
+    as a whole: what a reader sees belongs together."""
 
     def __init__(self, spark: SparkSession, base: str, *, writable: bool = False):
         if "?" in base or "#" in base:
@@ -81,17 +85,20 @@ class Catalog:
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read_pointer(self, name: str) -> str | None:
+    def state(self) -> dict:
         jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.base}/{name}").first()[0]
+        empty = {"snapshot": None, "backup": None, "checkpoints": {}, "backup_checkpoints": {}, "modes": {}}
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.base}/STATE")):
+            return empty
+        return empty | json.loads(self.spark.read.text(f"{self.base}/STATE", wholetext=True).first()[0])
 
-    def _write_pointer(self, name: str, value: str) -> None:
+    def _write_state(self, **changes) -> None:
         """Written aside, then renamed: one step on file systems with atomic renames."""
+        if not self.writable:
+            raise PermissionError("the catalogue is read-only")
+        value = json.dumps(self.state() | changes)
         jvm, fs = self._fs()
-        new, path = (jvm.org.apache.hadoop.fs.Path(f"{self.base}/{x}") for x in (f".{name}-{uuid.uuid4().hex}", name))
+        new, path = (jvm.org.apache.hadoop.fs.Path(f"{self.base}/{x}") for x in (f".state-{uuid.uuid4().hex}", "STATE"))
         out = fs.create(new, True)
         out.write(bytearray(value.encode()))
         out.close()
@@ -102,7 +109,21 @@ class Catalog:
 
     def current(self) -> str | None:
         """The snapshot that is read."""
-        return self._read_pointer("CURRENT")
+        return self.state()["snapshot"]
+
+    def checkpoint(self, view: str) -> int:
+        """The last event that the view has; 0 without one."""
+        return self.state()["checkpoints"].get(view, 0)
+
+    def set_checkpoint(self, view: str, seq: int) -> None:
+        self._write_state(checkpoints=self.state()["checkpoints"] | {view: seq})
+
+    def mode(self, view: str) -> str:
+        """shadow, unless it has been set."""
+        return self.state()["modes"].get(view, "shadow")
+
+    def set_mode(self, view: str, mode: str) -> None:
+        self._write_state(modes=self.state()["modes"] | {view: mode})
 
     def table(self, name: str, snapshot: str | None = None) -> DataFrame:
         snapshot = snapshot or self.current()
@@ -112,33 +133,27 @@ class Catalog:
 
     def write_snapshot(self, tables: dict[str, DataFrame], snapshot: str | None = None) -> str:
         """Writes tables into a new snapshot, which nobody reads before it is promoted."""
-        self._check()
+        if not self.writable:
+            raise PermissionError("the catalogue is read-only")
         snapshot = snapshot or f"s-{uuid.uuid4().hex}"
         for name, df in tables.items():
             conformed(df, name).write.parquet(f"{self.base}/{snapshot}/{name}")
         return snapshot
 
-    def promote(self, snapshot: str, violations: DataFrame | None = None) -> None:
-        """Makes the snapshot the current one and remembers the one before; refused if there are violations."""
-        self._check()
+    def promote(self, snapshot: str, violations: DataFrame | None = None, *, diff: DataFrame | None = None, checkpoints: dict[str, int] | None = None) -> None:
+        """Makes the snapshot the current one, with its views' checkpoints, and remembers the one before with its own. Refused if an
+        invariant is violated, or rows differ that should not (diff: rows of a comparison with what is read now)."""
         if violations is not None and violations.head(1):
             raise ValueError("the snapshot violates an invariant")
-        before = self.current()
-        if before:
-            self._write_pointer("BACKUP", before)
-        self._write_pointer("CURRENT", snapshot)
+        if diff is not None and diff.head(1):
+            raise ValueError("the snapshot differs from what is read now")
+        now = self.state()
+        self._write_state(snapshot=snapshot, backup=now["snapshot"], checkpoints=now["checkpoints"] | (checkpoints or {}), backup_checkpoints=now["checkpoints"], modes=now["modes"] | dict.fromkeys(checkpoints or {}, "active"))
 
     def rollback(self) -> str:
-        """Reads the snapshot before the last promotion again."""
-        self._check()
-        before, now = self._read_pointer("BACKUP"), self.current()
-        if not before:
+        """Reads the snapshot before the last promotion again, with its checkpoints."""
+        now = self.state()
+        if not now["backup"]:
             raise ValueError("there is no snapshot to go back to")
-        self._write_pointer("CURRENT", before)
-        self._write_pointer("BACKUP", now)
-        return before
-
-    def _check(self) -> None:
-        if not self.writable:
-            raise PermissionError("the catalogue is read-only")
-
+        self._write_state(snapshot=now["backup"], backup=now["snapshot"], checkpoints=now["backup_checkpoints"], backup_checkpoints=now["checkpoints"])
+        return now["backup"]
