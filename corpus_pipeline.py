@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import language_id, mixing, near_dedup, sharding
 from quernstone.llm.decontaminate import decontaminate
-from quernstone.llm.store import shared_dir
+from quernstone.llm.store import scratch, shared_dir
 
 #: A text of so many letters (bytes) is rejected if so large a share of it reads as no language.
 LETTERS, NOISE = 200, 0.9
@@ -62,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage writes down on its way goes once its result stands
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
