@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables written within each open scratch().
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that durable() writes within it. For whoever writes down a result inside: one that is only planned needs them still."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _scratch.pop():
+            path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path_of(path), True)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here and a lost
-    executor costs no recomputation. The files stay until the folder of the application is removed."""
+    executor costs no recomputation. The files stay until a scratch() around it ends, or the folder of the application is removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -48,6 +48,18 @@ def test_cutting_and_dropping(spark):
     assert {r.doc_id for r in dc.decontaminate(docs, bench, max_coverage=0.6, max_span=12).collect() if "t5" in r.text} == {1}
 
 
+def test_limits_hold_for_all_pieces_together(spark):
+    """Two items in pieces of their own: their spans count together, and the text is cut once."""
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    docs = spark.createDataFrame([("x", f"{a} {' '.join(['w'] * 40)} {b}", 1), ("y", f"{a} {' '.join(['w'] * 40)}", 2), ("x", "clean", 3), (None, None, 4)], "doc_id string, text string, spans int")
+    bench = spark.createDataFrame([("i", a), ("j", b)], "item_id string, text string")
+    for words in (200_000, 5):
+        left = sorted((r.spans, r.text) for r in dc.decontaminate(docs, bench, max_coverage=0.3, max_words=words).collect())
+        assert left == [(2, " " + " ".join(["w"] * 40)), (3, "clean"), (4, None)]
+        rows = {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in dc.contamination(docs, bench, max_words=words).collect()}
+        assert rows == {("x", 64, 24, 2), ("y", 52, 12, 1), ("x", 1, 0, 0), (None, 0, 0, 0)}
+
+
 def test_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(0, "same text here"), (1, None), (2, "")], "item_id bigint, text string")
     rows = dc.contamination(odd, bench).collect()

@@ -40,6 +40,20 @@ def test_base_counts_match_brute_force():
     assert got[:, :5].tolist() == [_base(t) for t in texts]
 
 
+def test_all_counts_match_brute_force():
+    rng = random.Random(6)
+    texts = ["", "a a a", "A! b? é\n\nb b", "x,y;z.: !!"] + ["".join(rng.choice("abAB \n\té!?.,9漢") for _ in range(rng.randint(0, 90))) for _ in range(200)]
+    got = np.concatenate([doc_stats.counts(t) for t in chunks(pa.array(texts), 400)])
+    for row, text in zip(got.tolist(), texts, strict=True):
+        words = WORD.findall(text)
+        c = collections.Counter(words)
+        want = {
+            "n_chars": len(text), "n_lines": sum(bool(WORD.search(x)) for x in text.split("\n")), "n_upper": len(re.findall("[A-Z]", text)), "n_lower": len(re.findall("[a-z]", text)), "n_digits": len(re.findall("[0-9]", text)), "n_marks": text.count("!"),
+            "n_stops": len(re.findall("[.,;:?]", text)), "n_wide": sum(ord(x) > 127 for x in text), "n_distinct": len(c), "n_top": max(c.values(), default=0), "n_twice": sum(a == b for a, b in zip(words, words[1:], strict=False)),
+        }
+        assert {k: row[doc_stats.COUNTS.index(k)] for k in want} == want
+
+
 def _rule_rows():
     rng = random.Random(2)
     rows = []
@@ -485,6 +499,19 @@ def test_a_long_conversation_is_read_back_from_blocks(spark):
     assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(n, len(said) * n // 2, hashlib.sha256((said * (n // 2)).encode()).hexdigest())]
 
 
+def test_odd_chats(spark):
+    """Null ids make one conversation, equal numbers go by role and text, repeated turns stay, other columns don't matter."""
+    rows = [(None, 1, "user", "a"), (None, None, "assistant", None), (1, 2, "user", "b"), (1, 2, "assistant", "z"), (1, 2, "assistant", "c"), (1, 2, "user", "b"), (2, 1, None, "x"), (3, 1, "Assistant", "é</turn>\n\U0001f642" * 5000)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    for name in ("number", "before", "formatted", "head", "body", "piece", "tokens", "n_turns"):
+        turns = turns.withColumn(name, F.lit("clash"))
+    made = chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(F.col("text"))))
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.read_back(made).collect()}
+    assert got == {None: [("assistant", ""), ("user", "a")], 1: [("assistant", "c"), ("assistant", "z"), ("user", "b"), ("user", "b")], 2: [("", "x")], 3: [("Assistant", "é</turn>\n\U0001f642" * 5000)]}
+    by = {r.conv_id: r for r in chat_format.digests(made).collect()}
+    assert by[1].loss_chars == 2 and by[3].loss_sha256 == hashlib.sha256(("é</turn>\n\U0001f642" * 5000).encode()).hexdigest() and by[2].loss_chars == 0
+
+
 def test_no_chats(spark):
     none = spark.createDataFrame([], f"conv_id bigint, turn bigint, role string, parts {chat_format.PARTS}")
     assert chat_format.digests(chat_format.format_chats(none)).count() == 0

@@ -4,12 +4,14 @@ import base64
 import collections
 import importlib
 import math
+import os
 import random
 import re
 
 import duckdb
 
 import corpus_pipeline
+from quernstone.llm.store import durable, scratch
 from tests.llm.test_decontaminate import _brute as leaks
 from tests.llm.test_near_dedup import _brute as groups
 from tests.llm.test_other_operators import WORD, _targets
@@ -62,6 +64,26 @@ def test_stages(spark, tmp_path):
     assert [r.shard for r in ordered] == sorted(r.shard for r in after)
 
 
+def test_repeated_ids(spark):
+    """Ids that stand for several texts: each stage judges rows, so that clean ones stay."""
+    a, b = (" ".join(f"{x}{i % 7}{i}" for i in range(80)) for x in ("the ring", "and other"))
+    rows = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (6, a, "en", "t", 0), (6, None, "en", None, 0), (None, b, "en", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, a), (5, b), (6, ""), (0, b)])
+    assert corpus_pipeline.drop_benchmark_text(spark, kept, SF).count() == 4 and corpus_pipeline.cut_shards(spark, kept, SF).count() == 4
+    mixed = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, kept, SF).collect())
+    assert set(mixed) <= {(r.doc_id, r.text) for r in kept.collect()} and max(mixed.values()) <= 2
+
+
+def test_scratch_goes(spark):
+    with scratch(spark):
+        table = durable(spark.range(3).toDF("x"), "here")
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
