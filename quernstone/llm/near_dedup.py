@@ -301,14 +301,22 @@ def _check(pairs: DataFrame, whole: DataFrame, n_whole: int, similarity: float)
 
     All sides are written tables: a text with very many partners is a hot key on the side of the pairs, which Spark splits."""
     pairs = durable(pairs, "pairs")
-    sigs = whole.select("tk", "sig")
-    sigs = F.broadcast(sigs) if n_whole <= BROADCAST_SIGNATURES else sigs
+    sigs, n = _ends(pairs, whole.select("tk", "sig"), n_whole)
+    sigs = F.broadcast(sigs) if n <= BROADCAST_SIGNATURES else sigs
     both = pairs.join(sigs.select(F.col("tk").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("tk").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     close = durable(both.mapInArrow(_agree, "a bigint, b bigint"), "close")
-    both = close.join(whole.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts, _ = _ends(close, whole.select("tk", "text"), n_whole)
+    both = close.join(texts.select(F.col("tk").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("tk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return durable(both.mapInArrow(_verify(similarity), "a bigint, b bigint"), "links")
 
 
+def _ends(pairs: DataFrame, rows: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
+    """rows (tk, ...) of the texts in pairs, so that others don't move, and their number."""
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("tk")).distinct(), "ends")
+    n = ends.count()
+    return (rows if n == n_rows else _near(rows, ends, n, "tk")), n
+
+
 def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, whole: DataFrame, n_whole: int, similarity: float) -> DataFrame:
     """Links (a, b) between texts that meet (band, tk) and are not in one group (tk, group) yet; a text without a group is its own."""
     known = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
