@@ -248,7 +248,10 @@ def quoted_text(envelope: Column) -> Column:
         F.sequence(F.lit(0), F.coalesce(F.regexp_count(envelope, F.lit('"message"')), F.lit(0))), envelope,
         lambda m, _: F.coalesce(F.get_json_object(m, "$.associatedChildMessage.message"), F.get_json_object(m, "$.groupStatusMentionMessage.message"), m),
     )
-    m = F.from_json(inner, LEAF)
+    return _let(F.from_json(inner, LEAF), _shown)
+
+
+def _shown(m: Column) -> Column:
     sent = reduce(lambda w, x: w.when(m[x[0]].isNotNull(), x[1]), (("audioMessage", "Sent audio"), ("documentMessage", "Sent document"), ("stickerMessage", "Sent sticker"), ("locationMessage", "Sent location"), ("liveLocationMessage", "Sent live location")),
         F.when(m["groupInviteMessage"].isNotNull(), _invite_text(m)).when(m["imageMessage"].isNotNull(), "Sent image").when(m["videoMessage"].isNotNull(), F.when(m["videoMessage"]["gifPlayback"], "Sent gif").otherwise("Sent video")))
     poll = _poll(m)
@@ -267,11 +270,15 @@ def quoted_text(envelope: Column) -> Column:
 def quote(m: Column) -> Column:
     """The context of the first content that has a place for one: struct(id, sender, text, score, forwarded)."""
     context = F.get(F.filter(F.array(*[F.when(m[c].isNotNull(), F.struct(F.lit(c).alias("of"), m[c]["contextInfo"].alias("c"))) for c in CONTENTS]), lambda x: x.isNotNull()), F.lit(0))["c"]
-    score = F.coalesce(context["forwardingScore"], F.lit(0))
-    return F.struct(
-        F.nullif(_trim(context["stanzaID"]), F.lit("")).alias("id"), F.nullif(_trim(context["participant"]), F.lit("")).alias("sender"), F.when(context["quotedMessage"].isNotNull(), quoted_text(context["quotedMessage"])).alias("text"),
-        score.alias("score"), (F.coalesce(context["isForwarded"], F.lit(False)) | (score > 0)).alias("forwarded"),
-    )
+
+    def read(c: Column) -> Column:
+        score = F.coalesce(c["forwardingScore"], F.lit(0))
+        return F.struct(
+            F.nullif(_trim(c["stanzaID"]), F.lit("")).alias("id"), F.nullif(_trim(c["participant"]), F.lit("")).alias("sender"), F.when(c["quotedMessage"].isNotNull(), quoted_text(c["quotedMessage"])).alias("text"),
+            score.alias("score"), (F.coalesce(c["isForwarded"], F.lit(False)) | (score > 0)).alias("forwarded"),
+        )
+
+    return _let(context, read)
 
 
 def call_of(m: Column) -> Column:
