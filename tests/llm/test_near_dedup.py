@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import near_dedup as nd
@@ -85,17 +84,18 @@ def test_blocks_of_a_bucket_meet(spark, monkeypatch):
     test_copies_near_only_to_their_original(spark)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_dense_set_just_under_the_threshold(spark, seed):
-    """300 texts that share a passage: 150 pairs at 0.812, every other pair at 0.78."""
-    rng = random.Random(seed)
-    some = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
-    passage, rows = some(190), []
-    for _ in range(150):
-        common = some(4)
-        rows += [(len(rows) + k, " ".join(passage + common + some(22))) for k in (0, 1)]
+def test_dense_sets_just_under_the_threshold(spark):
+    """Three sets of 300 texts that share a passage: in each 150 pairs at 0.812, every other pair at 0.78."""
+    rows = []
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        some = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]  # noqa: B023, E731
+        passage = some(190)
+        for _ in range(150):
+            common = some(4)
+            rows += [(len(rows) + k, " ".join(passage + common + some(22))) for k in (0, 1)]
     want = _brute(rows)
-    assert len(set(want.values())) == 150
+    assert len(set(want.values())) == 450
     assert _groups(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
 
 
