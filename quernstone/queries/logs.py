@@ -285,9 +285,15 @@ def st07_message_fold(t: Tables) -> DataFrame:
     return folds.fold_messages(rows)
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT concat('c', user_id) AS c, event_id % 50 AS p, event_id % 7 AS v, CAST(floor(epoch(ts)) AS bigint) AS ts, event_id AS seq, event_type AS choice, event_type = 'error' AS r FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY c, p, v ORDER BY seq) AS n FROM v),
+f AS (SELECT c, p, v, n, CASE WHEN NOT r THEN seq END AS hs, CASE WHEN NOT r THEN ts END AS ht FROM s WHERE n = 1
+  UNION ALL SELECT s.c, s.p, s.v, s.n, CASE WHEN s.r THEN CASE WHEN f.ht <= s.ts THEN NULL ELSE f.hs END WHEN f.ht IS NULL OR s.ts >= f.ht THEN s.seq ELSE f.hs END, CASE WHEN s.r THEN CASE WHEN f.ht <= s.ts THEN NULL ELSE f.ht END WHEN f.ht IS NULL OR s.ts >= f.ht THEN s.ts ELSE f.ht END
+    FROM f JOIN s ON f.c = s.c AND f.p = s.p AND f.v = s.v AND s.n = f.n + 1),
+l AS (SELECT c, p, v, arg_max(coalesce(hs, -1), n) AS seq FROM f GROUP BY 1, 2, 3)
+SELECT s.c AS chat_jid, concat('p', s.p) AS poll_msg_id, concat('v', s.v) AS voter_jid, s.ts, s.seq, s.choice FROM l JOIN s ON l.seq = s.seq""")
 def st11_vote_fold(t: Tables) -> DataFrame:
-    """No SQL: retractions make it an ordered fold; tests hold it against a plain Python fold."""
+    """Errors take votes back."""
     rows = t.ledger.select("chat_jid", F.concat(F.lit("p"), F.col("seq") % 50).alias("poll_msg_id"), F.concat(F.lit("v"), F.col("seq") % 7).alias("voter_jid"), "ts", "seq", F.col("event_type").alias("choice"), (F.col("event_type") == "error").alias("retracted"))
     return folds.fold_votes(rows)
 
