@@ -239,3 +239,32 @@ def guarded_fold(arrivals: DataFrame, purges: DataFrame, key: list[str], order:
     rest = [c for c in arrivals.columns if c not in (*key, order)]
     kept = arrivals.join(purges.select(*key).distinct(), key, "left_anti")
     return kept.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("__v")).select(*key, "__v.*")
+
+
+# Commands
+
+
+def set_columns(commands: DataFrame, key: list[str], columns: list[str], order: str = "seq") -> DataFrame:
+    """The last value that a command set of each column; a null sets nothing."""
+    return commands.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def chat_state(commands: DataFrame, order: str = "seq") -> DataFrame:
+    """archived, pinned and muted_until of each chat by its commands. Archiving unpins what was pinned before."""
+    on = lambda c: F.coalesce(F.max(F.when(F.col(c), F.col(order))), F.lit(-1))
+    state = commands.groupBy("chat_jid").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in ("archived", "pinned", "muted_until")], (on("archived") > on("pinned")).alias("__unpinned"))
+    return state.withColumn("pinned", F.coalesce("pinned", F.lit(False)) & ~F.col("__unpinned")).drop("__unpinned")
+
+
+def standing(commands: DataFrame, key: list[str], there: str = "there", order: str = "seq") -> DataFrame:
+    """Keys whose last command put them there: tags, aliases, stars."""
+    return commands.groupBy(*key).agg(F.max_by(there, order).alias("__t")).filter("__t").drop("__t")
+
+
+def media_marks(messages: DataFrame, downloaded: DataFrame, unavailable: DataFrame, key: str = "rowid") -> DataFrame:
+    """messages after marks: a download (key, path, at) gives a path and time and takes the unavailable mark away; unavailable (key, since) sets it, unless there is a download too."""
+    got = downloaded.groupBy(key).agg(F.max_by(F.struct("path", "at"), "at").alias("__got"))
+    gone = unavailable.groupBy(key).agg(F.max("since").alias("__since"))
+    out = messages.join(got, key, "left").join(gone, key, "left")
+    marked = F.when(F.col("__got").isNull(), F.coalesce("__since", "media_unavailable_at"))
+    return out.withColumns({"local_path": F.coalesce("__got.path", "local_path"), "downloaded_at": F.coalesce("__got.at", "downloaded_at") if "downloaded_at" in messages.columns else F.col("__got.at"), "media_unavailable_at": marked}).drop("__got", "__since")

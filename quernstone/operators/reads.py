@@ -164,3 +164,8 @@ def participants(roster: DataFrame) -> DataFrame:
 def after_cursor(messages: DataFrame, cursor: int, limit: int) -> DataFrame:
     """The next live rows by rowid; deletions need a reconciliation of their own."""
     return limited(live(messages).filter(F.col("rowid") > cursor).orderBy("rowid"), limit)
+
+
+def raw_of(events: DataFrame, raw: DataFrame, key: str = "event_id") -> DataFrame:
+    """The stored bytes of many events by one join, with their encoding; events without bytes are left out."""
+    return events.select(key).distinct().join(raw, key)

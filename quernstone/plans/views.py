@@ -57,9 +57,9 @@ def purges(events: DataFrame) -> DataFrame:
 def chats(events: DataFrame) -> DataFrame:
     """Kind by id, last name, newest time, last flags, running unread."""
     seen = of(events, "message", "call").groupBy("chat_jid").agg(F.max("event_ts").alias("last_message_ts"))
-    state = of(events, "chat_state", payload="chat_state").groupBy("chat_jid").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("archived", "muted_until")], F.max_by("pinned", F.when(F.col("pinned").isNotNull(), F.col("seq"))).alias("pinned"), F.max(F.when(F.col("archived"), F.col("seq"))).alias("a"), F.max(F.when(F.col("pinned"), F.col("seq"))).alias("b"), folds.last_filled("name")(F.col("seq")).alias("name"))
-    # Archiving unpins what was pinned before.
-    state = state.withColumn("pinned", F.coalesce("pinned", F.lit(False)) & ~(F.coalesce("a", F.lit(-1)) > F.coalesce("b", F.lit(-1)))).drop("a", "b")
+    made = of(events, "chat_state", payload="chat_state")
+    names = made.groupBy("chat_jid").agg(folds.last_filled("name")(F.col("seq")).alias("name"))
+    state = folds.chat_state(made).join(names, "chat_jid")
     out = seen.join(state, "chat_jid", "full_outer").join(unread(events), "chat_jid", "full_outer")
     return out.select(
         F.col("chat_jid").alias("jid"), chat_kind(F.col("chat_jid")).alias("kind"), F.coalesce("name", "chat_jid").alias("name"), F.coalesce("last_message_ts", F.lit(0)).alias("last_message_ts"), F.coalesce("archived", F.lit(False)).alias("archived"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import parse
 from quernstone.functions import values as v
+from quernstone.operators import aggregates as ag
 from quernstone.operators import folds, hot, identity, search
 from quernstone.operators import joins as jo
 from quernstone.operators import reads as rd
@@ -53,14 +54,22 @@ def _commands(t: Tables) -> DataFrame:
 def dm01_chat_setters(t: Tables) -> DataFrame:
     e = F.col("event_type")
     rows = _commands(t).withColumns({"archived": F.when(e.isin("click", "view"), e == "click"), "muted_until": F.when(e == "purchase", -1).when(e == "signup", F.col("seq"))})
-    return rows.groupBy("chat_jid").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("archived", "muted_until")])
+    return folds.set_columns(rows, ["chat_jid"], ["archived", "muted_until"])
 
 
 @query("SELECT chat_jid AS jid, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT chat_jid, concat('t', seq % 5) AS tag, arg_max(event_type, seq) AS what FROM ledger GROUP BY 1, 2) WHERE what <> 'error' GROUP BY 1", "ledger")
 def dm02_tag_commands(t: Tables) -> DataFrame:
     rows = _commands(t).select(F.col("chat_jid").alias("jid"), F.concat(F.lit("t"), F.col("seq") % 5).alias("tag"), "seq", (F.col("event_type") != "error").alias("there"))
-    standing = jo.latest(rows, ["jid", "tag"], ["seq"]).filter("there")
-    return standing.groupBy("jid").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    return ag.tags(folds.standing(rows, ["jid", "tag"])).select("jid", F.array_join("tags", ",").alias("tags"))
+
+
+@query("""WITH p AS (SELECT chat_jid, max(seq) FILTER (WHERE event_type = 'click') AS a, max(seq) FILTER (WHERE event_type = 'signup') AS b, arg_max(event_type = 'click', seq) FILTER (WHERE event_type IN ('click', 'view')) AS archived, arg_max(event_type = 'signup', seq) FILTER (WHERE event_type IN ('signup', 'purchase')) AS pinned FROM ledger GROUP BY 1)
+SELECT chat_jid, archived, coalesce(pinned, false) AND NOT coalesce(a, -1) > coalesce(b, -1) AS pinned FROM p""", "ledger")
+def dm01_archive_unpins(t: Tables) -> DataFrame:
+    """Clicks archive, views bring back, sign-ups pin, purchases unpin."""
+    e = F.col("event_type")
+    rows = _commands(t).withColumns({"archived": F.when(e.isin("click", "view"), e == "click"), "pinned": F.when(e.isin("signup", "purchase"), e == "signup"), "muted_until": F.lit(None).cast("bigint")})
+    return folds.chat_state(rows).select("chat_jid", "archived", "pinned")
 
 
 @query("SELECT jid, 'joined' AS state, row_number() OVER (ORDER BY created_ts DESC, encode(jid)) AS place FROM groups WHERE left_at = 0 UNION ALL SELECT jid, 'left', row_number() OVER (ORDER BY left_at DESC, encode(jid)) FROM groups WHERE left_at > 0", "groups")
@@ -81,9 +90,8 @@ def dm05_group_cascade(t: Tables) -> DataFrame:
 @query("SELECT rowid, CASE WHEN rowid % 4 = 0 THEN concat('/got/', CAST(rowid AS varchar)) ELSE local_path END AS local_path, CASE WHEN rowid % 4 = 0 THEN NULL WHEN rowid % 4 = 1 THEN ts ELSE media_unavailable_at END AS media_unavailable_at FROM messages WHERE media_type <> ''", "messages")
 def dm07_media_marks(t: Tables) -> DataFrame:
     m = t.messages.filter("media_type <> ''")
-    got, gone = m.filter("rowid % 4 = 0").select("rowid", F.concat(F.lit("/got/"), "rowid").alias("path")), m.filter("rowid % 4 = 1").select("rowid", F.col("ts").alias("since"))
-    out = m.join(got, "rowid", "left").join(gone, "rowid", "left")
-    return out.select("rowid", F.coalesce("path", "local_path").alias("local_path"), F.when(F.col("path").isNull(), F.coalesce("since", "media_unavailable_at")).alias("media_unavailable_at"))
+    got, gone = m.filter("rowid % 4 = 0").select("rowid", F.concat(F.lit("/got/"), "rowid").alias("path"), F.col("ts").alias("at")), m.filter("rowid % 4 = 1").select("rowid", F.col("ts").alias("since"))
+    return folds.media_marks(m, got, gone).select("rowid", "local_path", "media_unavailable_at")
 
 
 @query("SELECT msg_id, event_type AS text, seq FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY seq DESC) AS n FROM ledger) WHERE n = 1", "ledger")

@@ -44,7 +44,7 @@ def sc06_get_chat(t: Tables) -> DataFrame:
 @query("SELECT e.seq, 'json' AS encoding, e.raw AS raw_text FROM ledger e JOIN (SELECT seq FROM ledger WHERE seq % 5 > 0) r ON e.seq = r.seq", "ledger")
 def sc07_raw_lookup(t: Tables) -> DataFrame:
     raw = t.ledger.filter("seq % 5 > 0").select("seq", F.lit("json").alias("encoding"), F.col("raw").alias("raw_text"))
-    return t.ledger.select("seq").join(raw, "seq")
+    return rd.raw_of(t.ledger, raw, "seq")
 
 
 @query("SELECT rowid, msg_id FROM messages WHERE rowid > 50 AND deleted_at IS NULL ORDER BY rowid LIMIT 200", "messages")
