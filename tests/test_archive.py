@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -16,6 +17,7 @@ from quernstone.operators import folds, hot, identity, search
 from quernstone.operators import joins as jo
 from quernstone.operators import reads as rd
 from quernstone.plans import ledger as lg
+from quernstone.plans import projection
 from quernstone.plans import verify as vf
 from quernstone.plans import views
 from quernstone.sources import contacts as contact_files
@@ -433,6 +435,40 @@ def test_unread_counts_first_deliveries_whatever_came_before(spark):
     assert views.unread(log).first().unread_count == 2
 
 
+def test_progress_log(tmp_path):
+    """One line an event, progress at most once in the given time, milliseconds since 1970."""
+    log = sl.ProgressLog(str(tmp_path / "log.ndjson"), every_seconds=3600)
+    progress = SimpleNamespace(progress=SimpleNamespace(batchId=4, numInputRows=9))
+    log.onQueryStarted(SimpleNamespace(id="q"))
+    for _ in range(3):
+        log.onQueryProgress(progress)
+    log.onQueryTerminated(SimpleNamespace(id="q", exception=None))
+    rows = [json.loads(x) for x in (tmp_path / "log.ndjson").read_text().splitlines()]
+    assert [r["event"] for r in rows] == ["started", "progress", "ended"] and rows[1]["batch"] == 4 and rows[1]["rows"] == 9 and all(r["ts"] > 1_600_000_000_000 for r in rows)
+
+
+def test_projection_errors_and_state(spark, tmp_path):
+    """A checkpoint beyond the target and an empty stretch are errors that change nothing; checkpoints and modes move with a promotion and back."""
+    events = [_event(1, "star", msg="a", starred=True), _event(2, "star", msg="b", starred=True), _event(3, "star", msg="a", starred=False)]
+    log = spark.createDataFrame(events, "seq bigint, source string, event_type string, chat_jid string, msg_id string, sender_jid string, event_ts bigint, payload string")
+    store = Catalog(spark, f"file://{tmp_path}/p", writable=True)
+    assert (store.checkpoint("starred"), store.mode("starred")) == (0, "shadow")
+    assert projection.advance(store, ["starred"], log, 2) == {"starred": (0, 2)}
+    assert {r.msg_id for r in store.table("starred").collect()} == {"a", "b"} and store.mode("starred") == "active"
+    assert projection.advance(store, ["starred"], log) == {"starred": (2, 3)} and {r.msg_id for r in store.table("starred").collect()} == {"b"}
+    for target, part in ((1, log), (9, log.filter("seq < 4"))):
+        with pytest.raises(projection.Truncated):
+            projection.advance(store, ["starred"], part, target)
+    assert store.checkpoint("starred") == 3
+    store.rollback()
+    assert store.checkpoint("starred") == 2 and {r.msg_id for r in store.table("starred").collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        store.promote(store.write_snapshot({}), diff=log)
+    store.set_mode("starred", "shadow")
+    store.set_checkpoint("starred", 1)
+    assert (store.mode("starred"), store.checkpoint("starred")) == ("shadow", 1)
+
+
 def test_stream_windows_and_dedup(spark, tmp_path):
     rows = [(f"k{i % 5}", "h", 1_700_000_000 + i * 60, "message") for i in range(30)]
     df = spark.createDataFrame(rows, "dedup_key string, raw_hash string, t bigint, event_type string").withColumn("ts", F.timestamp_seconds("t"))
