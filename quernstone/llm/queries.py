@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat_format, decontaminate, license_scan, mixing, sharding
+from quernstone.llm import chat_format, decontaminate, license_scan, mixing, piece_codec, sharding, target_resampling
 from quernstone.llm.html_text import extract_pages
 from quernstone.llm.language_id import identify
 from quernstone.llm.near_dedup import near_duplicates
@@ -75,13 +75,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by a public model, projected to spans of its bytes, and what they decode to."""
+    import public_tokenizers
+
+    return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's n-grams, and the rank of the drawn ones."""
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_near_duplicates, op2_source_mix, op3_byte_shards, op4_license_scan, op5_language_id, op6_quality_classifier,
-        op7_benchmark_decontamination, op8_main_text, op9_chat_format, op10_quality_rules,
+        op7_benchmark_decontamination, op8_main_text, op9_chat_format, op10_quality_rules, op11_piece_encoding, op12_target_resampling,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.SQL, "op4_license_scan": license_scan.oracle(), "op7_benchmark_decontamination": decontaminate.SQL, "op9_chat_format": chat_format.SQL}
+    return {"op2_source_mix": mixing.SQL, "op4_license_scan": license_scan.oracle(), "op7_benchmark_decontamination": decontaminate.SQL, "op9_chat_format": chat_format.SQL, "op12_target_resampling": target_resampling.SQL}
