@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat_format, decontaminate, license_scan, mixing, piece_codec, sharding, target_resampling
+from quernstone.llm import chat_format, decontaminate, license_scan, mixing, piece_codec, sharding, spelling, target_resampling
 from quernstone.llm.html_text import extract_pages
 from quernstone.llm.language_id import identify
 from quernstone.llm.near_dedup import near_duplicates
@@ -87,13 +87,19 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, form and root."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_near_duplicates, op2_source_mix, op3_byte_shards, op4_license_scan, op5_language_id, op6_quality_classifier,
         op7_benchmark_decontamination, op8_main_text, op9_chat_format, op10_quality_rules, op11_piece_encoding, op12_target_resampling,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.SQL, "op4_license_scan": license_scan.oracle(), "op7_benchmark_decontamination": decontaminate.SQL, "op9_chat_format": chat_format.SQL, "op12_target_resampling": target_resampling.SQL}
+    return {"op2_source_mix": mixing.SQL, "op4_license_scan": license_scan.oracle(), "op7_benchmark_decontamination": decontaminate.SQL, "op9_chat_format": chat_format.SQL, "op12_target_resampling": target_resampling.SQL, "op13_spelling_variants": spelling.SQL}
