@@ -334,7 +334,14 @@ class Model:
         source = np.append(at, 0)
         stop = np.where(ended, stops[text], source[ends])
         begins = np.minimum(offset + flat[1][place], max(len(at) - 1, 0))
-        return counts, flat[0][place], source[begins] - lead, stop - lead
+        ids, begins, ends = flat[0][place], source[begins] - lead, stop - lead
+        if not self.bytes and len(ids):  # unknown pieces side by side are one
+            keep = np.ones(len(ids), bool)
+            keep[1:] = ~((ids[1:] == self.unknown) & (ids[:-1] == self.unknown) & (text[1:] == text[:-1]))
+            at = np.flatnonzero(keep)
+            ids, begins, ends = ids[at], begins[at], ends[np.append(at[1:], len(keep)) - 1]
+            counts = np.concatenate([[0], np.cumsum(keep)])[counts]
+        return counts, ids, begins, ends
 
     def surfaces(self) -> tuple[list[bytes], np.ndarray]:
         """The bytes of each id, and which are byte pieces."""
