@@ -28,30 +28,30 @@ from quernstone.llm.store import durable
 BUCKETS, GRAMS = 10_000, 3
 LEAST_WORDS, PERCENT = 20, 5
 SEED = "42:"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), 0), F.array().cast("array<string>"))
+    """The words as they are written."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), 0), F.array().cast("array<string>"))
 
 
-def n_grams(words: Column, n: int) -> Column:
-    """All runs of n words."""
-    size = F.size(words)
-    out = words
-    for k in range(1, n):
-        rest = F.slice(words, k + 1, F.greatest(size - k, F.lit(0)))
-        out = F.zip_with(out, rest, lambda a, b: F.concat_ws(" ", a, b))
-        out = F.slice(out, 1, F.greatest(size - k, F.lit(0)))  # the last ones have no word to follow
-    return out
+def lowered(c: Column) -> Column:
+    """A-Z in lower case. Texts of ASCII alone, most of them, take the cheap way; lower() would change other letters too."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def features(rows: DataFrame, words: Column) -> DataFrame:
-    """rows with one row for each feature (a null one for those without any): its n-gram and whether it is a word."""
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), n_grams(F.col("__words"), n).alias("grams")) for n in range(1, GRAMS + 1)])
-    split = rows.withColumn("__words", words).select(*rows.columns, F.explode(grams).alias("__of"))
-    return split.select(*rows.columns, F.col("__of.n").alias("n"), F.explode_outer("__of.grams").alias("gram"))
+def features(rows: DataFrame) -> DataFrame:
+    """rows (with __words) as one row for each feature, its bucket and whether it is a word; for those without any, one row of nulls.
+
+    Each word is followed by the next ones in its own row, so that an array of n-grams a word is exploded and no lambda is run."""
+    keep = [c for c in rows.columns if c != "__words"]
+    each = rows.select(*keep, "__words", F.posexplode_outer("__words").alias("__at", "__word"))
+    grams = [lowered(F.col("__word"))]
+    for k in range(1, GRAMS):
+        grams.append(F.concat(grams[-1], F.lit(" "), lowered(F.get("__words", F.col("__at") + k))))  # null behind the last word
+    return each.select(*keep, F.posexplode_outer(F.array(*map(bucket_of, grams))).alias("__n", "bucket")).filter("bucket IS NOT NULL OR __n = 0").select(*keep, "bucket", ((F.col("__n") == 0) & F.col("bucket").isNotNull()).alias("is_word"))
 
 
 def bucket_of(gram: Column) -> Column:
@@ -60,8 +60,8 @@ def bucket_of(gram: Column) -> Column:
 
 def bucket_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(bucket, n) over all texts; buckets without features are left out."""
-    found = features(texts.select(texts[text_col].alias("text")).select(words_of(F.col("text")).alias("words")), F.col("words"))
-    return found.filter("gram IS NOT NULL").groupBy(bucket_of(F.col("gram")).alias("bucket")).agg(F.count("*").alias("n"))
+    found = features(texts.select(words_of(texts[text_col]).alias("__words")))
+    return found.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, *, text_col: str = "text", target_text_col: str = "text") -> DataFrame:
@@ -84,12 +84,10 @@ def noise(doc_id: Column) -> Column:
 
 def scores(docs: DataFrame, gain: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row (a number), doc_id, n_words, n_features, weight, score."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_col].alias("doc_id"), words_of(docs[text_col]).alias("words"))
-    found = features(rows, F.col("words")).select("row", "doc_id", "n", bucket_of(F.col("gram")).alias("b"))
-    met = found.join(F.broadcast(gain), F.col("b") == F.col("bucket"), "left")
-    summed = met.groupBy("row", "doc_id").agg(
-        F.count(F.when(F.col("n") == 1, F.col("b"))).alias("n_words"), F.count("b").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("weight"),
-    )
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_col].alias("doc_id"), words_of(docs[text_col]).alias("__words"))
+    table = F.broadcast(gain.withColumnRenamed("bucket", "b"))  # a row a bucket
+    met = features(rows).join(table, F.col("bucket") == F.col("b"), "left")
+    summed = met.groupBy("row", "doc_id").agg(F.count_if("is_word").alias("n_words"), F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("weight"))
     return summed.withColumn("score", F.col("weight") + noise(F.col("doc_id")))
 
 
