@@ -350,15 +350,15 @@ def history_batch(batches: DataFrame) -> DataFrame:
     return each.select("chat_jid", F.posexplode("messages").alias("place", "info")).filter("info IS NOT NULL")
 
 
-def decoded(events: DataFrame) -> DataFrame:
+def decoded(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Message events of the log (source, chat_jid, msg_id, sender_jid, from_me, event_ts, raw) parsed again from their bytes; the source says how. Events
-    without bytes (scrubbed, or snapshots) can't be decoded: error says so, and their fields are empty."""
+    without bytes (scrubbed, or snapshots) can't be decoded: error says so, and their fields are empty. keep: other columns that stay."""
     made = events.withColumn("__text", F.col("raw").cast("string"))
     old = F.col("source").isin("history", "on_demand_history")
     info = F.from_json(F.when(old, F.col("__text")), HISTORY)
     k = info["key"]
     rows = made.select(
-        "source", "chat_jid", F.when(old, _text(k["ID"])).otherwise(F.col("msg_id")).alias("msg_id"), F.when(old, _first(_trim(info["participant"]), _trim(k["participant"]), _trim(k["remoteJID"]))).otherwise(_text(F.col("sender_jid"))).alias("sender_jid"),
+        *keep, "source", "chat_jid", F.when(old, _text(k["ID"])).otherwise(F.col("msg_id")).alias("msg_id"), F.when(old, _first(_trim(info["participant"]), _trim(k["participant"]), _trim(k["remoteJID"]))).otherwise(_text(F.col("sender_jid"))).alias("sender_jid"),
         F.when(old, F.coalesce(k["fromMe"], F.lit(False))).otherwise(F.col("from_me")).alias("from_me"), F.when(old, F.coalesce(info["messageTimestamp"], F.lit(0))).otherwise(F.col("event_ts")).alias("ts"),
         F.when(F.coalesce(F.length("__text"), F.lit(0)) == 0, "no bytes").alias("error"), F.when(old, info["message"]).otherwise(F.col("__text")).alias("message"),
     )

@@ -109,13 +109,13 @@ def fold_votes(arrivals: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def ordered_fold(arrivals: DataFrame, key: list[str], columns: list[str], merge: Callable[[Column, Column], dict[str, Column]], order: str = "seq") -> DataFrame:
-    """merge(old, new) gives the next state's columns; the first arrival is the first state."""
+    """merge(old, new) gives the next state's columns; the first arrival is the first state. Of columns that merge doesn't know the last arrival's value stays."""
     types = dict(arrivals.dtypes)
     lists = arrivals.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*columns).alias("__v")))), lambda x: x["__v"]).alias("__l"))
 
     def step(old: Column, new: Column) -> Column:
         now = merge(old, new)
-        return F.struct(*[now[c].cast(types[c]).alias(c) for c in columns])
+        return F.struct(*[(now[c] if c in now else new[c]).cast(types[c]).alias(c) for c in columns])
 
     state = F.aggregate(F.slice("__l", 2, F.greatest(F.size("__l") - 1, F.lit(0))), F.element_at("__l", 1), step)
     return lists.select(*key, state.alias("__s")).select(*key, "__s.*")

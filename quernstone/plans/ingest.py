@@ -117,6 +117,13 @@ def unread_states(df: DataFrame) -> DataFrame:
     return events(df, source="history", event_type="mark_read", key=v.dedup_key("unread", c("chat_jid"), count, marked.cast("string")), raw=raw, chat=c("chat_jid"), ts=F.lit(0))
 
 
+# Types of snapshot events by table.
+SNAPSHOT_TYPES = {
+    "messages": "snapshot_messages", "chats": "snapshot_chats", "contacts": "snapshot_contacts", "groups": "snapshot_groups", "group_participants": "snapshot_roster", "starred": "snapshot_starred", "call_events": "snapshot_calls",
+    "status_messages": "snapshot_status", "polls": "snapshot_polls", "poll_votes": "snapshot_poll_votes", "message_locations": "snapshot_locations", "message_payload_purges": "snapshot_purges",
+}
+
+
 _NAMES = ("phone", "push_name", "full_name", "first_name", "business_name")
 
 
@@ -213,6 +220,15 @@ def scrubs(df: DataFrame) -> DataFrame:
     return events(df.filter((chat != "") & (msg != "")), source="scrub", event_type="scrub", key=v.dedup_key("scrub", chat, msg), raw=None, chat=chat, msg_id=msg, ts=F.col("ts"))
 
 
+def snapshots(df: DataFrame, table: str, key: list[str]) -> DataFrame:
+    """Rows of an old table as events, one each: the row as JSON, binary columns in base64. decode.snapshots reads them back."""
+    plain = [F.base64(c).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes]
+    raw = F.to_json(F.struct(F.lit(table).alias("table"), F.struct(*plain).alias("row")))
+    keys = v.dedup_key("snapshot", F.lit(table), *[F.col(c).cast("string") for c in key])
+    of = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+    return events(df, source="legacy_snapshot", event_type=SNAPSHOT_TYPES[table], key=keys, raw=raw, chat=F.coalesce(of("chat_jid"), of("group_jid"), of("jid")), msg_id=F.coalesce(of("msg_id"), of("poll_msg_id")), ts=F.lit(0))
+
+
 def historical(known: DataFrame, messages: DataFrame, purges: DataFrame, ts: Column) -> DataFrame:
     """What to append for hidden ids (lid) whose phone ids (pn) are known: an identity event each, and a scrub for each message under
     such an id that has been purged but still has local media. Both have keys of their own, so that a second pass adds nothing."""

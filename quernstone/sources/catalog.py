@@ -29,6 +29,7 @@ SCHEMAS = {
     "messages": "rowid bigint, chat_jid string, chat_name string, msg_id string, sender_jid string, sender_name string, ts bigint, from_me boolean, text string, display_text string, quoted_msg_id string, quoted_sender_jid string, is_forwarded boolean, forwarding_score int, reaction_to_id string, reaction_emoji string, media_type string, media_caption string, filename string, mime_type string, direct_path string, media_key binary, file_sha256 binary, file_enc_sha256 binary, file_length bigint, local_path string, downloaded_at bigint, media_unavailable_at bigint, revoked boolean, deleted_for_me boolean, deleted_at bigint, deletion_reason string, payload_purged_at bigint, edited boolean, edited_ts bigint, buttons array<struct<type:string,display_text:string,id:string,url:string,phone_number:string,description:string,response_type:string,index:int>>",
     "message_payload_purges": "chat_jid string, msg_id string, purged_at bigint, deleted_at bigint, deletion_reason string",
     "message_local_media_aliases": "chat_jid string, msg_id string, local_path string, downloaded_at bigint",
+    "status_messages": "msg_id string, ts bigint, from_me boolean, sender_jid string, sender_name string, text string, media_type string, media_caption string, filename string, mime_type string, direct_path string, media_key binary, file_sha256 binary, file_enc_sha256 binary, file_length bigint, background_color string, font int",
     "starred": "chat_jid string, msg_id string, sender_jid string, from_me boolean, starred_at bigint",
     "message_locations": "chat_jid string, msg_id string, latitude double, longitude double, name string, address string, is_live boolean",
     "polls": "chat_jid string, msg_id string, sender_jid string, question string, options array<string>, selectable_count int, created_ts bigint",
