@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -290,35 +291,51 @@ def call_of(m: Column) -> Column:
 # Messages
 
 
+_columns: dict[object, dict] = {}
+
+
+def _built() -> dict:
+    """The columns of ``parsed``, over names that are always the same. They are thousands of calls to the JVM, so they are made once for each."""
+    jvm = SparkContext._gateway
+    if jvm not in _columns:
+        _columns.clear()
+        m, w = F.col("__m"), F.col("__w")
+        texts = content_texts(m)
+        q, poll, update, add, secret = F.col("__q"), _poll(m), m["pollUpdateMessage"], m["pollAddOptionMessage"], m["secretEncryptedMessage"]
+        ref = lambda k: [_trim(k[c]).alias(n) for c, n in (("ID", "poll_msg_id"), ("remoteJID", "poll_chat_jid"), ("participant", "poll_sender_jid"))]
+        option = F.when(add.isNotNull(), F.struct(*ref(add["pollCreationMessageKey"]), _trim(add["addOption"]["optionName"]).alias("option"))).when(F.coalesce(secret["secretEncType"] == "POLL_ADD_OPTION", F.lit(False)), F.struct(*ref(secret["targetMessageKey"]), F.lit("").alias("option")))
+        named = w["comment_id"].isNotNull()
+        other = named & ~F.coalesce(q["id"] == w["comment_id"], F.lit(False))
+        ids = [
+            F.coalesce(w["chat"], F.col("chat_jid")).alias("chat_jid"), F.coalesce(w["id"], F.col("msg_id")).alias("msg_id"), F.coalesce(w["sender"], F.col("sender_jid")).alias("sender_jid"), F.coalesce(w["from_me"], F.col("from_me"), F.lit(False)).alias("from_me"),
+        ]
+        contents = [
+            F.when(w["revoked"], "").otherwise(F.col("text")).alias("text"), media(m, F.col("__said")).alias("media"), location(m).alias("location"), buttons(m).alias("buttons"),
+            F.when(poll.isNotNull(), F.struct(_trim(poll["name"]).alias("question"), F.coalesce(F.transform(poll["options"], lambda o: _text(o["optionName"])), F.array().cast("array<string>")).alias("options"), F.coalesce(poll["selectableOptionsCount"], F.lit(0)).alias("selectable_count"))).alias("poll"),
+            F.when(update.isNotNull(), F.struct(*ref(update["pollCreationMessageKey"]), F.coalesce(update["senderTimestampMS"], F.lit(0)).alias("sender_ts_ms"))).alias("poll_vote"), option.alias("poll_option"),
+            call_of(m).alias("call"), _text(F.coalesce(m["reactionMessage"]["key"]["ID"], F.when(m["reactionMessage"].isNull(), m["encReactionMessage"]["targetMessageKey"]["ID"]))).alias("reaction_to_id"), _text(m["reactionMessage"]["text"]).alias("reaction_emoji"),
+            _text(F.coalesce(w["comment_id"], q["id"])).alias("reply_to_id"), _text(F.when(named, F.coalesce(w["comment_sender"], F.when(~other, q["sender"]))).otherwise(q["sender"])).alias("reply_to_sender"), _text(F.when(~other, q["text"])).alias("reply_to_display"),
+            F.coalesce(q["forwarded"], F.lit(False)).alias("is_forwarded"), F.coalesce(q["score"], F.lit(0)).alias("forwarding_score"), w["edited"].alias("edited"), w["revoked"].alias("revoked"), w["message"].alias("__leaf"),
+        ]
+        has = (_trim(F.col("text")) != "") | F.col("revoked") | (F.size("buttons") > 0) | (_trim(F.col("reaction_to_id")) != "") | (_trim(F.col("reaction_emoji")) != "")
+        for c in ("media", "poll", "poll_vote", "poll_option", "call", "location"):
+            has = has | F.col(c).isNotNull()
+        left = F.array_join(F.array_sort(F.filter(F.json_object_keys("__leaf"), lambda k: k != "messageContextInfo")), ",")
+        _columns[jvm] = {
+            "unwrapped": unwrapped(F.col("message")).alias("__w"), "leaf": F.when(~F.col("__w.revoked"), F.from_json("__w.message", LEAF)).alias("__m"), "first": [_text(texts["text"]).alias("text"), texts["caption"].alias("__said"), quote(m).alias("__q")],
+            "ids": ids, "contents": contents, "unhandled": F.when(has, "").otherwise(_text(left)),
+        }
+    return _columns[jvm]
+
+
 def parsed(df: DataFrame) -> DataFrame:
     """df with the fields of its envelopes (column message, JSON). chat, id, sender and from_me are those of the row (chat_jid, msg_id, sender_jid,
     from_me) unless a wrapper names others. unhandled: the fields of an envelope of which nothing could be read."""
-    keep = [c for c in df.columns if c != "message"]
-    rows = df.select(*keep, unwrapped(F.col("message")).alias("__w")).select(*keep, "__w", F.from_json("__w.message", LEAF).alias("__m"))
-    m, w = F.when(~F.col("__w.revoked"), F.col("__m")), F.col("__w")
-    rows = rows.select(*keep, "__w", m.alias("__m"))
-    m = F.col("__m")
-    texts = content_texts(m)
-    rows = rows.select(*keep, "__w", "__m", _text(texts["text"]).alias("text"), texts["caption"].alias("__said"), quote(m).alias("__q"))
-    q, poll, update, add, secret = F.col("__q"), _poll(m), m["pollUpdateMessage"], m["pollAddOptionMessage"], m["secretEncryptedMessage"]
-    ref = lambda k: [_trim(k[c]).alias(n) for c, n in (("ID", "poll_msg_id"), ("remoteJID", "poll_chat_jid"), ("participant", "poll_sender_jid"))]
-    option = F.when(add.isNotNull(), F.struct(*ref(add["pollCreationMessageKey"]), _trim(add["addOption"]["optionName"]).alias("option"))).when(F.coalesce(secret["secretEncType"] == "POLL_ADD_OPTION", F.lit(False)), F.struct(*ref(secret["targetMessageKey"]), F.lit("").alias("option")))
-    named = w["comment_id"].isNotNull()
-    other = named & ~F.coalesce(q["id"] == w["comment_id"], F.lit(False))
-    out = rows.select(
-        *[c for c in keep if c not in ("chat_jid", "msg_id", "sender_jid", "from_me", "starred")], F.coalesce(w["chat"], F.col("chat_jid")).alias("chat_jid"), F.coalesce(w["id"], F.col("msg_id")).alias("msg_id"), F.coalesce(w["sender"], F.col("sender_jid")).alias("sender_jid"),
-        F.coalesce(w["from_me"], F.col("from_me"), F.lit(False)).alias("from_me"), *([F.col("starred")] if "starred" in keep else []), F.when(w["revoked"], "").otherwise(F.col("text")).alias("text"), media(m, F.col("__said")).alias("media"), location(m).alias("location"), buttons(m).alias("buttons"),
-        F.when(poll.isNotNull(), F.struct(_trim(poll["name"]).alias("question"), F.coalesce(F.transform(poll["options"], lambda o: _text(o["optionName"])), F.array().cast("array<string>")).alias("options"), F.coalesce(poll["selectableOptionsCount"], F.lit(0)).alias("selectable_count"))).alias("poll"),
-        F.when(update.isNotNull(), F.struct(*ref(update["pollCreationMessageKey"]), F.coalesce(update["senderTimestampMS"], F.lit(0)).alias("sender_ts_ms"))).alias("poll_vote"), option.alias("poll_option"),
-        call_of(m).alias("call"), _text(F.coalesce(m["reactionMessage"]["key"]["ID"], F.when(m["reactionMessage"].isNull(), m["encReactionMessage"]["targetMessageKey"]["ID"]))).alias("reaction_to_id"), _text(m["reactionMessage"]["text"]).alias("reaction_emoji"),
-        _text(F.coalesce(w["comment_id"], q["id"])).alias("reply_to_id"), _text(F.when(named, F.coalesce(w["comment_sender"], F.when(~other, q["sender"]))).otherwise(q["sender"])).alias("reply_to_sender"), _text(F.when(~other, q["text"])).alias("reply_to_display"),
-        F.coalesce(q["forwarded"], F.lit(False)).alias("is_forwarded"), F.coalesce(q["score"], F.lit(0)).alias("forwarding_score"), w["edited"].alias("edited"), w["revoked"].alias("revoked"), w["message"].alias("__leaf"),
-    )
-    has = (_trim(F.col("text")) != "") | F.col("revoked") | (F.size("buttons") > 0) | (_trim(F.col("reaction_to_id")) != "") | (_trim(F.col("reaction_emoji")) != "")
-    for c in ("media", "poll", "poll_vote", "poll_option", "call", "location"):
-        has = has | F.col(c).isNotNull()
-    left = F.array_join(F.array_sort(F.filter(F.json_object_keys("__leaf"), lambda k: k != "messageContextInfo")), ",")
-    return out.withColumn("unhandled", F.when(has, "").otherwise(_text(left))).drop("__leaf")
+    keep, made = [c for c in df.columns if c != "message"], _built()
+    rows = df.select(*keep, made["unwrapped"]).select(*keep, "__w", made["leaf"]).select(*keep, "__w", "__m", *made["first"])
+    rest = [c for c in keep if c not in ("chat_jid", "msg_id", "sender_jid", "from_me", "starred")]
+    out = rows.select(*rest, *made["ids"], *([F.col("starred")] if "starred" in keep else []), *made["contents"])
+    return out.withColumn("unhandled", made["unhandled"]).drop("__leaf")
 
 
 def live(df: DataFrame) -> DataFrame:
