@@ -42,4 +42,4 @@ def query(sql: str | None = None, tables: str = ""):
     return register
 
 
-from quernstone.queries import lifecycle, logs, parsing, states, tables  # noqa: E402, F401  (they register themselves)
+from quernstone.queries import lifecycle, logs, parsing, states, tables, written  # noqa: E402, F401  (they register themselves)

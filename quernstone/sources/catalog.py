@@ -1,7 +1,8 @@
-"""Tables on disk: schemas, immutable snapshots behind a pointer file, and tables written to end a lineage.
+"""Tables on disk: schemas, immutable snapshots behind numbered manifests, and tables written to end a lineage.
 
-A snapshot is a folder that is never written again; the pointer names the one to read. Promoting is one replacement of
-the pointer, rolling back another: readers see the old snapshot or the new one, never a mixture.
+A snapshot is a folder of some tables that is never written again. A manifest names the folder of each table, so that a snapshot of one table
+shares all others with the one before. Manifests are numbered, and each is created only if it isn't there: of two writers
+that start from the same one, one fails and changes nothing. Readers take the last one: they see the old tables or the new ones, never a mixture.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VERSION = 1
+VERSION = 2
 
 #: Table -> DDL.
 SCHEMAS = {
@@ -70,11 +72,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the catalogue in the meantime."""
+
+
 class Catalog:
     """Tables of one account below a base folder of any file system that Spark reads. Read-only unless told otherwise.
 
-    One small file, ``STATE``, names the snapshot that is read, the one before it, each view's checkpoint and mode. It is replaced
-    as a whole: what a reader sees belongs together."""
+    One small file, the last of ``manifests``, names the folder of each table, those before the last promotion, each view's checkpoint and mode.
+    What a reader sees belongs together. A writer's change is a manifest with the next number; ``Conflict`` if there is one already.
+    Rows that a state file of version 1 (``STATE``, one snapshot for all tables) names are still read."""
 
     def __init__(self, spark: SparkSession, base: str, *, writable: bool = False):
         if "?" in base or "#" in base:
@@ -86,27 +93,49 @@ class Catalog:
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def state(self) -> dict:
+    def _manifest(self, number: int) -> str:
+        return f"{self.base}/manifests/{number:012d}.json"
+
+    def _last(self) -> int:
+        """The number of the last manifest, 0 without any."""
         jvm, fs = self._fs()
-        empty = {"snapshot": None, "backup": None, "checkpoints": {}, "backup_checkpoints": {}, "modes": {}}
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.base}/STATE")):
-            return empty
-        return empty | json.loads(self.spark.read.text(f"{self.base}/STATE", wholetext=True).first()[0])
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.base}/manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d{12}\.json", n)), default=0)
 
-    def _write_state(self, **changes) -> None:
-        """Written aside, then renamed: one step on file systems with atomic renames."""
+    def state(self) -> dict:
+        """number (of the manifest), snapshot, tables, those before (backup, backup_tables), checkpoints, modes."""
+        jvm, fs = self._fs()
+        empty = {"number": 0, "snapshot": None, "backup": None, "tables": {}, "backup_tables": {}, "checkpoints": {}, "backup_checkpoints": {}, "modes": {}}
+        number = self._last()
+        if number:
+            return empty | json.loads(self.spark.read.text(self._manifest(number), wholetext=True).first()[0]) | {"number": number}
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.base}/STATE")):
+            return empty | json.loads(self.spark.read.text(f"{self.base}/STATE", wholetext=True).first()[0])
+        return empty
+
+    def _write_state(self, now: dict, **changes) -> None:
+        """The manifest after now, created only if nobody else has."""
         if not self.writable:
             raise PermissionError("the catalogue is read-only")
-        value = json.dumps(self.state() | changes)
+        value = json.dumps({k: v for k, v in (now | changes).items() if k != "number"})
         jvm, fs = self._fs()
-        new, path = (jvm.org.apache.hadoop.fs.Path(f"{self.base}/{x}") for x in (f".state-{uuid.uuid4().hex}", "STATE"))
-        out = fs.create(new, True)
+        path = jvm.org.apache.hadoop.fs.Path(self._manifest(now["number"] + 1))
+        new = jvm.org.apache.hadoop.fs.Path(f"{self.base}/manifests/.new-{uuid.uuid4().hex}")
+        out = fs.create(new, False)
         out.write(bytearray(value.encode()))
         out.close()
+        # Written whole beside it, then given its name; a rename without overwriting fails if the name is taken.
         kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
         how = self.spark.sparkContext._gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, path, how)
+        how[0] = kind.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, path, how)
+        except Py4JJavaError as e:
+            fs.delete(new, False)
+            if fs.exists(path):
+                raise Conflict(f"manifest {now['number'] + 1} of {self.base} is there already") from e
+            raise
 
     def current(self) -> str | None:
         """The snapshot that is read."""
@@ -117,18 +146,23 @@ class Catalog:
         return self.state()["checkpoints"].get(view, 0)
 
     def set_checkpoint(self, view: str, seq: int) -> None:
-        self._write_state(checkpoints=self.state()["checkpoints"] | {view: seq})
+        now = self.state()
+        self._write_state(now, checkpoints=now["checkpoints"] | {view: seq})
 
     def mode(self, view: str) -> str:
         """shadow, unless it has been set."""
         return self.state()["modes"].get(view, "shadow")
 
     def set_mode(self, view: str, mode: str) -> None:
-        self._write_state(modes=self.state()["modes"] | {view: mode})
+        now = self.state()
+        self._write_state(now, modes=now["modes"] | {view: mode})
 
     def table(self, name: str, snapshot: str | None = None) -> DataFrame:
-        snapshot = snapshot or self.current()
-        if snapshot is None:
+        """The table as it is read now, or of one snapshot; without rows if none has it."""
+        now = self.state() if snapshot is None else {}
+        snapshot = snapshot or now["tables"].get(name) or (now["snapshot"] if not now["tables"] else None)
+        jvm, fs = self._fs()
+        if snapshot is None or not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.base}/{snapshot}/{name}")):
             return self.spark.createDataFrame([], schema(name))
         return conformed(self.spark.read.parquet(f"{self.base}/{snapshot}/{name}"), name)
 
@@ -141,20 +175,30 @@ class Catalog:
             conformed(df, name).write.parquet(f"{self.base}/{snapshot}/{name}")
         return snapshot
 
-    def promote(self, snapshot: str, violations: DataFrame | None = None, *, diff: DataFrame | None = None, checkpoints: dict[str, int] | None = None) -> None:
-        """Makes the snapshot the current one, with its views' checkpoints, and remembers the one before with its own. Refused if an
-        invariant is violated, or rows differ that should not (diff: rows of a comparison with what is read now)."""
+    def _tables_of(self, snapshot: str) -> list[str]:
+        jvm, fs = self._fs()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{snapshot}")
+        return [f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory()] if fs.exists(folder) else []
+
+    def promote(self, snapshot: str, violations: DataFrame | None = None, *, diff: DataFrame | None = None, checkpoints: dict[str, int] | None = None, since: dict | None = None) -> None:
+        """Makes the snapshot's tables the current ones, with its views' checkpoints; all other tables stay those they are. What was read before is
+        remembered. Refused if an invariant is violated, or rows differ that should not (diff: rows of a comparison with what is read
+        now). since: the state that the snapshot was made from; Conflict if the catalogue has changed after it."""
         if violations is not None and violations.head(1):
             raise ValueError("the snapshot violates an invariant")
         if diff is not None and diff.head(1):
             raise ValueError("the snapshot differs from what is read now")
-        now = self.state()
-        self._write_state(snapshot=snapshot, backup=now["snapshot"], checkpoints=now["checkpoints"] | (checkpoints or {}), backup_checkpoints=now["checkpoints"], modes=now["modes"] | dict.fromkeys(checkpoints or {}, "active"))
+        now = since or self.state()
+        before = now["tables"] or dict.fromkeys(self._tables_of(now["snapshot"]) if now["snapshot"] else [], now["snapshot"])
+        self._write_state(
+            now, snapshot=snapshot, backup=now["snapshot"], tables=before | dict.fromkeys(self._tables_of(snapshot), snapshot), backup_tables=before, checkpoints=now["checkpoints"] | (checkpoints or {}),
+            backup_checkpoints=now["checkpoints"], modes=now["modes"] | dict.fromkeys(checkpoints or {}, "active"),
+        )
 
     def rollback(self) -> str:
-        """Reads the snapshot before the last promotion again, with its checkpoints."""
+        """Reads the tables before the last promotion again, with their checkpoints."""
         now = self.state()
         if not now["backup"]:
             raise ValueError("there is no snapshot to go back to")
-        self._write_state(snapshot=now["backup"], backup=now["snapshot"], checkpoints=now["backup_checkpoints"], backup_checkpoints=now["checkpoints"])
+        self._write_state(now, snapshot=now["backup"], backup=now["snapshot"], tables=now["backup_tables"], backup_tables=now["tables"], checkpoints=now["backup_checkpoints"], backup_checkpoints=now["checkpoints"])
         return now["backup"]
