@@ -1,7 +1,9 @@
 """Ranked full-text search: inverted index, BM25, snippets.
 
-Tokens are runs of letters and digits, lower-cased, accents folded. A query's tokens must all occur; a token that itself
-falls into several must occur as they stand, one behind the other.
+Tokens are runs of letters and digits of any script, lower-cased, accents folded: a letter that decomposes into another and accents counts as
+that one, and accents that stand for themselves are dropped. One table says so for texts and queries alike, so that a word copied out
+of a text finds it. Scripts that don't write accents so (Hangul, kana, Devanagari) stay as they are. A query's tokens must all
+occur; a token that itself falls into several must occur as they stand, one behind the other.
 """
 
 from __future__ import annotations
@@ -22,9 +24,21 @@ RUN = r"[\p{L}\p{N}]"
 #: Folders of a written index, and files of one: postings of a frequent term are spread over them.
 BUCKETS, SPREAD = 64, 8
 
-# Latin letters with marks and the letters without.
-MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōřśšşťùúûüūůýÿžźż"
-PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorssstuuuuuuyyzzz"
+ACCENTS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _folds() -> tuple[str, str]:
+    """Small letters that are other ones with accents, and these; then the accents themselves, which have no counterpart and go."""
+    plain = {"ø": "o", "ς": "σ"}
+    for c in map(chr, range(0xC0, 0x10000)):
+        parts = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(parts) > 1 and parts[0].isalpha() and set(parts[1:]) <= set(ACCENTS):
+            plain[c] = plain.get(parts[0], parts[0])
+    return "".join(plain) + ACCENTS, "".join(plain.values())
+
+
+MARKED, PLAIN = _folds()
+_FOLD = str.maketrans(MARKED[: len(PLAIN)], PLAIN, ACCENTS)
 
 
 def tokens(c: Column) -> Column:
@@ -33,8 +47,8 @@ def tokens(c: Column) -> Column:
 
 def query_terms(query: str) -> list[list[str]]:
     """The query split at white space; each piece as its tokens."""
-    fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
-    return [t for t in ([x for x in re.split(r"[\W_]+", fold(piece)) if x] for piece in query.split()) if t]
+    words = ("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in piece.lower().translate(_FOLD)).split() for piece in query.split())
+    return [w for w in words if w]
 
 
 def quoted(query: str) -> str:

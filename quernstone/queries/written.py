@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import messages as envelopes
+from quernstone.operators import search
 from quernstone.plans import ingest, views
 from quernstone.queries import Tables, query
+from quernstone.queries.lifecycle import _folder
 
 
 def _kind(t: Tables, *kinds: str) -> DataFrame:
@@ -111,3 +113,21 @@ def st13_replayed_chats(t: Tables) -> DataFrame:
     old = t.chats.withColumn("jid", F.concat("jid", server)).withColumn("unread_count", c("unread_count").cast("int"))
     later = old.filter("last_message_ts % 2 = 0").select(F.lit("archive").alias("type"), c("jid").alias("chat_jid"), _none().alias("sender_jid"), _none("boolean").alias("from_me"), _none().alias("msg_id"), (~c("archived")).alias("state"), F.lit(0).alias("end_ts_ms"), F.lit(True).alias("range"), _none("boolean").alias("delete_media"), F.lit(9000).alias("ts_ms"))
     return views.chats(_log(ingest.snapshots(old, "chats", ["jid"]), ingest.state_changes(later))).select("jid", "kind", "last_message_ts", "archived", "pinned", "muted_until", c("unread_count").cast("bigint").alias("unread_count"))
+
+
+# Search in any script
+
+_WORDS = ("한국어", "Tiếng", "हिन्दी", "Ελλάδα", "ёжик", "Йод", "naïve", "東京")
+_WORD = f"element_at(array({', '.join(repr(w) for w in _WORDS)}), CAST(p_partkey % {len(_WORDS)} + 1 AS int))"
+
+
+@query(f"SELECT p_partkey AS k, list_extract([{', '.join(repr(w) for w in _WORDS)}], CAST(p_partkey % {len(_WORDS)} + 1 AS int)) AS word, how FROM part, (SELECT unnest(['scan', 'index']) AS how)")
+def fn15_any_script(t: Tables) -> DataFrame:
+    """A word of each of some scripts, written into the names of parts: as it stands there it finds just its rows, by a scan and by an index."""
+    rows, path = t("part").select(F.col("p_partkey").alias("k"), F.expr(f"concat(p_name, ' «', {_WORD}, '», ', p_brand)").alias("text")), _folder(t, "index")
+    search.write_index(rows, path, ("text",), "k")
+    found = []
+    for word in _WORDS:
+        for how, got in (("scan", search.bm25(rows, word, columns=("text",), key="k", limit=0)), ("index", search.search_index(t.spark, path, word, key="k", limit=0))):
+            found.append(got.select("k", F.lit(word).alias("word"), F.lit(how).alias("how")))
+    return ingest.all_of(*found)

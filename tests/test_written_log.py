@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import messages as envelopes
+from quernstone.operators import search
 from quernstone.operators.aggregates import unread_fold
 from quernstone.plans import decode, ingest, views
 from quernstone.sources.catalog import conformed
@@ -203,3 +204,17 @@ def test_empty_log(spark, log):
     log.message("a", {"conversation": "x"})
     for name, df in views.rebuild(log.frame().limit(0)).items():
         assert df.count() == 0, name
+
+
+def test_words_of_any_script_find_their_rows(spark, tmp_path):
+    texts = ["안녕하세요 세계", "Tiếng Việt rất đẹp", "हिन्दी में लिखा", "Η Ελλάδα είναι ωραία ΟΔΟΣ οδός", "Ёлка и йод, Россия", "naïve façade Ærø", "東京タワー ガイド", "café noir", "İstanbul ǆ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rowid int, text string")
+    search.write_index(rows, f"file://{tmp_path}/index", ("text",))
+    for k, text in enumerate(texts):
+        for word in text.replace(",", "").split():
+            for got in (search.bm25(rows, word), search.search_index(spark, f"file://{tmp_path}/index", word)) if word in (text.split()[0], text.split()[-1]) else ():
+                assert k in [r.rowid for r in got.collect()], word
+    terms = {r.rowid: r.t for r in rows.select("rowid", search.tokens(F.col("text")).alias("t")).collect()}
+    for k, text in enumerate(texts):
+        assert [t for piece in search.query_terms(text) for t in piece] == terms[k], text
+    assert search.query_terms("Café Ёж οδός ΟΔΟΣ") == [["cafe"], ["еж"], ["οδοσ"], ["οδοσ"]]
