@@ -90,20 +90,68 @@ def edges(ledger: DataFrame) -> DataFrame:
     return resolved(ledger).filter("target_id IS NOT NULL").select(F.col("event_id").alias("a"), F.col("target_id").alias("b")).distinct()
 
 
-def cyclic_core(graph: DataFrame) -> DataFrame:
-    """Edges (a, b) that lie on, or between, cycles: nodes without a way in or out are peeled until none is left. Empty if there is no cycle.
+#: Layers that are peeled one by one before chains are passed over.
+LAYERS = 6
+
 
-    A round drops at least one layer; each is written down, so that the plan doesn't grow."""
-    now = durable(graph.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct(), "graph")
+def _peeled(graph: DataFrame, layers: int | None = None) -> tuple[DataFrame, bool]:
+    """Edges (a, b) without those of nodes that have no way in or out, until none is left or so many layers are gone; and whether none is left. A round
+    drops a layer at least; each is written down, so that the plan doesn't grow."""
+    now, k = durable(graph, "graph"), 0
     n = now.count()
-    while n:
+    while n and k != layers:
         left = now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         left = left.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
-        now = durable(left, "graph")
+        now, k = durable(left, "graph"), k + 1
         n, m = now.count(), n
         if n == m:
+            return now, True
+    return now, not n
+
+
+def _jumps(steps: DataFrame) -> list[DataFrame]:
+    """steps: one way (v, w) out of each node that has no other. Where 1, 2, 4, ... of these lead from each node; who comes to a node without one
+    stays there. The last table says where every way ends: as many rounds as its length doubles in."""
+    n, k = steps.count(), 0
+    tables = [durable(steps, "jumps")]
+    while n:
+        now = tables[-1]
+        ahead = now.select(F.col("v").alias("w"), F.col("w").alias("__next"))
+        new = durable(now.join(ahead, "w", "left").select("v", F.coalesce("__next", "w").alias("w"), F.col("__next").isNotNull().alias("moved")), "jumps")
+        moved, k = bool(new.filter("moved").head(1)), k + 1
+        tables.append(new.select("v", "w"))
+        if not moved or 2**k > n:  # beyond that, who still moves runs in a ring
+            break
+    return tables
+
+
+def cyclic_core(graph: DataFrame) -> DataFrame:
+    """Edges (a, b) that lie on cycles, and perhaps some between them. Empty if there is no cycle.
+
+    What is shallow goes by a few layers. Long chains are not peeled link by link: nodes with one way out are passed over by jumps that double, and
+    only the graph of the others, from branch to branch, is peeled. The links of the ways that are left are then gathered by the same jumps."""
+    every, settled = _peeled(graph.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct(), LAYERS)
+    if settled:
+        return every
+    only = every.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("w")).filter("n = 1 AND w <> a").select(F.col("a").alias("v"), "w")
+    tables = _jumps(only)
+    steps, last = tables[0], tables[-1].select(F.col("v").alias("b"), F.col("w").alias("end"))
+    # Whose way out of single steps never ends is in a ring or leads to one; the nodes of a ring are those that come up after so many steps.
+    endless = last.join(steps.select(F.col("v").alias("end")), "end", "left_semi")
+    ring = endless.select(F.col("end").alias("v")).distinct()
+    forks = every.join(steps.select(F.col("v").alias("a")), "a", "left_anti")
+    ended = forks.join(endless.select("b"), "b", "left_anti").join(last, "b", "left").select("a", "b", F.coalesce("end", "b").alias("end"))
+    ended = durable(ended, "forks")
+    core, _ = _peeled(ended.select("a", F.col("end").alias("b")).distinct())
+    kept = durable(ended.join(core.select("a", F.col("b").alias("end")), ["a", "end"], "left_semi").select("a", "b"), "kept")
+    inside = durable(kept.select(F.col("b").alias("v")).distinct().join(steps, "v", "left_semi"), "inside")
+    for table in reversed(tables[:-1]):
+        if not inside.head(1):
             break
-    return now
+        more = inside.join(table, "v").select(F.col("w").alias("v")).join(steps, "v", "left_semi")
+        inside = durable(inside.unionByName(more).distinct(), "inside")
+    links = steps.join(inside.unionByName(ring).distinct(), "v", "left_semi").select(F.col("v").alias("a"), F.col("w").alias("b"))
+    return durable(kept.unionByName(links).distinct(), "core")
 
 
 def reachable(graph: DataFrame, starts: DataFrame) -> DataFrame:
