@@ -10,6 +10,7 @@ from quernstone.operators import search
 from quernstone.plans import ingest, views
 from quernstone.queries import Tables, query
 from quernstone.queries.lifecycle import _folder
+from quernstone.sources.catalog import durable
 
 
 def _kind(t: Tables, *kinds: str) -> DataFrame:
@@ -17,7 +18,8 @@ def _kind(t: Tables, *kinds: str) -> DataFrame:
 
 
 def _log(*parts: DataFrame) -> DataFrame:
-    return ingest.all_of(*parts).withColumn("seq", F.col("event_ts"))
+    """The log, written down: views read it several times, and of each type only what they need."""
+    return durable(ingest.all_of(*parts).withColumn("seq", F.col("event_ts")), "log")
 
 
 def _none(kind: str = "string") -> Column:
