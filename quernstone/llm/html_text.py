@@ -1,7 +1,8 @@
 """Main text of web pages by a maximum-scoring subsequence over words and tags.
 
 A page is read as a sequence of tags and text. Elements that by their kind are never content (menus, page headers,
-footers, sidebars, forms, scripts, styles, by name, role or being hidden) count as nothing, with all they hold. Each word
+footers, sidebars, scripts, styles, by name, role or being hidden) count as nothing, with all they hold; so do forms,
+unless they hold nearly all the page's words (a page that is one form). Each word
 scores above zero and each tag below; one linear scan finds the contiguous stretch of the highest sum. Its text, without
 the elements left out, is the result.
 
@@ -49,16 +50,20 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 NEVER = frozenset(
-    "applet aside audio button canvas datalist dialog fieldset footer form head iframe input label map menu nav noscript object option optgroup script select style svg template textarea "
+    "applet aside audio button canvas datalist dialog footer head iframe input label map menu nav noscript object option optgroup script select style svg template textarea "
     "title video xmp noembed noframes".split()
 )
+# Never content beside a text, but some pages are one form from their first word to their last.
+FORMS = frozenset(("form", "fieldset"))
 AWAY = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising advertorial affiliate alert announcement author bio banner breadcrumb breadcrumbs captcha comment comments "
-    "consent cookie cookies copyright dialog disclaimer discussion disqus donate dropdown flash footer gdpr hamburger header hidden legal login logo masthead menu message meta modal nav navbar "
+    "consent cookie cookies copyright dialog disclaimer discussion disqus donate dropdown flash footer gdpr hamburger header legal login logo masthead menu message meta modal nav navbar "
     "navigation newsletter notice notification pager paginate pagination paywall popover popup privacy promo promos promoted promotion rail reactions recirc recommend recommendations recommended register related "
     "replies reply responses search share sharing sidebar sidenav signup skip skiplink social sponsor sponsored sponsors subscribe subscription syndication tags teaser toast toc toolbar topbar "
     "trackback trending warning widget widgets".split()
 )
+# Names that lean away only as a whole: their parts also stand in names of layout (overflow-hidden).
+WHOLE = frozenset(("hidden", "visually-hidden", "visuallyhidden"))
 # Names of the comments of readers, which may well be longer than the article.
 FAR = frozenset("comment comments discussion disqus replies responses".split())
 TOWARDS = frozenset("article articlebody body content copy entry main post prose story text".split())
@@ -69,6 +74,7 @@ NEUTRAL = frozenset(
 )
 NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
 CONTENT = frozenset(("article", "main"))
+ROOTS = frozenset(("html", "body"))
 # What a new element of the first kind closes, if open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 TEXT_TAGS = frozenset(
@@ -77,7 +83,7 @@ TEXT_TAGS = frozenset(
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -96,12 +102,11 @@ PRIOR_AWAY, PRIOR_FAR, PRIOR_TOWARDS, PRIOR_NAME, TEXT_AHEAD = 0.05, 0.01, 0.95,
 def _attributes(name: str, attributes: str) -> tuple[bool, list[str]]:
     """Whether an element is never content, by its kind, and the names its author gave it."""
     never, names = name in NEVER or name == "header", []
-    for key, a, b, c, bare in _ATTRIBUTE.findall(attributes) if attributes else ():
-        if bare:
-            never = True
-            continue
+    for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), a or b or c
-        if key in ("class", "id"):
+        if key == "hidden":
+            never = True
+        elif key in ("class", "id"):
             names += value.split()
         elif key == "role":
             never |= value.lower() in NEVER_ROLES
@@ -111,11 +116,13 @@ def _attributes(name: str, attributes: str) -> tuple[bool, list[str]]:
 
 
 def _parts_of(name: str) -> list[str]:
-    return [x for x in _PARTS.split(_CAMEL.sub(" ", name).lower()) if x and not x.isdigit() and x not in NEUTRAL and len(x) > 1]
+    if name.lower() in WHOLE:
+        return [name.lower()]
+    return [x for x in _PARTS.split(_CAMEL.sub(" ", name).lower()) if x and not x.isdigit() and x not in NEUTRAL and x not in WHOLE and len(x) > 1]
 
 
 def _name_prior(part: str) -> float:
-    return PRIOR_FAR if part in FAR else PRIOR_AWAY if part in AWAY else PRIOR_TOWARDS if part in TOWARDS else PRIOR_NAME
+    return PRIOR_FAR if part in FAR else PRIOR_AWAY if part in AWAY or part in WHOLE else PRIOR_TOWARDS if part in TOWARDS else PRIOR_NAME
 
 
 def leaning(tag: str, names: list[str], odds: dict[str, float]) -> float:
@@ -219,7 +226,7 @@ def _left_out(page: Page, odds: dict[str, float]) -> list[int]:
     within = _running([(f, z) for *_, f, z, article in p.elements if article], size)
     certain = [
         (first, last) for name, _, never, first, last, _ in p.elements
-        if never and p.articles[last] == p.articles[first + 1] and not (name == "header" and within[first] > 0 and p.headings[last] > p.headings[first])
+        if never and name not in ROOTS and p.articles[last] == p.articles[first + 1] and not (name == "header" and within[first] > 0 and p.headings[last] > p.headings[first])
     ]
     gone = _running(certain, size)
     kept = [0]  # words before each token that are not certainly left out
@@ -227,7 +234,12 @@ def _left_out(page: Page, odds: dict[str, float]) -> list[int]:
         kept.append(kept[-1] + (p.words[k + 1] - p.words[k] if gone[k] <= 0 else 0))
     doubtful = []
     for name, names, never, first, last, _ in p.elements:
-        if names and not never and gone[first] <= 0 and name not in ("html", "body") and p.articles[last] == p.articles[first] and (lean := leaning(name, names, odds)) < 0:
+        if (not names and name not in FORMS) or never or gone[first] > 0 or name in ROOTS or p.articles[last] != p.articles[first]:
+            continue
+        lean = leaning(name, names, odds)
+        if name in FORMS:
+            lean = min(lean, 0.0) + math.log(PRIOR_AWAY / (1 - PRIOR_AWAY))
+        if lean < 0:
             doubtful.append((first, last, kept[last] - kept[first], lean))
     # Outermost first; what stays gives its words to the rest and lets those inside be judged.
     apart = _running([(f, z) for f, z, _, _ in doubtful], size)

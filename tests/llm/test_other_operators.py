@@ -411,6 +411,13 @@ def test_names_weigh_but_do_not_decide():
     many = "<article class='comment'><p>Nice one indeed, thank you so much</p></article>" * 60
     assert html_text.extract(f'<div class="entry has-sidebar"><p>{words}</p></div><div id="comments">{many}</div>', weights) == said
     assert html_text.extract(f'<div class="single no-comments"><p>{words}</p><div class="ad-slot">Buy now</div></div>', weights) == said
+    # Names of attributes with digits, hidden as a part of a layout name, pages that are one form, bodies hidden until a script runs.
+    assert html_text.extract(f"<p data-h1='the hidden cost'>{words}</p>", weights) == said
+    assert html_text.extract(f'<div class="overflow-hidden md:hidden"><p>{words}</p></div><div class="box"><p>Some other words.</p></div>', weights) == f"{said}\nSome other words."
+    assert html_text.extract(f'<div class="entry"><p>{words}</p></div><div class="hidden">away</div><div hidden="">away</div><p hidden>away</p>', weights) == said
+    site = f'<form id="aspnetForm"><nav>Home</nav><div id="content"><h1>Head</h1><p>{words}</p></div><fieldset>Mail to us</fieldset><div class="sidebar">See also</div><footer>c</footer></form>'
+    assert html_text.extract(f"<html><body>{site}<script>x()</script></body></html>", weights) == f"Head\n{said}"
+    assert html_text.extract(f'<body style="visibility: hidden"><p>{words}</p><form class="post">Your mail <p>Send it to us</p></form></body>', weights) == said
 
 
 def test_names_are_learned_from_labelled_pages():
