@@ -377,6 +377,35 @@ def test_planted_notices_are_found(spark):
     assert license_scan.scan(probe).first().licenses == "MIT"
 
 
+def test_every_stretch_is_judged(spark):
+    """The best stretch of each template by brute force, on texts with notices near the threshold, doubled, cut off and at both ends."""
+    rng = random.Random(21)
+    prose = lambda n: [rng.choice("alder birch cedar maple oak pine rowan willow yew of the and software to".split()) for _ in range(n)]
+    some = [(n, t) for n, t in license_scan.TEMPLATES if n in ("MIT", "ISC", "0BSD", "Zlib", "WTFPL", "Artistic-2.0")]
+    texts = ["to", "software of", "The MIT License"]
+    for k in range(60):
+        name, text = some[k % len(some)]
+        words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+        for i in rng.sample(range(len(words)), rng.randint(0, len(words) // 9)):
+            words[i] = prose(1)[0]
+        cut = rng.randint(0, len(words) // 5)
+        texts.append(" ".join(prose(rng.choice((0, 1, 37))) + words[cut:] + prose(rng.choice((0, 3, 50))) + words[: rng.choice((0, len(words)))] + prose(rng.choice((0, 2)))))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), templates=tuple(some)).collect()}
+    near = 0
+    for k, text in enumerate(texts):
+        w, best = text.lower().split(), {}
+        for name, template in some:
+            b, m = set(license_scan.template_bigrams(template)), license_scan.n_words(template)
+            for i, n in [(i, m) for i in range(max(1, len(w) - m + 1))] + [(0, len(w))]:
+                part = w[i : i + n]
+                a = {f"{x} {y}" for x, y in zip(part, part[1:], strict=False)}
+                best[name] = max(best.get(name, 0), 2 * len(a & b) / (len(a) + len(b)))
+        want = {n: d for n, d in best.items() if d >= license_scan.DICE}
+        near += any(d < 0.85 for d in want.values())
+        assert (got[k].licenses, got[k].best_dice) == (",".join(sorted(want)), round(max(want.values(), default=0.0), 6))
+    assert near > 5
+
+
 def test_triggers_lose_no_match():
     """Any set of bigrams without a trigger stays below the threshold with every template."""
     templates = [license_scan.template_bigrams(t) for _, t in license_scan.TEMPLATES]
