@@ -14,8 +14,9 @@ with probability 1 - (1 - 0.8^5)^24 = 0.99993, one at 0.9 with all but 2e-10. In
 text; those that turn out too different are compared with the first of their own, and so on for ``ROUNDS``
 rounds. These rounds only save work: what they link is one group. A large bucket whose texts are in several
 groups after that is cut into blocks by hash, and each block is compared with each (itself too): every pair of
-texts that are not in one group yet is a candidate. This work grows with the square of such a bucket, dealt to
-as many tasks as there are pairs of blocks; rows grow with the bucket times its blocks.
+texts that are not in one group yet is a candidate, in the first of the bands in which the two agree. Signatures alone
+decide that; a text moves to a pair of blocks only if it is in a candidate there. This work grows with the square of such a
+bucket, dealt to as many tasks as there are pairs of blocks; signatures grow with the bucket times its blocks.
 
 Verification. A pair must agree in 65 % of the slots (four standard deviations under 0.8), then the probability
 Jaccard of the two whole texts is computed exactly and must reach 0.8.
@@ -116,15 +117,20 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(np.sum(1.0 / (x_up[upto] / x[common] + y_over[upto] / y[common])))
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """(n, BANDS) keys of the bands of some signatures."""
+    h = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(sig), BANDS)).copy()
+    for k in range(ROWS):
+        h = mix(h * _G + sig.reshape(len(sig), BANDS, ROWS)[:, :, k].astype(np.uint64))
+    return h
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
         for t in chunks(batch.column(2)):
             doc, shingle, weight = shingles(t)
             sig = signatures(doc, shingle, weight, len(t))
-            h = np.broadcast_to(salt, (len(t), BANDS)).copy()
-            for k in range(ROWS):
-                h = mix(h * _G + sig.reshape(len(t), BANDS, ROWS)[:, :, k].astype(np.uint64))
+            h = band_keys(sig)
             filled = np.zeros(len(t), bool)
             filled[doc] = True
             counts = np.where(filled, BANDS, 0)
@@ -168,22 +174,39 @@ def _verify(similarity: float):
     return run
 
 
+def _pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of equal slots, row, row) of the candidates between two blocks of a bucket (or within one): in different groups, with
+    signatures that agree in enough slots, and not met in an earlier band. A pair's earlier bucket was compared as a whole, too."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    group, block = table["group"].to_numpy(), table["block"].to_numpy()
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, SLOTS)
+    here = int(np.argmax(band_keys(sig[:1])[0].view(np.int64) == table["band"][0].as_py()))
+    right = np.flatnonzero(block == j)
+    pairs = [np.empty((3, 0))]
+    for p in np.flatnonzero(block == i):
+        q = right[(group[right] != group[p]) & ((right > p) if i == j else True)]
+        equal = sig[q] == sig[p]
+        share = equal.mean(1)
+        on = np.flatnonzero(share >= AGREE)
+        if len(on):
+            on = on[~equal[on, : here * ROWS].reshape(-1, here, ROWS).all(2).any(1)] if here else on
+            pairs.append(np.stack([share[on], np.full(len(on), p), q[on]]))
+    share, x, y = np.concatenate(pairs, 1)
+    return share, x.astype(np.int64), y.astype(np.int64)
+
+
+def _needed(table: pa.Table) -> pa.Table:
+    """The rows that are in a candidate."""
+    _, x, y = _pairs(table)
+    return table.take(pa.array(np.unique(np.append(x, y))))
+
+
 def _compare(similarity: float):
     """Links between the texts of two blocks (or within one) that connect all that the near pairs connect."""
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        tk, group, block = (table[c].to_numpy() for c in ("tk", "group", "block"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, SLOTS)
-        right = np.flatnonzero(block == j)
-        pairs = []
-        for p in np.flatnonzero(block == i):
-            q = right[(group[right] != group[p]) & ((right > p) if i == j else True)]
-            share = (sig[q] == sig[p]).mean(1)
-            on = share >= AGREE
-            pairs.append(np.stack([share[on], np.full(on.sum(), p), q[on]]))
-        share, x, y = np.concatenate(pairs, 1)
-        x, y = x.astype(np.int64), y.astype(np.int64)
+        tk, group = table["tk"].to_numpy(), table["group"].to_numpy()
+        share, x, y = _pairs(table)
         needed = np.unique(np.append(x, y))
         own: list[tuple[np.ndarray, np.ndarray]] = []
         for t in chunks(table["text"].combine_chunks().take(pa.array(needed))) if len(needed) else ():
@@ -332,7 +355,10 @@ def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, whole: Da
     cut = _near(placed, blocks, n_buckets, "band").withColumn("block", F.pmod("tk", "blocks"))
     dealt = cut.select("band", "tk", "group", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("band", "tk", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = dealt.join(whole.drop("bytes"), "tk").groupBy("band", "i", "j").applyInArrow(_compare(similarity), "a bigint, b bigint")
+    sigs = whole.select("tk", "sig")
+    dealt = dealt.join(F.broadcast(sigs) if n_whole <= BROADCAST_SIGNATURES else sigs, "tk")
+    few = durable(dealt.groupBy("band", "i", "j").applyInArrow(_needed, dealt.schema), "needed")
+    found = few.join(whole.select("tk", "text"), "tk").groupBy("band", "i", "j").applyInArrow(_compare(similarity), "a bigint, b bigint")
     return durable(found, "between")
 
 

@@ -99,6 +99,27 @@ def test_dense_sets_just_under_the_threshold(spark):
     assert _groups(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
 
 
+def test_pairs_are_compared_in_one_band_only():
+    """Every pair that meets in a bucket is a candidate in exactly one of the buckets that it shares, whatever the blocks."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 2**32, nd.SLOTS, dtype=np.uint32)
+    sig = np.where(rng.random((60, nd.SLOTS)) < 0.12, rng.integers(1, 2**32, (60, nd.SLOTS), dtype=np.uint32), base)
+    keys = nd.band_keys(sig).view(np.int64)
+    agree = [(a, b) for a in range(60) for b in range(a + 1, 60) if (sig[a] == sig[b]).mean() >= nd.AGREE and a % 7 != b % 7 and (keys[a] == keys[b]).any()]
+    seen = []
+    for band in np.unique(keys):
+        rows = np.flatnonzero((keys == band).any(1))
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            own = rows[(rows % 2 == i) | (rows % 2 == j)]
+            if not len(own):
+                continue
+            table = pa.table({"band": np.full(len(own), band), "tk": own, "group": own % 7, "block": own % 2, "i": np.full(len(own), i), "j": np.full(len(own), j), "sig": [sig[r].tobytes() for r in own]})
+            _, x, y = nd._pairs(table)
+            seen += [tuple(sorted((own[a], own[b]))) for a, b in zip(x, y, strict=True)]
+            assert sorted(nd._needed(table)["tk"].to_pylist()) == sorted({int(own[k]) for k in np.append(x, y)})
+    assert sorted(seen) == agree and len(agree) > 500
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     errors = []
