@@ -18,6 +18,7 @@ from quernstone.queries import Tables, query
 from quernstone.sources import bindings
 from quernstone.sources.catalog import shared_dir
 from quernstone.streaming import log as sl
+from quernstone.streaming import shared_log
 
 # Functions
 
@@ -456,6 +457,15 @@ def st05_stream_append(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/log/events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_EVENTS}, f AS (SELECT min((seq + 2) % 3 * 1000000000000 + seq) AS k FROM e GROUP BY id) SELECT k % 1000000000000 AS arrival, row_number() OVER (ORDER BY k) AS seq FROM f")
+def st29_shared_log(t: Tables) -> DataFrame:
+    """Two streams of the events into one log, numbered without a gap; the second one's batch is sent twice."""
+    folder, e = _stream_dir(t), _events(t).withColumn("source", F.lit("live")).withColumnRenamed("seq", "arrival")
+    for stream, batch, rest in (("a", 0, 1), ("a", 1, 2), ("b", 0, 0), ("b", 0, 0)):
+        shared_log.append_batch(e.filter(F.col("arrival") % 3 == rest).drop("raw_hash", "event_id"), folder, stream, batch)
+    return shared_log.read(t.spark, folder).select("arrival", "seq")
+
+
 def _stream_dir(t: Tables) -> str:
     return f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 

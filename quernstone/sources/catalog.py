@@ -72,6 +72,42 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A file of that name and text, whole or not at all; False if there is one already, which stays."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    new = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".new-{uuid.uuid4().hex}")
+    out = fs.create(new, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    # Written whole beside it, then given its name; a rename without overwriting fails if the name is taken.
+    kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(new, target, how)
+    except Py4JJavaError:
+        fs.delete(new, False)
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
+def last_number(spark: SparkSession, folder: str) -> int:
+    """The greatest number that a file of the folder has as its name (numbered), 0 without any."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d{12}\.json", n)), default=0)
+
+
+def numbered(folder: str, number: int) -> str:
+    return f"{folder}/{number:012d}.json"
+
+
 class Conflict(RuntimeError):
     """Another writer changed the catalogue in the meantime."""
 
@@ -94,14 +130,11 @@ class Catalog:
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _manifest(self, number: int) -> str:
-        return f"{self.base}/manifests/{number:012d}.json"
+        return numbered(f"{self.base}/manifests", number)
 
     def _last(self) -> int:
         """The number of the last manifest, 0 without any."""
-        jvm, fs = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.base}/manifests")
-        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-        return max((int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d{12}\.json", n)), default=0)
+        return last_number(self.spark, f"{self.base}/manifests")
 
     def state(self) -> dict:
         """number (of the manifest), snapshot, tables, those before (backup, backup_tables), checkpoints, modes."""
@@ -119,23 +152,8 @@ class Catalog:
         if not self.writable:
             raise PermissionError("the catalogue is read-only")
         value = json.dumps({k: v for k, v in (now | changes).items() if k != "number"})
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(self._manifest(now["number"] + 1))
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.base}/manifests/.new-{uuid.uuid4().hex}")
-        out = fs.create(new, False)
-        out.write(bytearray(value.encode()))
-        out.close()
-        # Written whole beside it, then given its name; a rename without overwriting fails if the name is taken.
-        kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(kind, 1)
-        how[0] = kind.NONE
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, path, how)
-        except Py4JJavaError as e:
-            fs.delete(new, False)
-            if fs.exists(path):
-                raise Conflict(f"manifest {now['number'] + 1} of {self.base} is there already") from e
-            raise
+        if not create_once(self.spark, self._manifest(now["number"] + 1), value):
+            raise Conflict(f"manifest {now['number'] + 1} of {self.base} is there already")
 
     def current(self) -> str | None:
         """The snapshot that is read."""
