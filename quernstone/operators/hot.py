@@ -50,6 +50,16 @@ def running_count(df: DataFrame, key: str, order: list[str], counted: Column, na
     return rows.withColumn("__inside", inside).join(ahead, [key, BUCKET]).withColumn(name, F.col("__ahead") + F.col("__inside")).select(*df.columns, name)
 
 
+def latest(df: DataFrame, key: str, order: list[str], value: Column, name: str, width: int = WIDTH) -> DataFrame:
+    """df with the last value that is not null among the key's rows before this one by order."""
+    rows = bucketed(df, order[0], width).withColumn("__v", value)
+    ends = rows.groupBy(key, BUCKET).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__e"))
+    before = Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__carried", F.last("__e", ignorenulls=True).over(before)).drop("__e")
+    inside = F.last("__v", ignorenulls=True).over(Window.partitionBy(key, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("__inside", inside).join(carried, [key, BUCKET]).withColumn(name, F.coalesce("__inside", "__carried")).select(*df.columns, name)
+
+
 def frame_count(df: DataFrame, key: str, order: list[str], before: int, after: int, name: str, width: int = WIDTH) -> DataFrame:
     """df with the number of the key's rows from so many before to so many after each, itself too: from its place and the key's size, without a frame."""
     placed = running_count(df, key, order, F.lit(True), "__place", width)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators import hot
 from quernstone.operators.joins import canonical
+from quernstone.sources.catalog import durable
+
+#: Where a span ends that nothing ends.
+OPEN = 2**63 - 1
 
 
 def _named(df: DataFrame, column: str, identity_map: DataFrame) -> DataFrame:
@@ -54,3 +59,54 @@ def merge_votes(votes: DataFrame, identity_map: DataFrame) -> DataFrame:
     df = _named(canonical(votes, "chat_jid", identity_map), "voter_jid", identity_map)
     rest = [c for c in votes.columns if c not in ("chat_jid", "poll_msg_id", "voter_jid")]
     return df.groupBy("chat_jid", "poll_msg_id", "voter_jid").agg(F.max_by(F.struct(*rest), F.struct("ts", "__own", *[c for c in rest if c != "ts"])).alias("v")).select("chat_jid", "poll_msg_id", "voter_jid", "v.*")
+
+
+def spans(known: DataFrame) -> DataFrame:
+    """(lid, pn, since, until) from statements (lid, pn, seq) that an id belongs to another from then on: the newest holds until the next one.
+
+    Statements that say again what holds already, and those that lack a side or name one id twice, say nothing; of those with one seq the greatest pn counts."""
+    said = known.filter((F.col("lid") != "") & (F.col("pn") != "") & (F.col("lid") != F.col("pn"))).groupBy("lid", "seq").agg(F.max("pn").alias("pn"))
+    news = hot.preceding(said, "lid", ["seq"], F.col("pn"), "__was").filter(~F.col("__was").eqNullSafe(F.col("pn")))
+    until = F.coalesce(F.col("__next"), F.lit(OPEN)).cast("bigint").alias("until")
+    return hot.following(news, "lid", ["seq"], F.col("seq"), "__next").select("lid", "pn", F.col("seq").cast("bigint").alias("since"), until)
+
+
+def _joined(near: DataFrame, far: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of near led on through far where far's ids have one at the time, and the parts of near that end where they are. The spans of an id follow
+    each other from its first on, so that only what comes before the first is left."""
+    on = far.select(F.col("lid").alias("pn"), F.col("pn").alias("__to"), F.col("since").alias("__s"), F.col("until").alias("__u"))
+    met = near.join(on, "pn").filter((F.col("__s") < F.col("until")) & (F.col("since") < F.col("__u")))
+    led = met.select("lid", F.col("__to").alias("pn"), F.greatest("since", "__s").alias("since"), F.least("until", "__u").alias("until"))
+    first = far.groupBy(F.col("lid").alias("pn")).agg(F.min("since").alias("__first"))
+    rest = near.join(first, "pn", "left").withColumn("until", F.least("until", F.coalesce("__first", F.lit(OPEN)))).filter(F.col("since") < F.col("until"))
+    return led, rest.select("lid", "pn", "since", "until")
+
+
+def followed(known: DataFrame) -> DataFrame:
+    """spans whose pn is the end of the chain at that time: an id of an id is led on, in rounds that double the length of the chains.
+
+    While ids lead back to each other in a ring, they and all that lead there stand for themselves (pn is lid)."""
+    direct = durable(spans(known), "spans")
+    now, reach, most = direct, 1, direct.count()
+    while True:
+        led, rest = _joined(now, now)
+        led = durable(led, "spans")
+        if led.isEmpty():
+            return now
+        if reach > most:  # a chain has no more links than there are spans
+            ring = led.select("lid", F.col("lid").alias("pn"), "since", "until")
+            return durable(rest.unionByName(ring), "spans")
+        now, reach = durable(rest.unionByName(led), "spans"), 2 * reach
+
+
+def as_of(df: DataFrame, column: str, chains: DataFrame, order: str = "seq", width: int = hot.WIDTH) -> DataFrame:
+    """df with the id in column replaced by what it belonged to when the row came (after since, up to until), as followed has it. Rows of one id are cut into
+    buckets of order, so that no task holds a hot id; null ids stay null."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    none: Column = F.lit(None)
+    rows = df.select(F.col(column).alias("__k"), F.col(order).cast("bigint").alias("__o"), F.lit(0).alias("__kind"), row.alias("__row"), none.cast("string").alias("__pn"))
+    said = chains.select(F.col("lid").alias("__k"), F.col("since").alias("__o"), F.lit(1).alias("__kind"), none.cast(rows.schema["__row"].dataType).alias("__row"), F.col("pn").alias("__pn"))
+    # A key of null would be lost in the join between buckets: such rows have nothing to look up.
+    found = hot.latest(rows.filter("__k IS NOT NULL").unionByName(said), "__k", ["__o", "__kind"], F.col("__pn"), "__to", width).filter("__kind = 0")
+    out = found.unionByName(rows.filter("__k IS NULL").withColumn("__to", none.cast("string")))
+    return out.select(*[F.coalesce(F.col("__to"), F.col("__row")[c]).alias(c) if c == column else F.col("__row")[c].alias(c) for c in df.columns])

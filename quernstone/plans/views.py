@@ -205,11 +205,24 @@ def locations(events: DataFrame) -> DataFrame:
     return folds.guarded_fold(made, purges(events), ["chat_jid", "msg_id"])
 
 
+def statements(events: DataFrame) -> DataFrame:
+    """(lid, pn, seq): every word of the log on people's two ids."""
+    made = decode.identities(events) if decode.written(events) else of(events, "identity_resolution").select(F.get_json_object("payload", "$.lid").alias("lid"), F.get_json_object("payload", "$.pn").alias("pn"), "seq")
+    return made.filter("lid <> '' AND pn <> '' AND lid <> pn")
+
+
 def identities(events: DataFrame) -> DataFrame:
     """(lid, pn, since): what the log says of people's two ids; the last word on an id counts, since the first."""
-    made = decode.identities(events) if decode.written(events) else of(events, "identity_resolution").select(F.get_json_object("payload", "$.lid").alias("lid"), F.get_json_object("payload", "$.pn").alias("pn"), "seq")
-    made = made.filter("lid <> '' AND pn <> '' AND lid <> pn")
-    return made.groupBy("lid").agg(F.max_by("pn", "seq").alias("pn"), F.min("seq").alias("since"))
+    return statements(events).groupBy("lid").agg(F.max_by("pn", "seq").alias("pn"), F.min("seq").alias("since"))
+
+
+def with_identities_at(events: DataFrame, columns: tuple[str, ...] = ("chat_jid", "sender_jid")) -> DataFrame:
+    """Events with hidden ids replaced by what the log had said of them when they came: an id that is later given to another person keeps
+    the former one for the events before. Chains of ids are followed as they stood at the time."""
+    chains = identity.followed(statements(events))
+    for c in columns:
+        events = identity.as_of(events, c, chains)
+    return events
 
 
 def with_identities(events: DataFrame, columns: tuple[str, ...] = ("chat_jid", "sender_jid")) -> DataFrame:

@@ -112,6 +112,17 @@ def st14_identified_messages(t: Tables) -> DataFrame:
     return views.identified(_events(t, {"click": "message", "error": "identity_resolution"}, text))["messages"].select("chat_jid", "msg_id", "ts")
 
 
+@query("""WITH f AS (SELECT chat_jid AS lid, concat('p', seq % 3) AS pn, seq FROM ledger WHERE event_type = 'error' UNION ALL SELECT concat('p', seq % 3), concat('q', seq % 2), seq FROM ledger WHERE event_type = 'purchase'),
+a AS (SELECT e.seq, coalesce(f.pn, e.chat_jid) AS id FROM (SELECT seq, chat_jid FROM ledger WHERE event_type = 'click') e ASOF LEFT JOIN f ON e.chat_jid = f.lid AND e.seq > f.seq)
+SELECT a.seq, coalesce(f.pn, a.id) AS chat_jid FROM a ASOF LEFT JOIN f ON a.id = f.lid AND a.seq > f.seq""", "ledger")
+def st14_identities_at_the_time(t: Tables) -> DataFrame:
+    """Errors say what a chat's id belongs to, purchases what that belongs to; each click goes where both led when it came."""
+    bought = F.col("event_type") == "purchase"
+    said = F.struct(F.when(bought, F.concat(F.lit("p"), F.col("seq") % 3)).otherwise(F.col("chat_jid")).alias("lid"), F.when(bought, F.concat(F.lit("q"), F.col("seq") % 2)).otherwise(F.concat(F.lit("p"), F.col("seq") % 3)).alias("pn"))
+    log = _events(t, {"click": "message", "error": "identity_resolution", "purchase": "identity_resolution"}, F.to_json(said))
+    return views.with_identities_at(log, ("chat_jid",)).filter("event_type = 'message'").select("seq", "chat_jid")
+
+
 @query("""WITH k AS (SELECT jid AS lid, concat('p', jid) AS pn FROM chats WHERE archived),
 d AS (SELECT concat('dd:{"scope":"identity","parts":["', lid, '","', pn, '"]}') AS key, 'identity_resolution' AS event_type FROM k
   UNION ALL SELECT concat('dd:{"scope":"scrub","parts":["', m.chat_jid, '","', m.msg_id, '"]}'), 'scrub' FROM messages m JOIN k ON m.chat_jid = k.lid JOIN purges p ON m.chat_jid = p.chat_jid AND m.msg_id = p.msg_id AND p.k % 6 = 0 WHERE m.local_path <> '')
