@@ -1,4 +1,6 @@
-"""Merging of rows kept under two ids of one person: folded first, then merged, with policies of their own."""
+"""Merging of rows kept under two ids of one person: folded first, then merged, with policies of their own; and what an id belonged to at a time.
+
+Purges, media paths, locations and polls are taken in their table's columns: missing ones count as null, others are left out."""
 
 from __future__ import annotations
 
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import hot
 from quernstone.operators.joins import canonical
-from quernstone.sources.catalog import durable
+from quernstone.sources.catalog import conformed, durable
 
 #: Where a span ends that nothing ends.
 OPEN = 2**63 - 1
@@ -61,6 +63,54 @@ def merge_votes(votes: DataFrame, identity_map: DataFrame) -> DataFrame:
     return df.groupBy("chat_jid", "poll_msg_id", "voter_jid").agg(F.max_by(F.struct(*rest), F.struct("ts", "__own", *[c for c in rest if c != "ts"])).alias("v")).select("chat_jid", "poll_msg_id", "voter_jid", "v.*")
 
 
+def merge_purges(purges: DataFrame, identity_map: DataFrame) -> DataFrame:
+    """The first times at which a message's content was purged and it was deleted (times that are null don't count); the destination's reason unless it is blank."""
+    df = _named(conformed(purges, "message_payload_purges"), "chat_jid", identity_map)
+    return df.groupBy("chat_jid", "msg_id").agg(F.min("purged_at").alias("purged_at"), F.min("deleted_at").alias("deleted_at"), _first_filled("deletion_reason"))
+
+
+def unpurged(df: DataFrame, purges: DataFrame, message: str = "msg_id") -> DataFrame:
+    """Rows whose message (column message, of chat_jid) is not purged; both sides under the ids of after the merge."""
+    return df.join(purges.select("chat_jid", F.col("msg_id").alias(message)).distinct(), ["chat_jid", message], "left_anti")
+
+
+def merge_media_aliases(aliases: DataFrame, identity_map: DataFrame) -> DataFrame:
+    """Every path that a message's media has; the destination's time of a path that both have, if it has one."""
+    return _named(conformed(aliases, "message_local_media_aliases"), "chat_jid", identity_map).groupBy("chat_jid", "msg_id", "local_path").agg(_first_filled("downloaded_at"))
+
+
+def _arriving(column: str):
+    """The filled value of those that come to the destination, else its own; the least first."""
+    some = F.col(column).cast("string") != ""
+    return F.min_by(F.when(some, F.col(column)), F.when(some, F.struct(F.col("__own"), F.col(column)))).alias(column)
+
+
+def merge_locations(locations: DataFrame, identity_map: DataFrame, purges: DataFrame) -> DataFrame:
+    """Place and kind of the row that comes to the destination, its name and address unless blank; none of purged messages (purges: of before the merge).
+    If several come, the least place counts."""
+    df = _named(conformed(locations, "message_locations"), "chat_jid", identity_map)
+    place = F.struct("latitude", "longitude", "is_live")
+    one = df.groupBy("chat_jid", "msg_id").agg(F.min_by(place, F.struct("__own", place)).alias("__p"), _arriving("name"), _arriving("address"))
+    out = one.select("chat_jid", "msg_id", "__p.latitude", "__p.longitude", "name", "address", "__p.is_live")
+    return unpurged(out, merge_purges(purges, identity_map))
+
+
+def merge_polls(polls: DataFrame, identity_map: DataFrame, purges: DataFrame) -> DataFrame:
+    """Question and choices allowed of the row that comes to the destination; its options, then those that only the destination has; the newest time; none of
+    purged messages. Senders are renamed too, but not in group chats. If several come, the least one counts, and options follow in that order."""
+    direct = ~F.coalesce(F.col("chat_jid").endswith("@g.us"), F.lit(False))
+    renamed = canonical(conformed(polls, "polls").withColumn("__sender", F.col("sender_jid")), "__sender", identity_map)
+    df = _named(renamed.withColumn("sender_jid", F.when(direct, F.col("__sender")).otherwise(F.col("sender_jid"))).drop("__sender"), "chat_jid", identity_map)
+    body = F.struct("question", "selectable_count")
+    rank = F.struct("__own", body.alias("body"), F.coalesce("options", F.array().cast("array<string>")).alias("options"))
+    one = df.groupBy("chat_jid", "msg_id").agg(
+        _arriving("sender_jid"), F.min_by(body, rank).alias("__b"), F.max("created_ts").alias("created_ts"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_set(rank)), lambda x: x["options"]))).alias("options"),
+    )
+    out = one.select("chat_jid", "msg_id", "sender_jid", "__b.question", "options", "__b.selectable_count", "created_ts")
+    return unpurged(out, merge_purges(purges, identity_map))
+
+
 def spans(known: DataFrame) -> DataFrame:
     """(lid, pn, since, until) from statements (lid, pn, seq) that an id belongs to another from then on: the newest holds until the next one.
 

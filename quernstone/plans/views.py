@@ -235,9 +235,17 @@ def with_identities(events: DataFrame, columns: tuple[str, ...] = ("chat_jid", "
 
 
 def identified(events: DataFrame) -> dict[str, DataFrame]:
-    """Messages, votes and roster with people's ids resolved: later events under the phone id, rows of earlier ones merged into it."""
+    """Messages, votes, roster, and of a written log locations, polls and purges too, with people's ids resolved: later events under the phone id, rows of earlier
+    ones merged into it. Votes, polls and locations of messages that are purged under either id go."""
     known, mapped = identities(events).select("lid", "pn"), with_identities(events)
-    return {"messages": identity.merge_messages(messages(mapped), known), "poll_votes": identity.merge_votes(votes(mapped), known), "group_participants": identity.merge_roster(roster(mapped).withColumn("updated_at", F.lit(0)), known)}
+    out = {"messages": identity.merge_messages(messages(mapped), known), "poll_votes": identity.merge_votes(votes(mapped), known), "group_participants": identity.merge_roster(roster(mapped).withColumn("updated_at", F.lit(0)), known)}
+    if decode.written(events):
+        gone = purges(mapped)
+        out["message_payload_purges"] = identity.merge_purges(gone, known)
+        out["message_locations"] = identity.merge_locations(locations(mapped), known, gone)
+        out["polls"] = identity.merge_polls(polls(mapped), known, gone)
+        out["poll_votes"] = identity.unpurged(out["poll_votes"], out["message_payload_purges"], "poll_msg_id")
+    return out
 
 
 def named(messages: DataFrame, chats: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -203,6 +203,54 @@ def dm11_merge_roster(t: Tables) -> DataFrame:
     return identity.merge_roster(t.group_participants, known)
 
 
+_LED = """i AS (SELECT jid AS lid, concat('c', last_message_ts % 40) AS pn FROM chats WHERE last_message_ts % 3 = 0),
+g AS (SELECT coalesce(pn, chat_jid) AS chat_jid, concat('m', k % 5) AS msg_id, CAST(coalesce(pn, chat_jid) = chat_jid AS int) AS own, purged_at, CASE k % 4 WHEN 0 THEN '' ELSE concat('r', k % 3) END AS reason, k FROM purges LEFT JOIN i ON chat_jid = lid WHERE k % 7 = 0)"""
+
+
+def _led(t: Tables) -> DataFrame:
+    """Every third chat is another's hidden id."""
+    return t.chats.filter("last_message_ts % 3 = 0").select(F.col("jid").alias("lid"), F.concat(F.lit("c"), F.col("last_message_ts") % 40).alias("pn"))
+
+
+def _purged(t: Tables) -> DataFrame:
+    reason = F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("r"), F.col("k") % 3))
+    return t.purges.filter("k % 7 = 0").select("chat_jid", F.concat(F.lit("m"), F.col("k") % 5).alias("msg_id"), "purged_at", (F.col("purged_at") - F.col("k") % 9).alias("deleted_at"), reason.alias("deletion_reason"))
+
+
+@query(f"WITH {_LED} SELECT chat_jid, msg_id, min(purged_at) AS purged_at, min(purged_at - k % 9) AS deleted_at, arg_min(reason, concat(1 - own, reason)) FILTER (reason <> '') AS deletion_reason FROM g GROUP BY 1, 2", "chats purges")
+def dm11_merge_purges(t: Tables) -> DataFrame:
+    return identity.merge_purges(_purged(t), _led(t))
+
+
+@query(f"""WITH {_LED}, m AS (SELECT coalesce(pn, chat_jid) AS chat_jid, concat('m', rowid % 5) AS msg_id, CAST(coalesce(pn, chat_jid) = chat_jid AS int) AS own, local_path, CASE WHEN rowid % 3 > 0 THEN ts END AS got FROM messages LEFT JOIN i ON chat_jid = lid WHERE local_path <> '')
+SELECT chat_jid, msg_id, local_path, coalesce(min(got) FILTER (own = 1), min(got)) AS downloaded_at FROM m GROUP BY 1, 2, 3""", "chats purges messages")
+def dm11_merge_media_aliases(t: Tables) -> DataFrame:
+    rows = t.messages.filter("local_path <> ''").select("chat_jid", F.concat(F.lit("m"), F.col("rowid") % 5).alias("msg_id"), "local_path", F.when(F.col("rowid") % 3 > 0, F.col("ts")).alias("downloaded_at"))
+    return identity.merge_media_aliases(rows, _led(t))
+
+
+@query(f"""WITH {_LED}, m AS (SELECT coalesce(pn, chat_jid) AS chat_jid, concat('m', rowid % 5) AS msg_id, CAST(coalesce(pn, chat_jid) = chat_jid AS int) AS own, rowid, CASE WHEN rowid % 4 > 0 THEN sender_jid ELSE '' END AS name FROM messages LEFT JOIN i ON chat_jid = lid)
+SELECT chat_jid, msg_id, CAST(arg_min(rowid, own * 1000000000000 + rowid) AS double) AS latitude, arg_min(name, concat(own, name)) FILTER (name <> '') AS name FROM m ANTI JOIN g USING (chat_jid, msg_id) GROUP BY 1, 2""", "chats purges messages")
+def dm24_merge_locations(t: Tables) -> DataFrame:
+    number = F.col("rowid").cast("double")
+    rows = t.messages.select(
+        "chat_jid", F.concat(F.lit("m"), F.col("rowid") % 5).alias("msg_id"), number.alias("latitude"), (-number).alias("longitude"), F.when(F.col("rowid") % 4 > 0, F.col("sender_jid")).otherwise("").alias("name"), F.lit("").alias("address"), F.lit(False).alias("is_live")
+    )
+    return identity.merge_locations(rows, _led(t), _purged(t)).select("chat_jid", "msg_id", "latitude", "name")
+
+
+@query(f"""WITH {_LED}, m AS (SELECT coalesce(i.pn, p.chat_jid) AS chat_jid, concat('m', k % 5) AS msg_id, CAST(coalesce(i.pn, p.chat_jid) = p.chat_jid AS int) AS own, coalesce(j.pn, concat('c', k % 90)) AS sender, question, selectable_count AS n, created_ts, concat('o', k % 4) AS o
+  FROM polls p LEFT JOIN i ON p.chat_jid = i.lid LEFT JOIN i j ON concat('c', k % 90) = j.lid),
+o AS (SELECT chat_jid, msg_id, string_agg(o, ',' ORDER BY place) AS options FROM (SELECT chat_jid, msg_id, o, min(concat(own, '|', question, '|', n, '|', o)) AS place FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT m.chat_jid, m.msg_id, arg_min(sender, concat(own, sender)) AS sender_jid, arg_min(question, concat(own, question)) AS question, any_value(options) AS options, max(created_ts) AS created_ts
+FROM m JOIN o ON m.chat_jid = o.chat_jid AND m.msg_id = o.msg_id WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.chat_jid = m.chat_jid AND g.msg_id = m.msg_id) GROUP BY 1, 2""", "chats purges polls")
+def dm24_merge_polls(t: Tables) -> DataFrame:
+    rows = t.polls.select(
+        "chat_jid", F.concat(F.lit("m"), F.col("k") % 5).alias("msg_id"), F.concat(F.lit("c"), F.col("k") % 90).alias("sender_jid"), "question", F.array(F.concat(F.lit("o"), F.col("k") % 4)).alias("options"), "selectable_count", "created_ts"
+    )
+    return identity.merge_polls(rows, _led(t), _purged(t)).select("chat_jid", "msg_id", "sender_jid", "question", F.array_join("options", ",").alias("options"), "created_ts")
+
+
 # Parsing
 
 

@@ -71,3 +71,21 @@ def test_events_before_a_second_phone_keep_the_first(spark):
     )
     got = views.with_identities_at(log.withColumn("sender_jid", F.col("chat_jid")))
     assert [(r.chat_jid, r.sender_jid) for r in got.filter("event_type = 'message'").orderBy("seq").collect()] == [("l", "l"), ("p1", "p1"), ("p2", "p2"), ("x", "x")]
+
+
+def test_places_polls_paths_and_purges_come_together(spark):
+    known = spark.createDataFrame([("l", "p")], "lid string, pn string")
+    none = spark.createDataFrame([], "chat_jid string, msg_id string, purged_at bigint")
+    purges = spark.createDataFrame([("l", "z", 5, 9, "why"), ("p", "z", 7, None, ""), ("x", "z", 1, 1, None)], "chat_jid string, msg_id string, purged_at bigint, deleted_at bigint, deletion_reason string")
+    assert sorted(map(tuple, identity.merge_purges(purges, known).collect())) == [("p", "z", 5, 9, "why"), ("x", "z", 1, 1, None)]
+    assert identity.merge_purges(none, known).isEmpty()
+    paths = spark.createDataFrame([("l", "m", "/a", 1), ("p", "m", "/a", 8), ("l", "m", "/b", 2), ("p", "n", "/a", None), ("l", "n", "/a", 3)], "chat_jid string, msg_id string, local_path string, downloaded_at bigint")
+    assert sorted(map(tuple, identity.merge_media_aliases(paths, known).collect())) == [("p", "m", "/a", 8), ("p", "m", "/b", 2), ("p", "n", "/a", 3)]
+    at = [("l", "m", 1.0, 2.0, "", None, True), ("p", "m", 3.0, 4.0, "own", "street", False), ("l", "z", 0.0, 0.0, "n", "", False), ("p", "q", None, 4.0, None, None, None)]
+    places = spark.createDataFrame(at, "chat_jid string, msg_id string, latitude double, longitude double, name string, address string, is_live boolean").withColumn("__own", F.lit(9))
+    assert sorted(map(tuple, identity.merge_locations(places, known, purges).collect()), key=str) == [("p", "m", 1.0, 2.0, "own", "street", True), ("p", "q", None, 4.0, None, None, None)]
+    asked = [("l", "m", "l", "new?", ["b", "c"], 2, 5), ("p", "m", "p", "old?", ["a", "b"], 1, 9), ("g@g.us", "m", "l", "g?", None, 0, 1), ("p", "z", "p", "gone", ["a"], 1, 1), ("x", "r", "", "r?", ["d", "d"], 1, None)]
+    polls = spark.createDataFrame(asked, "chat_jid string, msg_id string, sender_jid string, question string, options array<string>, selectable_count int, created_ts bigint")
+    assert sorted(tuple(r) for r in identity.merge_polls(polls, known, purges).collect()) == [("g@g.us", "m", "l", "g?", [], 0, 1), ("p", "m", "p", "new?", ["b", "c", "a"], 2, 9), ("x", "r", None, "r?", ["d"], 1, None)]
+    votes = spark.createDataFrame([("p", "m", "v"), ("p", "z", "v")], "chat_jid string, poll_msg_id string, voter_jid string")
+    assert [r.poll_msg_id for r in identity.unpurged(votes, identity.merge_purges(purges, known), "poll_msg_id").collect()] == ["m"]
