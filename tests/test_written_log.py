@@ -166,6 +166,13 @@ def test_polls_votes_stars_calls(log):
 def test_identities(log):
     log.message("a", {"conversation": "x"}, chat="9@lid", ts=1).facts(ingest.identities, "source string, lid string, pn string, resolved_ts bigint", ("identity_resolution", "9@lid", CHAT, 2)).message("b", {"conversation": "y"}, chat="9@lid", ts=3)
     assert sorted((r.chat_jid, r.msg_id) for r in views.identified(log.frame())["messages"].collect()) == [(CHAT, "a"), (CHAT, "b")]
+    poll = "source string, chat_jid string, msg_id string, sender_jid string, question string, options array<string>, selectable_count int, created_ts bigint"
+    vote = "source string, chat_jid string, poll_msg_id string, voter_jid string, vote_msg_id string, selected array<string>, unknown_hashes array<string>, voted_ts_ms bigint"
+    log.facts(ingest.polls, poll, ("live", "9@lid", "p", "9@lid", "?", ["x"], 1, 3)).facts(ingest.poll_votes, vote, ("live", "9@lid", "p", "v", "w1", ["x"], [], 10))
+    got = views.identified(log.frame())
+    assert [(r.chat_jid, r.msg_id, r.sender_jid, r.options) for r in got["polls"].collect()] == [(CHAT, "p", CHAT, ["x"])]
+    assert [(r.chat_jid, r.poll_msg_id, r.voter_jid) for r in got["poll_votes"].collect()] == [(CHAT, "p", "v")]
+    assert got["message_locations"].isEmpty() and got["message_payload_purges"].isEmpty()
 
 
 def test_snapshots_come_back_and_live_events_change_them(spark, log):
