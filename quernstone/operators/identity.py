@@ -4,6 +4,8 @@ Purges, media paths, locations and polls are taken in their table's columns: mis
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from quernstone.sources.catalog import conformed, durable
 
 #: Where a span ends that nothing ends.
 OPEN = 2**63 - 1
+#: Spans are led on only in rounds that compare no more pairs of them than this, or than so many times the spans.
+PAIRS, GROWTH = 100_000, 4
 
 
 def _named(df: DataFrame, column: str, identity_map: DataFrame) -> DataFrame:
@@ -160,3 +164,46 @@ def as_of(df: DataFrame, column: str, chains: DataFrame, order: str = "seq", wid
     found = hot.latest(rows.filter("__k IS NOT NULL").unionByName(said), "__k", ["__o", "__kind"], F.col("__pn"), "__to", width).filter("__kind = 0")
     out = found.unionByName(rows.filter("__k IS NULL").withColumn("__to", none.cast("string")))
     return out.select(*[F.coalesce(F.col("__to"), F.col("__row")[c]).alias(c) if c == column else F.col("__row")[c].alias(c) for c in df.columns])
+
+
+def _compared(now: DataFrame) -> int:
+    """Pairs of spans that leading them on compares."""
+    to, own = now.groupBy("pn").agg(F.count("*").alias("__to")), now.groupBy(F.col("lid").alias("pn")).agg(F.count("*").alias("__own"))
+    return to.join(own, "pn").agg(F.sum(F.col("__to") * F.col("__own"))).first()[0] or 0
+
+
+def jumps(known: DataFrame) -> DataFrame:
+    """spans whose pn lies further on in the chain, at its end or before: rounds as in followed while they stay in proportion to what is known. Where many ids lead
+    through one that changes often, they end, since a span for each change of any id on a chain is the product of both."""
+    now = durable(spans(known), "spans")
+    most, reach = now.count(), 1
+    while reach <= most and 0 < _compared(now) <= max(PAIRS, GROWTH * most):
+        led, rest = _joined(now, now)
+        now, reach = durable(rest.unionByName(led), "spans"), 2 * reach
+    return now
+
+
+def ends(asked: DataFrame, leads: DataFrame, width: int = hot.WIDTH) -> DataFrame:
+    """(id, at, end) of the (id, at) asked for that belong to another id then, from jumps: jump after jump, all at once, and only of those that still move.
+
+    Ids that come back to one they were seen at (the last whose jump's number is a power of two) are in a ring or lead to one: they stand for themselves."""
+    none = F.lit(None).cast("string")
+    said = leads.select(F.col("lid").alias("now"), F.col("since").alias("at"), F.lit(1).alias("kind"), none.alias("id"), none.alias("seen"), "pn")
+    moving = asked.select(F.col("id").alias("now"), "at", F.lit(0).alias("kind"), "id", F.col("id").alias("seen"), none.alias("pn"))
+    step, found = 0, []
+    while True:
+        jumped = durable(hot.latest(moving.unionByName(said), "now", ["at", "kind"], F.col("pn"), "to", width).filter("kind = 0").select("id", "at", "now", "seen", "to"), "jumped")
+        found.append(jumped.filter("to IS NULL AND now <> id").select("id", "at", F.col("now").alias("end")))
+        on, step = jumped.filter("to <> seen"), step + 1
+        if on.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        seen = "to" if step & (step - 1) == 0 else "seen"
+        moving = on.select(F.col("to").alias("now"), "at", F.lit(0).alias("kind"), "id", F.col(seen).alias("seen"), none.alias("pn"))
+
+
+def at_the_time(df: DataFrame, column: str, leads: DataFrame, order: str = "seq", width: int = hot.WIDTH) -> DataFrame:
+    """df as by as_of over followed, from jumps: only ids and times move along the chains, and rows meet their ends once."""
+    rows = df.select(F.col(column).alias("id"), F.col(order).cast("bigint").alias("at"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    found = ends(rows.select("id", "at").filter("id IS NOT NULL").distinct(), leads, width)
+    out = rows.join(found, ["id", "at"], "left")
+    return out.select(*[F.coalesce(F.col("end"), F.col("row")[c]).alias(c) if c == column else F.col("row")[c].alias(c) for c in df.columns])

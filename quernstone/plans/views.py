@@ -219,9 +219,9 @@ def identities(events: DataFrame) -> DataFrame:
 def with_identities_at(events: DataFrame, columns: tuple[str, ...] = ("chat_jid", "sender_jid")) -> DataFrame:
     """Events with hidden ids replaced by what the log had said of them when they came: an id that is later given to another person keeps
     the former one for the events before. Chains of ids are followed as they stood at the time."""
-    chains = identity.followed(statements(events))
+    leads = identity.jumps(statements(events))
     for c in columns:
-        events = identity.as_of(events, c, chains)
+        events = identity.at_the_time(events, c, leads)
     return events
 
 

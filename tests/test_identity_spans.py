@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -49,6 +50,37 @@ def test_a_long_chain_is_followed_in_few_rounds(spark, monkeypatch):
     assert ends[("i000", n - 1)] == f"i{n:03}" and len(rounds) <= 7
 
 
+def test_many_ids_through_one_that_changes_often_make_no_product(spark, monkeypatch):
+    monkeypatch.setattr(identity, "PAIRS", 100, raising=False)
+    made, real = [], identity.durable
+    monkeypatch.setattr(identity, "durable", lambda df, name: (made.append(real(df, name)), made[-1])[1])
+    n = 60
+    known = [(f"u{k}", "p", k) for k in range(n)] + [("p", f"q{k % 2}", 1000 + k) for k in range(n)] + [("q1", "r", 5000)]
+    log = [(s, "identity_resolution", None, json.dumps({"lid": a, "pn": b})) for a, b, s in known] + [(1000 + 97 * k, "message", f"u{k}", None) for k in range(n)]
+    log = spark.createDataFrame([(10 * s + (kind == "message"), kind, c, p) for s, kind, c, p in log], "seq bigint, event_type string, chat_jid string, payload string")
+    got = views.with_identities_at(log, ("chat_jid",)).filter("event_type = 'message'")
+    assert sorted(map(tuple, got.select("seq", "chat_jid").collect())) == sorted((10 * (1000 + 97 * k) + 1, _led(known, f"u{k}", 1000 + 97 * k + 0.5)) for k in range(n))
+    assert max(df.count() for df in made) <= 2 * len(known)
+
+
+def test_jumps_lead_where_whole_chains_do(spark, monkeypatch):
+    rng = random.Random(6)
+    for pairs in (0, 10**6):
+        monkeypatch.setattr(identity, "PAIRS", pairs)
+        monkeypatch.setattr(identity, "GROWTH", 0)
+        ids = [f"i{k}" for k in range(9)]
+        known = [(*rng.sample(ids, 2), s) for s in rng.sample(range(200), 30)] + [(f"j{k}", f"j{k + 1}", k) for k in range(9)] + [("z", "j0", 3)]
+        rows = [(s, rng.choice([*ids, "j0", "z", "other", None]), f"t{s}") for s in range(0, 230)] + [(None, "j0", "never")]
+        df = spark.createDataFrame(rows, "seq bigint, chat_jid string, id string")
+        got = identity.at_the_time(df, "chat_jid", identity.jumps(spark.createDataFrame(known, KNOWN)), width=20)
+        want = [(s, _led(known, who, s) if who is not None and s is not None else who, x) for s, who, x in rows]
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    ring = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 3), ("x", "a", 0)], KNOWN)
+    monkeypatch.setattr(identity, "PAIRS", 0)
+    df = spark.createDataFrame([(s, who) for s in (3, 9) for who in "abcx"], "seq bigint, chat_jid string")
+    assert sorted(map(tuple, identity.at_the_time(df, "chat_jid", identity.jumps(ring)).collect())) == [(3, "c")] * 4 + [(9, who) for who in "abcx"]
+
+
 def test_spans_of_nothing_and_of_repeats(spark):
     none = spark.createDataFrame([], KNOWN)
     assert identity.followed(none).isEmpty()
