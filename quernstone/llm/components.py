@@ -33,8 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: whatever is larger than a node hangs on the least of the node and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = least_of(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large if few else durable(large, "large")
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large if few else durable(large.distinct(), "large")
         # Small star: a node and its lesser neighbours hang on the least of these. Edges point from a down to b.
         down = least_of(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")

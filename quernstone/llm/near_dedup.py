@@ -51,6 +51,8 @@ BLOCK, BLOCK_BYTES = 1024, 1 << 23
 #: Below this many rows (16 bytes each) a table of keys is broadcast, and below so many a table of signatures (half a
 #: kilobyte each); else it is joined by a plain shuffle of written tables, whose hot partitions Spark can split.
 BROADCAST_ROWS, BROADCAST_SIGNATURES = 1_000_000, 16_384
+#: Where there are no more texts than that, of so many bytes in all, the texts are broadcast with them.
+BROADCAST_BYTES = 16 << 20
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -274,23 +276,25 @@ def _classes(docs: DataFrame, *, doc_col: str, text_col: str, similarity: float)
     sizes = durable(met.groupBy("band").agg(F.count("*").alias("n"), F.min("tk").alias("a")), "sizes")
     sized = _near(met, sizes, n_buckets, "band")
     whole, n_whole = _candidates(met, ids, signed, keyed)
+    small = n_whole <= BROADCAST_SIGNATURES and (whole.agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_BYTES
 
     few = sized.filter(F.col("n") <= SMALL).select("band", "tk")
     pairs = few.select("band", F.col("tk").alias("a")).join(few.select("band", F.col("tk").alias("b")), "band").filter("a < b").select("a", "b").distinct()
-    links = _check(pairs, whole, n_whole, similarity)
+    links = _check(pairs, whole, n_whole, similarity, small)
     with_lead = durable(sized.filter((F.col("n") > SMALL) & (F.col("tk") > F.col("a"))).select("band", "tk", "a"), "large")
     for _ in range(ROUNDS):
         if not with_lead.head(1):
             break
-        held = _check(with_lead.select("a", F.col("tk").alias("b")).distinct(), whole, n_whole, similarity)
+        held = _check(with_lead.select("a", F.col("tk").alias("b")).distinct(), whole, n_whole, similarity, small)
         links = links.unionByName(held)
         open_rows = durable(with_lead.join(held.withColumnRenamed("b", "tk"), ["a", "tk"], "left_anti").select("band", "tk"), "open")
-        lead = durable(open_rows.groupBy("band").agg(F.min("tk").alias("a")), "lead")
+        lead = open_rows.groupBy("band").agg(F.min("tk").alias("a"))
+        lead = lead if n_buckets <= BROADCAST_ROWS else durable(lead, "lead")
         with_lead = durable(_near(open_rows, lead, n_buckets, "band").filter("tk > a").select("band", "tk", "a"), "large")
 
     # Every distinct text in a group, and every text found twice, with its class.
     groups = durable(components(links).withColumnsRenamed({"node": "tk", "component": "group"}), "groups")
-    more = _between_groups(sized.filter(F.col("n") > SMALL).select("band", "tk"), n_buckets, groups, whole, n_whole, similarity)
+    more = _between_groups(sized.filter(F.col("n") > SMALL).select("band", "tk"), n_buckets, groups, whole, n_whole, similarity, small)
     if more.head(1):
         groups = components(groups.select(F.col("tk").alias("a"), F.col("group").alias("b")).unionByName(more)).withColumnsRenamed({"node": "tk", "component": "group"})
     known = ids.select("tk", "least", "n").join(groups, "tk", "left").filter("n > 1 OR group IS NOT NULL").withColumn("group", F.coalesce("group", "tk"))
@@ -319,10 +323,19 @@ def _candidates(met: DataFrame, ids: DataFrame, signed: DataFrame, keyed: DataFr
     return durable(texts.join(sigs, "tk").select("tk", "sig", "text", F.octet_length("text").alias("bytes")), "candidates"), n
 
 
-def _check(pairs: DataFrame, whole: DataFrame, n_whole: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text keys that are similar enough.
+def _both(pairs: DataFrame, sides: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with column (na, nb) of both ends from sides (tk, column)."""
+    a, b = (sides.select(F.col("tk").alias(end), F.col(column).alias(f"n{end}")) for end in "ab")
+    return pairs.join(F.broadcast(a), "a").join(F.broadcast(b), "b").select("a", "b", "na", "nb")
 
-    All sides are written tables: a text with very many partners is a hot key on the side of the pairs, which Spark splits."""
+
+def _check(pairs: DataFrame, whole: DataFrame, n_whole: int, similarity: float, small: bool = False) -> DataFrame:
+    """The pairs (a, b) of text keys that are similar enough. Few and small texts go to all pairs, in one pass.
+
+    Else all sides are written tables: a text with very many partners is a hot key on the side of the pairs, which Spark splits."""
+    if small:
+        close = _both(pairs, whole, "sig").mapInArrow(_agree, "a bigint, b bigint")
+        return durable(_both(close, whole, "text").mapInArrow(_verify(similarity), "a bigint, b bigint"), "links")
     pairs = durable(pairs, "pairs")
     sigs, n = _ends(pairs, whole.select("tk", "sig"), n_whole)
     sigs = F.broadcast(sigs) if n <= BROADCAST_SIGNATURES else sigs
@@ -340,7 +353,7 @@ def _ends(pairs: DataFrame, rows: DataFrame, n_rows: int) -> tuple[DataFrame, in
     return (rows if n == n_rows else _near(rows, ends, n, "tk")), n
 
 
-def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, whole: DataFrame, n_whole: int, similarity: float) -> DataFrame:
+def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, whole: DataFrame, n_whole: int, similarity: float, small: bool = False) -> DataFrame:
     """Links (a, b) between texts that meet (band, tk) and are not in one group (tk, group) yet; a text without a group is its own."""
     known = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     placed = met.join(known, "tk", "left").withColumn("group", F.coalesce("group", "tk"))
@@ -358,7 +371,8 @@ def _between_groups(met: DataFrame, n_buckets: int, groups: DataFrame, whole: Da
     sigs = whole.select("tk", "sig")
     dealt = dealt.join(F.broadcast(sigs) if n_whole <= BROADCAST_SIGNATURES else sigs, "tk")
     few = durable(dealt.groupBy("band", "i", "j").applyInArrow(_needed, dealt.schema), "needed")
-    found = few.join(whole.select("tk", "text"), "tk").groupBy("band", "i", "j").applyInArrow(_compare(similarity), "a bigint, b bigint")
+    texts = whole.select("tk", "text")
+    found = few.join(F.broadcast(texts) if small else texts, "tk").groupBy("band", "i", "j").applyInArrow(_compare(similarity), "a bigint, b bigint")
     return durable(found, "between")
 
 

@@ -179,3 +179,25 @@ def test_components_of_paths_and_cycles(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_few_texts_are_compared_in_one_pass_with_the_same_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for _ in range(4):
+        base = [word() for _ in range(150)]
+        for _ in range(20):
+            text = list(base)
+            for _ in range(rng.choice((1, 1, 1, 4))):
+                text[rng.randrange(150)] = word()
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows + [(900, rows[3][1]), (901, "alone"), (902, None)], "doc_id bigint, text string")
+    made, real, groups = [], nd.durable, []
+    monkeypatch.setattr(nd, "durable", lambda d, name: (made.append(name), real(d, name))[1])
+    for most in (0, 16 << 20):
+        made.clear()
+        monkeypatch.setattr(nd, "BROADCAST_BYTES", most, raising=False)
+        groups.append(sorted(map(tuple, nd.near_duplicates(df).collect())))
+    assert groups[0] == groups[1] and len({c for _, c, n in groups[1] if n > 5}) == 4
+    assert made.count("links") > 1 and "close" not in made and made.count("ends") == 1
